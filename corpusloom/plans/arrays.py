@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 CHUNKS = 64
 
 
+def _packed(a: np.ndarray) -> bytes:
+    import pyarrow as pa
+
+    return len(a).to_bytes(8, "little") + pa.compress(a.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, dtype: str) -> np.ndarray:
+    import pyarrow as pa
+
+    n = int.from_bytes(raw[:8], "little") * np.dtype(dtype).itemsize
+    return np.frombuffer(pa.decompress(raw[8:], n, "zstd", asbytes=True), dtype)
+
+
 def merged_array(df: DataFrame, partial: Callable[[Iterator], np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str) -> np.ndarray:
     """partial(batches) gives one array of the same fixed length a partition; they are merged chunk by chunk, 256 at a time.
 
@@ -31,7 +44,7 @@ def merged_array(df: DataFrame, partial: Callable[[Iterator], np.ndarray], merge
             {
                 "chunk": pa.array(range(CHUNKS), pa.int32()),
                 "pid": pa.array([pid] * CHUNKS, pa.int64()),
-                "data": pa.array([p.astype(dtype).tobytes() for p in parts], pa.binary()),
+                "data": pa.array([_packed(p.astype(dtype)) for p in parts], pa.binary()),
             }
         )
 
@@ -40,9 +53,9 @@ def merged_array(df: DataFrame, partial: Callable[[Iterator], np.ndarray], merge
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         acc = None
         for raw in pdf["data"]:
-            a = np.frombuffer(raw, dtype)
+            a = _unpacked(raw, dtype)
             acc = a.copy() if acc is None else merge(acc, a)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "pid": [pdf["pid"].iloc[0] // 256], "data": [acc.tobytes()]})
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "pid": [pdf["pid"].iloc[0] // 256], "data": [_packed(acc)]})
 
     width = df.rdd.getNumPartitions()
     parts = df.mapInArrow(gather, schema)
@@ -50,4 +63,4 @@ def merged_array(df: DataFrame, partial: Callable[[Iterator], np.ndarray], merge
         parts = parts.groupBy("chunk", F.floor(F.col("pid") / 256).alias("g")).applyInPandas(lambda k, p: combine(p), schema)
         width = -(-width // 256)
     rows = parts.groupBy("chunk").applyInPandas(combine, schema).collect()
-    return np.concatenate([np.frombuffer(r["data"], dtype) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros(0, dtype)
+    return np.concatenate([_unpacked(r["data"], dtype) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros(0, dtype)

@@ -7,37 +7,43 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.blocks import divide_skip, key_filter, merge_pairs, verified
 from corpusloom.llm.contract import contracted
-from corpusloom.llm.shingles import DEN, NUM, WORDS, prefixes, rarity, sets_of
+from corpusloom.llm.shingles import DEN, NUM, SHARED, WORDS, prefixes, rarity, sets_of
 from corpusloom.plans.lineage import materialize, release
 
 
 def _classes(described: DataFrame, *flags: Column) -> DataFrame:
-    """One row a distinct shingle set: its smallest id, its prefix, and the flags aggregated."""
-    return described.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.min_by("prefix", "id").alias("prefix"), *flags)
+    """One row a distinct shingle set: its smallest id, its prefix, its rows, and the flags aggregated."""
+    grouped = described.groupBy("s1", "s2", "n").agg(F.min_by("prefix", "id").alias("prefix"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), *flags)
+    return materialize(grouped, "classes")
 
 
 def _short_lists(classes: DataFrame, left: str, right: str) -> DataFrame:
     """The inverted lists of prefix shingles with two sets or more, of which one has flag left and one flag right; m is a list's length."""
     posts = classes.select("rep", "n", left, right, F.posexplode("prefix").alias("pos", "s")).select("s", F.col("rep").alias("id"), "n", "pos", left, right)
     lists = posts.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max(left).alias("l"), F.max(right).alias("r")).where("m > 1 and l and r").select("s", "m")
-    return posts.join(lists, "s")
+    return materialize(posts.join(lists, "s"), "lists")
 
 
-def _pairs(x: DataFrame, y: DataFrame, *more: Column) -> DataFrame:
-    """(a, b, w, m): pairs from a shared list that pass the length and position filters, each once, with one list they share.
+def _least(n: Column) -> Column:
+    return F.least(F.lit(SHARED), F.floor((NUM * n + DEN - 1) / DEN))
 
-    With the shared shingle the first of both prefixes, the overlap is at most
-    1 and what lies behind it in the shorter rest; some list a pair shares is
-    its first.
+
+def _pairs(x: DataFrame, y: DataFrame, more: Column, exact: bool = True) -> DataFrame:
+    """(a, b, w, m): pairs that share enough lists and pass the length and position filters, each once, with one list they share.
+
+    A pair alike enough shares c = min(SHARED, T) lists or more; the i-th of
+    these leaves room for i and what lies behind it in the shorter rest.  Not
+    exact: one list is enough, for where x and y are not whole lists.
     """
     x, y = x.alias("x"), y.alias("y")
     n1, n2 = F.col("x.n"), F.col("y.n")
-    room = 1 + F.least(n1 - F.col("x.pos"), n2 - F.col("y.pos")) - 1
-    ok = (F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM) & (room * (NUM + DEN) >= (n1 + n2) * NUM)
-    for c in more:
-        ok = ok & c
+    room = F.least(n1 - F.col("x.pos"), n2 - F.col("y.pos")) + (SHARED - 1)
+    ok = (F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM) & (room * (NUM + DEN) >= (n1 + n2) * NUM) & more
     both = x.join(y, F.col("x.s") == F.col("y.s")).where(ok)
-    return both.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min(F.struct(F.col("x.s").alias("w"), F.col("x.m").alias("m"))).alias("k")).select("a", "b", "k.w", "k.m")
+    out = both.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+        F.min(F.col("x.s")).alias("w"), F.max(F.col("y.m")).alias("m"), F.count(F.lit(1)).alias("shared"), F.min(F.least(n1, n2)).alias("n")
+    )
+    return (out.where(F.col("shared") >= _least(F.col("n"))) if exact else out).select("a", "b", "w", "m")
 
 
 def _prepare(df: DataFrame, key: str, text: str, k: int, flags: list[Column]) -> DataFrame:
@@ -50,49 +56,54 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     """(key, group_id): every row with likeness of at least 0.8 to some other row; group_id is the smallest key linked to it.
 
     Exact.  Rows with equal shingle sets form a class, of which one goes on.
-    The classes' short inverted lists (their rarest n - T + 1 shingles) are
+    The classes' short inverted lists (their rarest n - T + c shingles) are
     shuffled by shingle; each list first links its members to its smallest only,
     these links are verified, and only members still in different components
-    are then paired and verified.  So a list of near-copies, however long, costs
-    its length and not its square.  Verification is the T-occurrence search of
-    blocks.divide_skip in blocks of bounded size.
+    are then paired, by the number of short lists they share, and verified.  So
+    a list of near-copies, however long, costs its length and not its square.
+    Verification is the T-occurrence search of blocks.divide_skip in blocks of
+    bounded size.
 
     Null and empty texts and texts of fewer than k words are never cases; rows
     with a null key have no row; a repeated key counts as a copy.
     """
     described = _prepare(df, key, text, k, [])
+    classes = _classes(described)
     one = F.lit(True)
-    classes = _classes(described, F.count(F.lit(1)).alias("rows")).withColumns({"l": one, "r": one})
-    lists = materialize(_short_lists(classes, "l", "r").drop("l", "r"), "lists")
-    least = lists.groupBy("s").agg(F.min(F.struct("id", "n", "pos", "m")).alias("f"))
-    least = least.select("s", "f.*")
-    star = materialize(_pairs(least, lists, F.col("x.id") < F.col("y.id")), "star")
-    ids = lists.select("id").distinct()
+    lists = _short_lists(classes.withColumns({"l": one, "r": one}), "l", "r")
+    ids = materialize(lists.groupBy("id").agg(F.count(F.lit(1)).alias("in"), F.max("n").alias("n")).where(F.col("in") >= _least(F.col("n"))).select("id"), "ids")
     sets = materialize(sets_of(df, key, text, k, key_filter(ids, ids.count())).join(ids, "id"), "some")
+    posts = materialize(lists.join(ids, "id").select("s", "id", "n", "pos", "m"), "posts")
+    least = posts.groupBy("s").agg(F.min(F.struct("id", "n", "pos")).alias("f")).select("s", "f.*")
+    star = materialize(_pairs(least, posts, F.col("x.id") < F.col("y.id"), exact=False), "star")
     near = materialize(verified(star, sets, divide_skip), "near")
 
-    known = contracted(near, "a", "b").withColumnRenamed("group", "c")
-    tagged = lists.join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    tagged = materialize(tagged, "tagged")
+    known = materialize(contracted(near, "a", "b").withColumnRenamed("group", "c"), "known")
+    tagged = materialize(posts.join(known, "id", "left").withColumn("c", F.coalesce("c", "id")), "tagged")
     mixed = tagged.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
-    open_ = tagged.join(mixed, "s")
-    rest = _pairs(open_, open_, F.col("x.id") < F.col("y.id"), F.col("x.c") != F.col("y.c")).join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(rest, sets, divide_skip)
-
-    copies = described.join(_classes(described, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = materialize(near.union(more).union(copies), "links")
-    release(lists, star, sets, near, tagged)
-    # a copy's own class may hold the smallest id only as its representative: rep is in copies as (rep, rep)
-    groups = contracted(links, "a", "b")
-    release(described)
-    return groups.select(F.col("id").alias(key), F.col("group").alias("group_id"))
+    open_ = materialize(tagged.join(mixed, "s"), "open")
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
+    rest = _pairs(open_, open_, apart).join(star.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(verified(rest, sets, divide_skip), "more")
+    release(lists, star, sets, posts, tagged, open_)
+
+    # links between components, then the groups of all their members, then the copies
+    at = lambda c, to: known.select(F.col("id").alias(c), F.col("c").alias(to))
+    between = more.join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = materialize(contracted(between, "a", "b"), "joined")
+    lone = joined.join(known.select("id"), "id", "left_anti").select(F.col("id").alias("rep"), "group")
+    linked = known.join(joined.select(F.col("id").alias("c"), "group"), "c", "left").select(F.col("id").alias("rep"), F.coalesce("group", "c").alias("group")).union(lone)
+    many = classes.where("rows > 1").select("s1", "s2", "n", "rep")
+    groups = many.select("rep").union(linked.select("rep")).distinct().join(linked, "rep", "left").select("rep", F.coalesce("group", "rep").alias("group"))
+    copies = described.select("id", "s1", "s2", "n").join(many, ["s1", "s2", "n"]).where("id <> rep").select("id", "rep").join(groups, "rep").select("id", "group")
+    return groups.union(copies).select(F.col("rep").alias(key), F.col("group").alias("group_id"))
 
 
 def cross_pairs(df: DataFrame, train: Column, other: Column, key: str = "clause_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """(a, b): all pairs of a row where ``train`` holds and one where ``other`` holds whose likeness is at least 0.8; a is of train.
 
     Exact.  Equal shingle sets form a class.  The evaluation classes' prefixes
-    (rarest n - T + 1 shingles) are the index; the training classes' prefixes
+    (rarest n - T + c shingles) are the index; the training classes' prefixes
     probe it with length and position filters; surviving pairs of classes are
     verified on their whole sets and expanded by the classes' members.
 
@@ -102,16 +113,20 @@ def cross_pairs(df: DataFrame, train: Column, other: Column, key: str = "clause_
     side = F.when(train, 1).when(other, 2)
     described = _prepare(df.where(train | other), key, text, k, [side.alias("side")])
     classes = _classes(described, F.max(F.col("side") == 2).alias("index"), F.max(F.col("side") == 1).alias("probe"))
-    lists = materialize(_short_lists(classes, "index", "probe"), "lists")
+    lists = _short_lists(classes, "index", "probe")
     pairs = materialize(_pairs(lists.where("index"), lists.where("probe"), F.col("x.id") != F.col("y.id")), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = sets_of(df.where(train | other), key, text, k, key_filter(ids, ids.count()))
+    release(lists)
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sets = sets_of(df.where(train | other), key, text, k, key_filter(ids, ids.count())).join(ids, "id")
     near = materialize(verified(pairs, sets, merge_pairs), "near")
+    release(pairs)
 
-    reps = classes.select("s1", "s2", "n", "rep")
-    members = described.join(reps, ["s1", "s2", "n"])
+    # members of the classes that have a pair
+    reps = near.select(F.col("a").alias("rep")).union(near.select("b")).union(classes.where("index and probe").select("rep")).distinct()
+    members = described.select("id", "side", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "rep").join(reps, "rep"), ["s1", "s2", "n"])
+    members = materialize(members.select("rep", "id", "side"), "members")
     e, t = members.where("side = 2").select(F.col("rep").alias("a"), F.col("id").alias("eval_id")), members.where("side = 1").select(F.col("rep").alias("b"), F.col("id").alias("train_id"))
     same = e.join(t.withColumnRenamed("b", "a"), "a").select("train_id", "eval_id")
     cross = near.join(e, "a").join(t, "b").select("train_id", "eval_id")
-    release(lists, pairs)
+    release(classes, described)
     return same.union(cross).select(F.col("train_id").alias("a"), F.col("eval_id").alias("b"))

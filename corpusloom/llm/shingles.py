@@ -21,7 +21,8 @@ from corpusloom.plans.arrays import merged_array
 WORDS = 5
 #: Likeness of at least NUM / DEN counts as near-duplicate.
 NUM, DEN = 4, 5
-SKETCH_BITS = 20
+#: Short lists a pair must share, of those that are not set aside as long.
+SHARED = 3
 _CHUNK = 1 << 21
 _SEGMENT = 1 << 20
 _BYTES = mix(np.arange(1, 257, dtype=U))
@@ -68,20 +69,29 @@ def hashed(texts: list[str | None], k: int = WORDS) -> Iterator[tuple[int, int,
         yield lo, len(texts), *_hash_words(group, k)
 
 
-def rarity(df: DataFrame, text: str = "text", k: int = WORDS, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Quantised logarithms (8 bits) of the counts, by hash bucket, of the shingles of all rows; 2**bits bytes."""
+def sketch_bits(rows: int) -> int:
+    """Cells for about 32 a row, which keeps unrelated shingles apart; at most 2**24, so 16 MB are broadcast."""
+    return min(24, max(18, int(rows * 32).bit_length()))
+
+
+def rarity(df: DataFrame, text: str = "text", k: int = WORDS) -> np.ndarray:
+    """Quantised logarithms (8 bits) of the counts, by hash bucket, of the shingles of all rows; at most 16 MB."""
+    bits = sketch_bits(df.count())
 
     def count(batches):
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, _, _, h in hashed(batch.column(0).to_pylist(), k):
-                total += np.bincount((h & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        return total
+                np.add.at(total, (h & U((1 << bits) - 1)).astype(np.int64), 1)
+        return np.minimum(total, 65535).astype(np.uint16)
+
+    def add(a, b):
+        return np.minimum(a.astype(np.uint32) + b, 65535).astype(np.uint16)
 
-    total = merged_array(df.select(text), count, lambda a, b: np.add(a, b, out=a), "uint32")
+    total = merged_array(df.select(text), count, add, "uint16")
     if not len(total):
-        total = np.zeros(1 << bits, np.uint32)
-    return np.minimum(np.round(np.log2(total.astype(np.float64) + 1) * 7), 255).astype(np.uint8)
+        total = np.zeros(1 << bits, np.uint16)
+    return np.round(np.log2(total.astype(np.float32) + 1) * 15).astype(np.uint8)
 
 
 def ordered(doc: np.ndarray, h: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +119,17 @@ def least_overlap(n: np.ndarray | int):
     return (NUM * n + DEN - 1) // DEN
 
 
+def shared_short(n):
+    """min(SHARED, T): how many of the first shingles in common lie in both prefixes."""
+    return np.minimum(SHARED, least_overlap(n))
+
+
 def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: int = WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *extra, s1, s2, n, prefix): set signature, set size and the rarest n - T + 1 shingles of each text that has k words.
+    """(key, *extra, s1, s2, n, prefix): set signature, set size and the rarest n - T + c shingles of each text that has k words.
 
-    Two sets of likeness NUM / DEN share one of their prefixes' shingles, as at
-    most n - T shingles of the smaller's n may be missing from the other.
+    c = min(SHARED, T).  Sets of likeness NUM / DEN have T shingles or more in
+    common; behind the c-th of these in the common order lie T - c others, so
+    that the first c are in both prefixes.
     """
     shared = df.sparkSession.sparkContext.broadcast(rank)
     out = df.select(key, *extra, text)
@@ -129,7 +145,7 @@ def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: i
                 rows = doc[first]
                 n = np.diff(np.concatenate([first, [len(doc)]]))
                 s1, s2 = np.add.reduceat(h, first), np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)), first)
-                take = n - least_overlap(n) + 1
+                take = n - least_overlap(n) + shared_short(n)
                 keep = (np.arange(len(doc)) - np.repeat(first, n)) < np.repeat(take, n)
                 flat = pa.array(h[keep].view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), flat)

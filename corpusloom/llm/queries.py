@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import contract, labels, neardup
+from corpusloom.llm import canonical, contract, labels, mixing, neardup, spans, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,12 +31,52 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(_t(spark, d, "clauses"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_t(spark, d, "documents"))
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return spans.shared_shares(docs, spans.shared_spans(docs))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = canonical.collapsed(_t(spark, d, "raw_records"))
+    return rows.where("record_id <> keep").select(F.col("keep").alias("keep_id"), F.col("record_id").alias("copy_id"))
+
+
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = canonical.collapsed(_t(spark, d, "raw_records"))
+    return rows.where("record_id = keep").select("record_id", "copies")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return contract.match_groups(_t(spark, d, "match_pairs"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(_t(spark, d, "documents"))
+
+
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.Mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report().where("unreachable").select("source")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).documents()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found}
+    made = (p2_found, p3_found, p5_found, p5_shares, p6_found, p6_records, p7_found, p8_ids, p9_found, p9_mix, p9_shares)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 HOT_SHARE = 512
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
-    """left joined with right, whose ``key`` is unique; left is read twice or three times, so pass a written table.
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, weight: str | None = None) -> DataFrame:
+    """left joined with right, whose ``key`` is unique; left is read more than once, so pass a written table.
 
     Keys holding more than 1/512 of left's rows number fewer than 512, whatever
     the data: their rows of right are broadcast (a proven bound) and the rest
-    is joined by an ordinary shuffle, which has no hot key left.
+    is joined by an ordinary shuffle, which has no hot key left.  ``weight``
+    names a column of right with the number of left's rows of the key, which
+    saves counting them; it does not come out.
     """
     n = left.count() if rows is None else rows
+    bare = right.drop(weight) if weight else right
     if n < 100_000:
-        return left.join(right, key, how)
-    hot = [
-        r[0]
-        for r in left.groupBy(key).count().where(F.col("count") > n // HOT_SHARE).where(F.col(key).isNotNull()).select(key).collect()
-    ]
+        return left.join(bare, key, how)
+    counts = right.select(key, F.col(weight).alias("count")) if weight else left.groupBy(key).count()
+    hot = [r[0] for r in counts.where((F.col("count") > n // HOT_SHARE) & F.col(key).isNotNull()).select(key).collect()]
     if not hot:
-        return left.join(right, key, how)
+        return left.join(bare, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    top = left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
-    return top.unionByName(left.where(~is_hot).join(right.where(~F.col(key).isin(hot)), key, how))
+    top = left.where(is_hot).join(F.broadcast(bare.where(F.col(key).isin(hot))), key, how)
+    return top.unionByName(left.where(~is_hot).join(bare.where(~F.col(key).isin(hot)), key, how))

@@ -7,7 +7,6 @@ import numpy as np
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_ARITH = {"over": "ignore"}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,7 +60,7 @@ class RangeHash:
         return mix(h ^ ((end - start).astype(U) << U(44)))
 
 
-def _probes(h: np.ndarray, bits: int, k: int) -> list[np.ndarray]:
+def bloom_probes(h: np.ndarray, bits: int, k: int = 4) -> list[np.ndarray]:
     a, b = h.astype(U), mix(h.astype(U) ^ U(0xA5A5A5A5A5A5A5A5)) | U(1)
     return [((a + U(i) * b) & U(bits - 1)).astype(np.int64) for i in range(k)]
 
@@ -73,13 +72,13 @@ def bloom_bits(n: int, per_key: int = 10, max_bytes: int = 16 << 20) -> int:
 
 def bloom_add(filt: np.ndarray, h: np.ndarray, k: int = 4) -> None:
     """filt: one byte a bit."""
-    for p in _probes(h, len(filt), k):
+    for p in bloom_probes(h, len(filt), k):
         filt[p] = 1
 
 
 def bloom_has(packed: np.ndarray, h: np.ndarray, k: int = 4) -> np.ndarray:
     """packed: np.packbits(filt, bitorder='little')."""
     ok = np.ones(len(h), bool)
-    for p in _probes(h, len(packed) * 8, k):
+    for p in bloom_probes(h, len(packed) * 8, k):
         ok &= (packed[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
     return ok

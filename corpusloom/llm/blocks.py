@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import U, bloom_add, bloom_bits, mix
+from corpusloom.functions.hashing import U, bloom_add, bloom_bits, bloom_probes, mix
 from corpusloom.llm.shingles import DEN, NUM, least_overlap
 from corpusloom.plans.arrays import merged_array
 
@@ -31,6 +31,39 @@ def key_filter(ids: DataFrame, n: int) -> np.ndarray:
     return out if len(out) else np.zeros(bits // 8, np.uint8)
 
 
+def repeat_filter(hashes: DataFrame, n: int, max_bytes: int = 16 << 20) -> np.ndarray:
+    """A packed Bloom filter that holds every value of a bigint column occurring in two rows, and few others.
+
+    Each partition keeps two filters, of values seen once and of values seen
+    again; when two partitions are merged, what both saw once counts as seen
+    again.  The merge works bit by bit, so it never misses a repeated value.
+    The size follows n up to max_bytes; beyond that more single values pass, at
+    a cost in shuffle and none in the result.
+    """
+    bits = bloom_bits(max(n, 1), max_bytes=max_bytes)
+
+    def seen(batches):
+        once, again = np.zeros(bits, np.uint8), np.zeros(bits, np.uint8)
+        for b in batches:
+            keys, counts = np.unique(mix(b.column(0).to_numpy(zero_copy_only=False).view(U)), return_counts=True)
+            probes = bloom_probes(keys, bits)
+            old = np.ones(len(keys), bool)
+            for p in probes:
+                old &= once[p] == 1
+            old |= counts > 1
+            for p in probes:
+                once[p] = 1
+                again[p[old]] = 1
+        low, high = np.packbits(once, bitorder="little"), np.packbits(again, bitorder="little")
+        return low.astype(np.uint16) | high.astype(np.uint16) << np.uint16(8)
+
+    def merge(a, b):
+        return a | b | ((a & b & np.uint16(255)) << np.uint16(8))
+
+    both = merged_array(hashes, seen, merge, "uint16")
+    return (both >> 8).astype(np.uint8) if len(both) else np.zeros(bits // 8, np.uint8)
+
+
 def enough(o, n1, n2):
     """Whether an overlap o of sets of n1 and n2 is a likeness of NUM / DEN."""
     return o * (NUM + DEN) >= NUM * (n1 + n2)

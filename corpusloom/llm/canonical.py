@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 from hashlib import md5
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import U, bloom_bits, bloom_has, mix, _probes
-from corpusloom.plans.arrays import merged_array
+from corpusloom.functions.hashing import U, bloom_has, mix
+from corpusloom.llm.blocks import repeat_filter
 from corpusloom.plans.lineage import materialize
 from corpusloom.plans.skew import lookup_join
 
@@ -29,47 +28,10 @@ def canonical(text: str | None) -> str | None:
     return md5("\n".join(pieces).encode("utf-8", "surrogatepass")).hexdigest() if pieces else None
 
 
-def _hash64(keys: list[str]) -> np.ndarray:
-    return mix(np.fromiter((int(k[:16], 16) for k in keys), U, len(keys)))
-
-
-def repeat_filter(hashed: DataFrame, n: int, max_bytes: int = 16 << 20) -> np.ndarray:
-    """A packed Bloom filter that holds every key occurring in two rows of ``hashed``, and few others.
-
-    Each partition keeps two filters, of keys seen once and of keys seen again;
-    when two partitions are merged, what both saw once counts as seen again.
-    The merge works bit by bit, so it never misses a repeated key.  The size
-    follows n up to max_bytes; beyond that more single keys pass, at a cost in
-    shuffle and none in the result.
-    """
-    bits = bloom_bits(max(n, 1), max_bytes=max_bytes)
-
-    def seen(batches):
-        once, again = np.zeros(bits, np.uint8), np.zeros(bits, np.uint8)
-        for b in batches:
-            keys, counts = np.unique(_hash64(b.column(0).to_pylist()), return_counts=True)
-            probes = _probes(keys, bits, 4)
-            old = np.ones(len(keys), bool)
-            for p in probes:
-                old &= once[p] == 1
-            old |= counts > 1
-            for p in probes:
-                once[p] = 1
-                again[p[old]] = 1
-        low, high = np.packbits(once, bitorder="little"), np.packbits(again, bitorder="little")
-        return low.astype(np.uint16) | high.astype(np.uint16) << np.uint16(8)
-
-    def merge(a, b):
-        return a | b | ((a & b & np.uint16(255)) << np.uint16(8))
-
-    both = merged_array(hashed, seen, merge, "uint16")
-    return (both >> 8).astype(np.uint8) if len(both) else np.zeros(bits // 8, np.uint8)
-
-
 def collapsed(df: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
     """(key, keep, copies) for every row: the smallest key of its set of copies, and the set's size.
 
-    Only rows that may have a copy, by the filter of repeat_filter, are
+    Only rows that may have a copy, by blocks.repeat_filter, are
     shuffled for exact grouping; the others are singletons.  A set may hold
     any share of the rows: groups are pre-aggregated and hot ones looked up by
     broadcast.  Rows without pieces (null, empty, punctuation only) are
@@ -78,17 +40,19 @@ def collapsed(df: DataFrame, key: str = "record_id", text: str = "text") -> Data
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([canonical(t) for t in b.column(1).to_pylist()], pa.string())], names=["key", "h"])
+            h = [canonical(t) for t in b.column(1).to_pylist()]
+            short = [x and int(x[:15], 16) for x in h]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.string()), pa.array(short, pa.int64())], names=["key", "h", "short"])
 
     kind = df.schema[key].dataType.simpleString()
-    hashed = materialize(df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, h string"), "hashes")
+    hashed = materialize(df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, h string, short bigint"), "hashes")
     real = hashed.where("h is not null")
-    shared = df.sparkSession.sparkContext.broadcast(repeat_filter(real.select("h"), real.count()))
+    shared = df.sparkSession.sparkContext.broadcast(repeat_filter(real.select("short"), real.count()))
 
     def probe(batches):
         for b in batches:
-            ok = bloom_has(shared.value, _hash64(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok)], names=["key", "h", "maybe"])
+            ok = bloom_has(shared.value, mix(b.column(2).to_numpy().view(U)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], names=["key", "h", "maybe"])
 
     probed = materialize(real.mapInArrow(probe, f"key {kind}, h string, maybe boolean"), "probed")
     maybe = probed.where("maybe").select("key", "h")

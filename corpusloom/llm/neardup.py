@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import divide_skip, key_filter, merge_pairs, verified
+from corpusloom.functions.hashing import U, bloom_has, mix
+from corpusloom.llm.blocks import divide_skip, key_filter, merge_pairs, repeat_filter, verified
 from corpusloom.llm.contract import contracted
 from corpusloom.llm.shingles import DEN, NUM, SHARED, WORDS, prefixes, rarity, sets_of
 from corpusloom.plans.lineage import materialize, release
@@ -17,10 +20,26 @@ def _classes(described: DataFrame, *flags: Column) -> DataFrame:
     return materialize(grouped, "classes")
 
 
-def _short_lists(classes: DataFrame, left: str, right: str) -> DataFrame:
-    """The inverted lists of prefix shingles with two sets or more, of which one has flag left and one flag right; m is a list's length."""
-    posts = classes.select("rep", "n", left, right, F.posexplode("prefix").alias("pos", "s")).select("s", F.col("rep").alias("id"), "n", "pos", left, right)
-    lists = posts.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max(left).alias("l"), F.max(right).alias("r")).where("m > 1 and l and r").select("s", "m")
+def _postings(classes: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(s, id, n, pos) of the prefix shingles that may be in a packed Bloom filter."""
+    shared = classes.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(2)
+            s = lists.flatten().to_numpy().view(U)
+            lens = np.diff(lists.offsets.to_numpy())
+            pos = np.arange(len(s)) - np.repeat(np.cumsum(lens) - lens, lens)
+            keep = np.flatnonzero(bloom_has(shared.value, mix(s)))
+            row = pa.array(np.repeat(np.arange(b.num_rows), lens)[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(pos[keep].astype(np.int32))], names=["s", "id", "n", "pos"])
+
+    return classes.select("rep", "n", "prefix").mapInArrow(run, "s bigint, id bigint, n int, pos int")
+
+
+def _lists(posts: DataFrame) -> DataFrame:
+    """The postings of lists with two sets or more, and each list's length m."""
+    lists = posts.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s", "m")
     return materialize(posts.join(lists, "s"), "lists")
 
 
@@ -69,8 +88,8 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     """
     described = _prepare(df, key, text, k, [])
     classes = _classes(described)
-    one = F.lit(True)
-    lists = _short_lists(classes.withColumns({"l": one, "r": one}), "l", "r")
+    shingles = classes.select(F.explode("prefix"))
+    lists = _lists(_postings(classes, repeat_filter(shingles, shingles.count())))
     ids = materialize(lists.groupBy("id").agg(F.count(F.lit(1)).alias("in"), F.max("n").alias("n")).where(F.col("in") >= _least(F.col("n"))).select("id"), "ids")
     sets = materialize(sets_of(df, key, text, k, key_filter(ids, ids.count())).join(ids, "id"), "some")
     posts = materialize(lists.join(ids, "id").select("s", "id", "n", "pos", "m"), "posts")
@@ -85,7 +104,7 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
     rest = _pairs(open_, open_, apart).join(star.select("a", "b"), ["a", "b"], "left_anti")
     more = materialize(verified(rest, sets, divide_skip), "more")
-    release(lists, star, sets, posts, tagged, open_)
+    release(lists, ids, star, sets, posts, tagged, open_)
 
     # links between components, then the groups of all their members, then the copies
     at = lambda c, to: known.select(F.col("id").alias(c), F.col("c").alias(to))
@@ -113,9 +132,14 @@ def cross_pairs(df: DataFrame, train: Column, other: Column, key: str = "clause_
     side = F.when(train, 1).when(other, 2)
     described = _prepare(df.where(train | other), key, text, k, [side.alias("side")])
     classes = _classes(described, F.max(F.col("side") == 2).alias("index"), F.max(F.col("side") == 1).alias("probe"))
-    lists = _short_lists(classes, "index", "probe")
-    pairs = materialize(_pairs(lists.where("index"), lists.where("probe"), F.col("x.id") != F.col("y.id")), "pairs")
-    release(lists)
+    wanted = classes.where("index").select(F.explode("prefix"))
+    probe = materialize(_postings(classes.where("probe"), key_filter(wanted, wanted.count())), "probe")
+    probed = probe.select("s")
+    index = materialize(_postings(classes.where("index"), key_filter(probed, probed.count())), "index")
+    sizes = index.select("s", F.lit(1).alias("i")).union(probe.select("s", F.lit(0))).groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("i").alias("i"), F.min("i").alias("p"))
+    probe = probe.join(sizes.where("i = 1 and p = 0").select("s", "m"), "s")
+    pairs = materialize(_pairs(index.withColumn("m", F.lit(0)), probe, F.col("x.id") != F.col("y.id")), "pairs")
+    release(index)
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     sets = sets_of(df.where(train | other), key, text, k, key_filter(ids, ids.count())).join(ids, "id")
     near = materialize(verified(pairs, sets, merge_pairs), "near")

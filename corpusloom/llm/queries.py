@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, contract, labels, mixing, neardup, spans, tokens
+from corpusloom.llm import canonical, contract, groupsplit, labels, mixing, neardup, sampling, spans, tokens, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,6 +18,24 @@ def _clauses(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return labels.with_split(_t(spark, d, "clauses").select(*columns, "split"), _t(spark, d, "split_aliases"))
 
 
+def _sample(spark: SparkSession, d: str) -> sampling.TargetSample:
+    rows = labels.with_category(_clauses(spark, d, "clause_id", "label", "label_name", "source").drop("split"), _t(spark, d, "label_names"))
+    rows = rows.select("clause_id", F.col("side").alias("split"), "category", labels.plain(F.col("source")).alias("group"))
+    return sampling.TargetSample(rows, _t(spark, d, "sample_targets"), "clause_id")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).report().where("gap > 0").select("split", "label_name")
+
+
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).drawn()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).report()
+
+
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = _clauses(spark, d, "clause_id", "text")
     return neardup.cross_pairs(rows, F.col("side") == "train", F.col("side").isin("dev", "calib", "test"))
@@ -27,10 +45,34 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pairs(spark, d).select(F.least("a", "b").alias("clause_id_a"), F.greatest("a", "b").alias("clause_id_b"))
 
 
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation clauses with a partner in train, and pairs, by split and source."""
+    rows = _clauses(spark, d, "clause_id", "source").select(F.col("clause_id").alias("b"), "side", labels.plain(F.col("source")).alias("source"))
+    n = F.count(F.lit(1))
+    return p2_pairs(spark, d).join(rows, "b").groupBy(F.col("side").alias("split"), "source").agg(n.alias("pairs"), F.count_distinct("b").alias("clauses"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(_t(spark, d, "clauses"))
 
 
+def _split(spark: SparkSession, d: str) -> groupsplit.GroupSplit:
+    rows = _clauses(spark, d, "clause_id", "dup_cluster", "label")
+    return groupsplit.GroupSplit(rows.select(F.col("clause_id").alias("key"), F.col("dup_cluster").alias("cluster"), "label", "side"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).broken().select(F.col("cluster").cast("int").alias("dup_cluster"))
+
+
+def p4_split(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).rows_split().select(F.col("key").alias("clause_id"), "cluster", "split")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).report()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_t(spark, d, "documents"))
 
@@ -74,8 +116,24 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report()
 
 
+def _cuts(spark: SparkSession, d: str) -> truncation.Truncation:
+    return truncation.Truncation(_t(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d).flagged().where("cut").select("doc_id")
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d).report()
+
+
+def p10_hazards(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d).hazards().where("significant").select("feed", "unit", "length", "ended", "at_risk")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p2_found, p3_found, p5_found, p5_shares, p6_found, p6_records, p7_found, p8_ids, p9_found, p9_mix, p9_shares)
+    made = (p1_found, p1_sample, p1_report, p2_found, p2_report, p3_found, p4_found, p4_split, p4_report, p5_found, p5_shares, p6_found, p6_records, p7_found, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_report, p10_hazards)
     return {f.__name__: f for f in made}
 
 

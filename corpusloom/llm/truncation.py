@@ -4,81 +4,169 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.labels import plain
 from corpusloom.plans.lineage import materialize
 
-# What may follow a text, whole or cut: page feet, rules, signatures, headings, remarks, a feed's own line.
-_COMPANY = r"[^.\n]{1,80}?(?: (?:Holdings, Inc|S\.A|B\.V|Ltd|Inc|Corp|Co|plc|LLC|AG|GmbH|LP|Trust|Cooperative|Corporation)\b)?"
-_TAILS = [
-    re.compile(p)
-    for p in (
-        r"\n\s*\* ?\* ?\*\s*$",
-        r"\n\s*[-–—] ?\d+ ?[-–—]\s*$",
-        r"\n\s*[Pp]age \d+(?: of \d+)?\s*$",
-        r"\s*\[(?:Signature page follows|End|End of extract|end of extract)\.?\]\s*$",
-        r"\s*\n\s*END OF [A-Z]+\s*$",
-        r"\s*[“\"](?:So agreed|Done in duplicate)\.[”\"]\s*$",
-        r"\s*\((?:see the [a-z ]+|emphasis added|continued|sic)\.?\)\.?\s*$",
-        r"\s*[-–—] end of extract\.?\s*$",
-        r"\n\s*By:[ _]*\n\s*(?:Its|Name|Title|Date): ?[^\n]{0,60}\s*$",
-        r"\n\s*(?:Schedule|Exhibit|Annex|ANNEX|Appendix|Anlage|Annexe|Anexo) \d+ ?(?::|-|to|\()[^\n]{1,80}$",
-        r"\s*(?:Prepared by|Filed under|A copy has been sent to|The original remains with) " + _COMPANY + r"\.\s*$",
-    )
-]
-# A table's closing row ends a whole text.
-_TABLE = re.compile(r"\n\s*(?:Total|Item \d+)\b[^\n.]{0,40}?\s{2}\S[^\n]*\d(?: dollars| euros| €)?\s*$")
+# What may follow a text, whole or cut, in its last line: page feet, rules, remarks, notes of the feed, headings.
+_LAST_LINE = re.compile(
+    r"^(?:\* ?\* ?\*|[-–—] ?\d+ ?[-–—]|[Pp]age \d+(?: of \d+)?|\[Signature page follows\]|END OF [A-Z]+"
+    r"|(?:Schedule|Exhibit|Annex|ANNEX|Appendix|Anlage|Annexe|Anexo) \d+ ?(?::|-|to|\().{1,80}"
+    r"|By:[ _]*|(?:Its|Name|Title|Date): ?.{0,60})$"
+)
+# The same at the end of a line of text.
+_REMARK = re.compile(
+    r"(?:\[(?:Signature page follows|End|End of extract)\.?\]|[“\"](?:So agreed|Done in duplicate)\.[”\"]"
+    r"|\((?:see the [a-z ]+|emphasis added|continued)\.?\)\.?|[-–—] end of extract\.?)$",
+    re.I,
+)
+_NOTES = ("Prepared by ", "A copy has been sent to ", "The original remains with ")
+_CLOSING = "Filed under "
 _HEADING = re.compile(r"^\s*(?:Schedule|Exhibit|Annex|ANNEX|Appendix|Anlage|Annexe|Anexo) \d+\b[^\n]{0,90}$")
-# Marks that a cut leaves behind: ellipses, and starts of escapes.
-_ELLIPSIS = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\])$")
-_ESCAPE = re.compile(r"(?:\\u?[0-9a-fA-F]{0,4}|\\x[0-9a-fA-F]?|%(?:[0-9A-F]{2}%)*[0-9A-F]?|&#?[A-Za-z0-9]{0,6})$")
-_MOJIBAKE = re.compile(r"(?:�|[ÃÂ]|â€?)$")
+_ROW = re.compile(r"^(?:Total|Item \d+)\b.* {2,}\S.*\d(?: dollars| euros| €)?$")
+# Marks that a cut leaves: an ellipsis, the start of an escape, half of a character.
+_MARK = re.compile(r"(?:…|\.\.\.|\[…\]|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]?)?|%(?:[0-9A-F]{2}%)*[0-9A-F]?|&(?:#[0-9xX][0-9a-fA-F]*|#|[A-Za-z]{1,6})?|�|[ÃÂ]|â€?)$")
 _STOP = re.compile(r"[.!?。؟।][\"”’»)\]]*$")
-# A full stop that closes no sentence: abbreviations, ordinals before a month, a number or section broken at its point.
-_ABBREVIATED = re.compile(r"(?:\b(?:Inc|Ltd|Co|Corp|No|Nos|Art|Nr|Abs|Ziff|art|núm|pág|p|pp|cf|vs|Mr|Ms|Dr|St)|\b(?:[A-Z]\.)+[A-Z])\.$")
-_ORDINAL = re.compile(r"\b(?:am|zum|vom|dem|den|bis|ab) \d{1,2}\.$")
-_BROKEN = re.compile(r"(?:\b(?:Section|article|cláusula|Ziffer|clause|Article|under|at|by|exceeds|beyond|of|for|de|von|à|USD|than|pays|sum of) (?:USD )?[$€]?\d{1,3}\.|[$€]\d{1,3}\.|\b\d{1,3}(?:\.\d{3})+\.|\b(?:von|de) \d{1,3}\.)$")
+# Full stops that close no sentence: of an abbreviation, an ordinal before its month, a number or section broken at its point.
+_OPEN_STOP = re.compile(
+    r"(?:\b(?:Inc|Ltd|No|Nos|Art|Nr|Abs|Ziff|art|núm|pág|vs)|\b(?:[A-Z]\.)+[A-Z]|\b(?:am|zum|vom|dem|ab|bis) \d{1,2}"
+    r"|\b(?:Section|Ziffer|l'article|cláusula) \d{1,2}|[$€] ?\d{1,3}|\b(?:exceeds|beyond|at|by|von|laut) \d{1,3})\.$"
+)
+# A numbered heading without its clause.
+_BARE_HEADING = re.compile(r"(?:^|\n)\s*\d+\.\d+ [A-Z][\w ]{2,40}\.$")
 
 WHOLE, WEAK, STRONG = 0, 1, 2
 
 
-def body(text: str) -> str:
-    """The text without what follows it: feet, rules, signatures, headings, remarks."""
-    text = text.rstrip()
-    for _ in range(8):
-        for tail in _TAILS:
-            m = tail.search(text, max(0, len(text) - 1000))
-            if m and m.end() == len(text) and m.start() > 0:
-                text = text[: m.start()].rstrip(" \t\r\n\x0b\x0c")
-                break
-        else:
-            return text
-    return text
+def body(text: str) -> tuple[str, bool]:
+    """(the text without what follows it, whether a closing sentence or a table's row ends it)."""
+    t = text.rstrip()
+    for _ in range(12):
+        at = t.rfind("\n")
+        last = t[at + 1 :].strip()
+        if _ROW.match(last):
+            return t, True
+        if at >= 0 and len(last) < 120 and _LAST_LINE.match(last):
+            t = t[:at].rstrip()
+            continue
+        end = t[-60:]
+        m = _REMARK.search(end) if end[-1:] in ")]”\".t" else None
+        if m:
+            t = t[: len(t) - len(end) + m.start()].rstrip()
+            continue
+        if t.endswith("."):
+            tail = t[-180:]
+            if (k := max(tail.rfind(p) for p in _NOTES)) > 0 and "\n" not in tail[k:]:
+                t = t[: len(t) - len(tail) + k].rstrip()
+                continue
+            if (k := t.rfind(_CLOSING)) > 0 and "." not in t[k:-1]:
+                return t, True
+        break
+    return t, False
 
 
 def ending(text: str | None) -> int:
-    """How the text ends: WHOLE, WEAK (at a full stop that need not close a sentence) or STRONG (inside a word, number or sentence).
+    """How the text ends: STRONG inside a word, number or sentence; WEAK where that needs the length's witness; else WHOLE.
 
-    Null, empty and blank texts are whole, as are headings and tables.
+    Null, empty and blank texts are whole, as are headings, tables and texts
+    with a closing sentence.
     """
-    if not text or not text.strip():
+    if not text or not text.strip() or (len(text) < 140 and _HEADING.match(text.rstrip())):
         return WHOLE
-    if _HEADING.match(text.rstrip()):
+    t, closed = body(text)
+    if closed or not t or (len(t) < 140 and _HEADING.match(t)):
         return WHOLE
-    t = body(text)
-    if _HEADING.match(t) or _TABLE.search(t, max(0, len(t) - 200)):
-        return WHOLE
-    if not t.strip():
-        return WHOLE
-    if _ELLIPSIS.search(t) or _ESCAPE.search(t) or _MOJIBAKE.search(t):
-        return STRONG
-    if not _STOP.search(t):
+    end = t[-80:]
+    if _MARK.search(end) or not _STOP.search(end) or _OPEN_STOP.search(end):
         return STRONG
-    if _ORDINAL.search(t):
+    if end[-1] in "]”" and "[“"["]”".index(end[-1])] not in end:  # a mark of the cut: it closes nothing
         return STRONG
-    if _ABBREVIATED.search(t) or _BROKEN.search(t):
-        return WEAK
-    return WHOLE
+    return WEAK if _BARE_HEADING.search(end) else WHOLE
+
+
+def _endings(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    rows = df.select(F.col(key).alias("key"), plain(F.col(source)).alias("feed"), F.col(text).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    b.column(1),
+                    pa.array([len(t) if t else 0 for t in texts], pa.int32()),
+                    pa.array([len(t.encode("utf-8", "replace")) if t else 0 for t in texts], pa.int32()),
+                    pa.array(np.fromiter(map(ending, texts), np.int8, len(texts)), pa.int8()),
+                ],
+                names=["key", "feed", "chars", "bytes", "state"],
+            )
+
+    return rows.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, feed string, chars int, bytes int, state tinyint")
+
+
+class Truncation:
+    """Cut texts, the lengths at which feeds cut, and how often they do.
+
+    A feed's hazard at a length is the share of its texts that end there among
+    those at least as long, counted in characters and in bytes of UTF-8.  Each
+    is tested against the hazard of its neighbours (``near`` lengths on either
+    side, itself left out) with a Chernoff bound on the Poisson tail, and the
+    false discovery rate over all lengths is held at ``fdr`` by the rule of
+    Benjamini and Hochberg.  At significant lengths weakly incomplete endings
+    count as cut; endings inside a word, number or sentence are cuts at any
+    length, as transfers break anywhere.  A whole ending is never a case,
+    however many texts share its length.
+
+    Null, empty and blank texts are never cut.  A null source is a feed of its
+    own in the report; repeated keys are separate rows.
+    """
+
+    def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", near: int = 25, fdr: float = 0.01, least: int = 4):
+        self.key, self.near, self.fdr, self.least = key, near, fdr, least
+        self.rows = materialize(_endings(df, key, text, source), "endings")
+
+    def hazards(self) -> DataFrame:
+        """(feed, unit, length, ended, at_risk, expected, p, significant), for lengths with at least one text.
+
+        At most ``longest text`` lengths a feed and unit have a row, so windows
+        run over this table and never over the documents.
+        """
+        unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
+        counts = self.rows.where("chars > 0").select(F.coalesce("feed", F.lit("")).alias("feed"), unit.alias("x")).groupBy("feed", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("ended"))
+        by = Window.partitionBy("feed", "unit").orderBy("length")
+        around = by.rangeBetween(-self.near, self.near)
+        onward = by.rangeBetween(0, Window.unboundedFollowing)
+        h = counts.withColumns({"at_risk": F.sum("ended").over(onward), "others": F.sum("ended").over(around) - F.col("ended")})
+        # half a text more than was seen keeps empty neighbourhoods from proving anything
+        expected = (F.col("others") + 0.5) / (2 * self.near)
+        k = F.col("ended").cast("double")
+        h = h.withColumn("expected", expected).withColumn("p", F.when(k > expected, F.exp(-(k * F.log(k / expected) - k + expected))).otherwise(1.0))
+        return self._discovered(h)
+
+    def _discovered(self, h: DataFrame) -> DataFrame:
+        """Benjamini-Hochberg over the p-values of all rows; the sort holds only lengths with ``least`` texts or more."""
+        tests = h.agg(F.count(F.lit(1)).alias("tests"))
+        able = h.where(F.col("ended") >= self.least).where(F.col("p") <= self.fdr)
+        ranked = able.withColumn("rank", F.row_number().over(Window.orderBy("p"))).crossJoin(F.broadcast(tests))
+        cut = ranked.where(F.col("p") <= F.lit(self.fdr) * F.col("rank") / F.col("tests")).agg(F.coalesce(F.max("p"), F.lit(-1.0)).alias("cut"))
+        return h.crossJoin(F.broadcast(cut)).withColumn("significant", (F.col("ended") >= self.least) & (F.col("p") <= F.col("cut"))).drop("cut", "others")
+
+    def flagged(self) -> DataFrame:
+        """(key, feed, chars, state, at_limit, cut) of every row."""
+        limits = self.hazards().where("significant").groupBy("feed", "length").agg(F.count_if(F.col("unit") == "chars").alias("c"), F.count_if(F.col("unit") == "bytes").alias("b"))
+        rows = self.rows.withColumn("_f", F.coalesce("feed", F.lit("")))
+        limits = materialize(limits, "limits")
+        c = limits.where("c > 0").select(F.col("feed").alias("_f"), F.col("length").alias("chars"), F.lit(True).alias("at_c"))
+        b = limits.where("b > 0").select(F.col("feed").alias("_f"), F.col("length").alias("bytes"), F.lit(True).alias("at_b"))
+        out = rows.join(c, ["_f", "chars"], "left").join(b, ["_f", "bytes"], "left").withColumn("at_limit", F.coalesce("at_c", "at_b", F.lit(False)))
+        cut = (F.col("state") == STRONG) | ((F.col("state") == WEAK) & F.col("at_limit"))
+        return out.select(F.col("key").alias(self.key), "feed", "chars", "state", "at_limit", cut.alias("cut"))
+
+    def report(self) -> DataFrame:
+        """(source, docs, cut, cut_share, cut_at_limit) by feed."""
+        n = self.flagged().groupBy(F.col("feed").alias("source")).agg(F.count(F.lit(1)).alias("docs"), F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("cut_at_limit"))
+        return n.withColumn("cut_share", F.round(F.col("cut") / F.col("docs"), 6))

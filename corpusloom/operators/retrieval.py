@@ -117,3 +117,53 @@ def ndcg_at_k(ranked: DataFrame, judgements: DataFrame, queries: DataFrame, k: i
     out = queries.select("query_id").distinct().join(ideal, "query_id", "left").join(got, "query_id", "left")
     ndcg = F.when(F.coalesce("ideal", F.lit(0.0)) == 0, float("nan")).otherwise(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal"))
     return out.select("query_id", F.round(ndcg, 6).alias("ndcg"))
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", k: int = 5, block: int = 4096) -> DataFrame:
+    """(query_id, rank, key, distance): the k nearest vectors of each query, the query itself left out.
+
+    Queries are sent to the scan in blocks of at most ``block``; each partition
+    keeps its best k of every query, so k rows a query and partition are
+    shuffled, whatever the vectors' number.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = vectors.sparkSession
+    kind = vectors.schema[key].dataType.simpleString()
+    schema = f"query_id {kind}, `{key}` {kind}, distance double"
+    rows = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("v")).orderBy("q")
+    out = None
+    held: list = []
+
+    def scan(part: list) -> DataFrame:
+        ids, mat = np.array([r["q"] for r in part]), np.array([r["v"] for r in part], dtype=float)
+        shared = spark.sparkContext.broadcast((ids, mat))
+
+        def run(batches):
+            qid, q = shared.value
+            best = None
+            for pdf in batches:
+                x, xid = np.stack(pdf[vector].to_numpy()).astype(float), pdf[key].to_numpy()
+                for at in range(0, len(xid), 2048):
+                    d = np.sqrt(((q[:, None, :] - x[None, at : at + 2048]) ** 2).sum(2)) if len(q) <= 256 else np.stack([np.sqrt(((v - x[at : at + 2048]) ** 2).sum(1)) for v in q])
+                    ids_ = xid[at : at + 2048]
+                    d = np.where(qid[:, None] == ids_[None], np.inf, d)
+                    top = np.argsort(d, axis=1, kind="stable")[:, : k + 8]
+                    f = pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), key: ids_[top].ravel(), "distance": np.round(np.take_along_axis(d, top, 1), 6).ravel()})
+                    best = f if best is None else pd.concat([best, f])
+                best = best.sort_values(["query_id", "distance", key]).groupby("query_id").head(k)
+            if best is not None:
+                yield best[np.isfinite(best["distance"])]
+
+        return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, schema)
+
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            out, held = scan(held) if out is None else out.union(scan(held)), []
+    if held or out is None:
+        part = scan(held) if held else spark.createDataFrame([], schema)
+        out = part if out is None else out.union(part)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "distance")

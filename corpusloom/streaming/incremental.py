@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.patterns import DEFINED_TERM, GOVERNING_LAW
@@ -15,9 +15,11 @@ from corpusloom.functions.text import shingles
 
 def entity_stream(docs: DataFrame, key: str = "clause_id", text: str = "text") -> DataFrame:
     """(key, label, entity) of a stream of documents, in the JVM and without state."""
-    found = F.concat(
-        *(F.transform(captures(F.col(text), p), lambda e, lab=lab: F.struct(F.lit(lab).alias("label"), e.alias("entity"))) for lab, p in (("GOVERNING_LAW", GOVERNING_LAW), ("DEFINED_TERM", DEFINED_TERM)))
-    )
+
+    def labelled(label: str, pattern: str) -> Column:
+        return F.transform(captures(F.col(text), pattern), lambda e: F.struct(F.lit(label).alias("label"), e.alias("entity")))
+
+    found = F.concat(labelled("GOVERNING_LAW", GOVERNING_LAW), labelled("DEFINED_TERM", DEFINED_TERM))
     return docs.select(key, F.explode(found).alias("x")).select(key, "x.label", "x.entity")
 
 

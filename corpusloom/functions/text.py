@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row; a lambda would otherwise compute an outer expression for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalised(text: Column) -> Column:
     """Lower case, white space collapsed to one blank, trimmed; null stays null."""
     return F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
@@ -20,8 +27,7 @@ def normalised(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of the normalised text; the empty text has none."""
-    n = normalised(text)
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+    return let(normalised(text), lambda n: F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " ")))
 
 
 def word_count(text: Column) -> Column:
@@ -30,10 +36,11 @@ def word_count(text: Column) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """The distinct word k-grams; a text of fewer words is one shingle as a whole, and the empty text is the shingle ''."""
-    n = normalised(text)
-    w = F.split(n, " ")
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) < k, F.array(n)).otherwise(F.array_distinct(grams))
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(each))
+
+    return let(F.split(normalised(text), " "), grams)
 
 
 def tokens(text: Column) -> Column:
@@ -54,10 +61,11 @@ def without_accents(text: Column) -> Column:
 
 def with_bigrams(toks: Column) -> Column:
     """Tokens and pairs of neighbours joined by a blank."""
-    two = F.when(
-        F.size(toks) >= 2, F.transform(F.sequence(F.lit(1), F.size(toks) - 1), lambda i: F.concat(F.element_at(toks, i), F.lit(" "), F.element_at(toks, (i + 1).cast("int"))))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(toks, two)
+    def pairs(t: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat(F.element_at(t, i), F.lit(" "), F.element_at(t, (i + 1).cast("int"))))
+        return F.concat(t, F.when(F.size(t) >= 2, two).otherwise(F.array().cast("array<string>")))
+
+    return let(toks, pairs)
 
 
 def content_id(text: Column) -> Column:

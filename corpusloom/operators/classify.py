@@ -9,7 +9,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import CountVectorizer, IndexToString, StringIndexer
+from pyspark.ml.feature import CountVectorizer, IndexToString, NGram, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.regression import IsotonicRegression
@@ -104,8 +104,12 @@ class Tokens(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defa
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        t = tokens(F.coalesce(F.col(self.getInputCol()), F.lit("")))
-        return df.withColumn(self.getOutputCol(), with_bigrams(t) if self.getOrDefault(self.bigrams) else t)
+        out = self.getOutputCol()
+        df = df.withColumn(out, tokens(F.coalesce(F.col(self.getInputCol()), F.lit(""))))
+        if self.getOrDefault(self.bigrams):  # not by with_bigrams: the planner keeps lambdas and Python functions apart
+            df = NGram(n=2, inputCol=out, outputCol="_pairs").transform(df)
+            df = df.withColumn(out, F.concat(out, "_pairs")).drop("_pairs")
+        return df
 
 
 class SublinearTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

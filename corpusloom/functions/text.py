@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,8 +51,6 @@ def tokens(text: Column) -> Column:
 
 def without_accents(text: Column) -> Column:
     """Text without combining marks after canonical decomposition; needs an Arrow function, as no built-in decomposes."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKD").str.replace(r"[̀-ͯ]", "", regex=True)

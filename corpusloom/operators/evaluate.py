@@ -86,5 +86,5 @@ def precision_recall(outcomes: DataFrame) -> DataFrame:
     p = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), nan)
     r = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), nan)
     f = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), nan)
-    undefined = F.isnan(p) | F.isnan(r)
+    undefined = F.isnan(p) | F.isnan(r) | (F.col("tp") == 0)
     return counts.select("label", "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(undefined, nan).otherwise(f), 6).alias("f1"))

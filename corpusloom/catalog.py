@@ -144,7 +144,7 @@ def shingle_counts(spark, d):
 def minhash_signatures(spark, d):
     n = _BANDS * _ROWS
     sigs = neardup.signatures(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", n)
-    return sigs.select(F.col("id").alias("clause_id"), F.md5(F.concat_ws(",", *(f"m{i}" for i in range(n)))).alias("signature"))
+    return sigs.select(F.col("id").alias("clause_id"), F.md5(F.array_join(F.col("m").cast("array<string>"), ",")).alias("signature"))
 
 
 @query(f"WITH {_SHINGLES}, {_MINHASH} SELECT a, b FROM lsh")

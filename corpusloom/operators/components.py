@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from corpusloom.plans.lineage import materialize, release
 
 
+def _print(e: DataFrame) -> tuple:
+    """The number of edges and two sums of hashes, which differ for different sets of edges."""
+    return tuple(e.agg(F.count(F.lit(1)), *(F.sum(F.xxhash64(F.lit(i), "u", "v").cast("decimal(38,0)")) for i in (1, 2))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, root) of every id of an edge between different ids; root is the smallest id it is linked to.
 
@@ -16,6 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     a fixed star forest ends it.  Null ends and loops are ignored.
     """
     e = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
+    now = _print(e)
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -23,10 +29,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         nxt = materialize(small.where("u <> v").distinct(), "star")
-        done = nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty()
         release(e)
-        e = nxt
-        if done:
+        e, was, now = nxt, now, _print(nxt)
+        if now == was:
             break
     else:
         raise RuntimeError("no fixed point of the star steps")

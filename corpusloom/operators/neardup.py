@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,24 +44,53 @@ def representatives(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.join(reps, "h").select("id", "rep")
 
 
+def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, t): the smallest id of each normalised text."""
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    return rows.groupBy(normalised(F.col(text)).alias("t")).agg(F.min(key).alias("id")).select("id", "t")
+
+
 def shingled(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
     """(id, shingle) of the smallest id of each normalised text."""
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    one = rows.groupBy(normalised(F.col(text)).alias("t")).agg(F.min(key).alias("id"))
-    return one.select("id", F.explode(shingles(F.col("t"), k)).alias("shingle"))
+    return distinct_texts(df, key, text).select("id", F.explode(shingles(F.col("t"), k)).alias("shingle"))
+
+
+def signatures(df: DataFrame, key: str, text: str, perms: int = 128, k: int = 5, distinct: bool = True) -> DataFrame:
+    """(id, m): m[i] is the minimum of permutation i over the document's shingle hashes.
+
+    Shingles are hashed in the JVM; the permutations are array operations over
+    whole Arrow batches, so nothing is exploded or shuffled by shingle.
+    distinct: one row a normalised text, else one a row of df.
+    """
+    rows = distinct_texts(df, key, text) if distinct else df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
+    hashes = F.transform(shingles(F.col("t"), k), lambda s: F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint"))
+    pairs = np.array(permutations(perms), np.int64)
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            h, at = lists.flatten().to_numpy() % PRIME, lists.offsets.to_numpy()
+            if not b.num_rows:
+                continue
+            first = (at - at[0])[:-1]
+            m = np.stack([np.minimum.reduceat((h * a + c) % PRIME, first) for a, c in pairs], axis=1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, perms, dtype=np.int32)), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["id", "m"])
+
+    out = rows.select("id", hashes.alias("h"))
+    return out.mapInArrow(run, f"id {out.schema['id'].dataType.simpleString()}, m array<bigint>")
 
 
-def signatures(df: DataFrame, key: str, text: str, perms: int = 128, k: int = 5) -> DataFrame:
-    """(id, m0, m1, ...): the minimum of each permutation over the document's shingle hashes."""
-    h = F.conv(F.substring(F.md5("shingle"), 1, 8), 16, 10).cast("bigint") % PRIME
-    hashed = shingled(df, key, text, k).select("id", h.alias("h"))
-    return hashed.groupBy("id").agg(*(F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations(perms))))
+def band_keys(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(id, band, bucket)."""
+    part = lambda i: F.md5(F.array_join(F.slice("m", F.lit(1) + i * rows, rows).cast("array<string>"), ","))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), part(i).alias("bucket")))
+    return sigs.select("id", F.explode(keys).alias("x")).select("id", "x.band", "x.bucket")
 
 
 def band_edges(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(a, b): each document linked to the smallest of every bucket it shares; a bucket of any size costs its length."""
-    keys = [F.struct(F.lit(i).alias("band"), F.md5(F.concat_ws(",", *(f"m{j}" for j in range(i * rows, (i + 1) * rows)))).alias("bucket")) for i in range(bands)]
-    long = materialize(sigs.select("id", F.explode(F.array(*keys)).alias("x")).select("id", "x.band", "x.bucket"), "bands")
+    long = materialize(band_keys(sigs, bands, rows), "bands")
     heads = long.groupBy("band", "bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return long.join(heads, ["band", "bucket"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
 

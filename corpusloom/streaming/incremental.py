@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.patterns import DEFINED_TERM, GOVERNING_LAW
 from corpusloom.operators.entities import captures
-from corpusloom.operators.neardup import band_shape, permutations, PRIME
-from corpusloom.functions.text import shingles
+from corpusloom.operators.neardup import band_keys, band_shape, signatures
 
 
 def entity_stream(docs: DataFrame, key: str = "clause_id", text: str = "text") -> DataFrame:
@@ -40,12 +39,7 @@ class IncrementalDedup:
         self.bands, self.rows = band_shape(threshold, perms)
 
     def keys(self, df: DataFrame) -> DataFrame:
-        h = F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("bigint") % PRIME
-        rows = df.where(F.col(self.key).isNotNull() & F.col(self.text).isNotNull())
-        long = rows.select(F.col(self.key).alias("id"), F.explode(shingles(F.col(self.text), self.k)).alias("s")).select("id", h.alias("h"))
-        sigs = long.groupBy("id").agg(*(F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations(self.bands * self.rows))))
-        keys = [F.struct(F.lit(i).alias("band"), F.md5(F.concat_ws(",", *(f"m{j}" for j in range(i * self.rows, (i + 1) * self.rows)))).alias("bucket")) for i in range(self.bands)]
-        return sigs.select("id", F.explode(F.array(*keys)).alias("x")).select("id", "x.band", "x.bucket")
+        return band_keys(signatures(df, self.key, self.text, self.bands * self.rows, self.k, distinct=False), self.bands, self.rows)
 
     def batch(self, df: DataFrame, number: int) -> None:
         """Link one batch: writes path/links and path/keys under the batch's number, so that a repeated batch replaces itself."""

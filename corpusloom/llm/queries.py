@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import canonical, contract, groupsplit, labels, mixing, neardup, sampling, spans, tokens, truncation
+from corpusloom.llm.sql import SQL
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -138,4 +139,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

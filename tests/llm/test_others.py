@@ -332,3 +332,21 @@ def test_queries(spark, sf):
         df = made[name](spark, sf)
         assert df.columns == want and df.count() > 0, name
     assert re.fullmatch(r"p\d+_\w+", " ".join(made).split()[0])
+
+
+def test_queries_equal_their_sql(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    import glob
+    import os
+
+    from corpusloom.llm.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
+    for name, sql in oracle_sql().items():
+        df = queries()[name](spark, sf)
+        r = con.execute(sql)
+        columns = [c[0] for c in r.description]
+        assert sorted(columns) == sorted(df.columns), name
+        assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, r.fetchall())), name

@@ -14,15 +14,34 @@ from corpusloom.llm.shingles import DEN, NUM, SHARED, WORDS, prefixes, rarity, s
 from corpusloom.plans.lineage import materialize, release
 
 
-def _classes(described: DataFrame, *flags: Column) -> DataFrame:
-    """One row a distinct shingle set: its smallest id, its prefix, its rows, and the flags aggregated."""
-    grouped = described.groupBy("s1", "s2", "n").agg(F.min_by("prefix", "id").alias("prefix"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), *flags)
-    return materialize(grouped, "classes")
+def _copies(described: DataFrame, *by: str) -> DataFrame:
+    """(id, rep) of rows whose shingle set a smaller id has too; only the sets' signatures are shuffled."""
+    keys = ["s1", "s2", "n", *by]
+    many = described.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    return materialize(described.select("id", *keys).join(many, keys).where("id <> rep").select("id", "rep"), "copies")
 
 
-def _postings(classes: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _picked(rows: DataFrame, wanted: np.ndarray, inside: bool) -> DataFrame:
+    """The rows whose id may be in a packed Bloom filter, or is surely not."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(bloom_has(shared.value, mix(b.column(0).to_numpy().view(U))) == inside))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _sets(described: DataFrame, copies: DataFrame) -> DataFrame:
+    """One row a distinct set.  What a filter of the copies surely lacks stays where it is; only the rest is joined."""
+    rows = described.select("id", "n", "prefix", *[c for c in described.columns if c == "side"])
+    wanted = key_filter(copies.select("id"), copies.count())
+    return _picked(rows, wanted, False).unionByName(_picked(rows, wanted, True).join(copies.select("id"), "id", "left_anti"))
+
+
+def _postings(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(s, id, n, pos) of the prefix shingles that may be in a packed Bloom filter."""
-    shared = classes.sparkSession.sparkContext.broadcast(wanted)
+    shared = sets.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         for b in batches:
@@ -34,7 +53,7 @@ def _postings(classes: DataFrame, wanted: np.ndarray) -> DataFrame:
             row = pa.array(np.repeat(np.arange(b.num_rows), lens)[keep])
             yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(pos[keep].astype(np.int32))], names=["s", "id", "n", "pos"])
 
-    return classes.select("rep", "n", "prefix").mapInArrow(run, "s bigint, id bigint, n int, pos int")
+    return sets.select("id", "n", "prefix").mapInArrow(run, "s bigint, id bigint, n int, pos int")
 
 
 def _lists(posts: DataFrame) -> DataFrame:
@@ -74,8 +93,7 @@ def _prepare(df: DataFrame, key: str, text: str, k: int, flags: list[Column]) ->
 def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """(key, group_id): every row with likeness of at least 0.8 to some other row; group_id is the smallest key linked to it.
 
-    Exact.  Rows with equal shingle sets form a class, of which one goes on.
-    The classes' short inverted lists (their rarest n - T + c shingles) are
+    Exact.  Of rows with equal shingle sets the smallest id goes on.  The sets' short inverted lists (their rarest n - T + c shingles) are
     shuffled by shingle; each list first links its members to its smallest only,
     these links are verified, and only members still in different components
     are then paired, by the number of short lists they share, and verified.  So
@@ -87,9 +105,11 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     with a null key have no row; a repeated key counts as a copy.
     """
     described = _prepare(df, key, text, k, [])
-    classes = _classes(described)
-    shingles = classes.select(F.explode("prefix"))
-    lists = _lists(_postings(classes, repeat_filter(shingles, shingles.count())))
+    copies = _copies(described)
+    distinct = _sets(described, copies)
+    size = described.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    lists = _lists(_postings(distinct, repeat_filter(distinct.select(F.explode("prefix")), size)))
+    release(described)
     ids = materialize(lists.groupBy("id").agg(F.count(F.lit(1)).alias("in"), F.max("n").alias("n")).where(F.col("in") >= _least(F.col("n"))).select("id"), "ids")
     sets = materialize(sets_of(df, key, text, k, key_filter(ids, ids.count())).join(ids, "id"), "some")
     posts = materialize(lists.join(ids, "id").select("s", "id", "n", "pos", "m"), "posts")
@@ -102,9 +122,10 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     mixed = tagged.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
     open_ = materialize(tagged.join(mixed, "s"), "open")
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-    rest = _pairs(open_, open_, apart).join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(verified(rest, sets, divide_skip), "more")
-    release(lists, ids, star, sets, posts, tagged, open_)
+    rest = materialize(_pairs(open_, open_, apart).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    ends = rest.select(F.col("a").alias("id")).union(rest.select("b"))
+    more = materialize(verified(rest, _picked(sets, key_filter(ends, 2 * rest.count()), True), divide_skip), "more")
+    release(lists, ids, star, sets, posts, tagged, open_, rest)
 
     # links between components, then the groups of all their members, then the copies
     at = lambda c, to: known.select(F.col("id").alias(c), F.col("c").alias(to))
@@ -112,45 +133,43 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     joined = materialize(contracted(between, "a", "b"), "joined")
     lone = joined.join(known.select("id"), "id", "left_anti").select(F.col("id").alias("rep"), "group")
     linked = known.join(joined.select(F.col("id").alias("c"), "group"), "c", "left").select(F.col("id").alias("rep"), F.coalesce("group", "c").alias("group")).union(lone)
-    many = classes.where("rows > 1").select("s1", "s2", "n", "rep")
-    groups = many.select("rep").union(linked.select("rep")).distinct().join(linked, "rep", "left").select("rep", F.coalesce("group", "rep").alias("group"))
-    copies = described.select("id", "s1", "s2", "n").join(many, ["s1", "s2", "n"]).where("id <> rep").select("id", "rep").join(groups, "rep").select("id", "group")
-    return groups.union(copies).select(F.col("rep").alias(key), F.col("group").alias("group_id"))
+    groups = copies.select("rep").union(linked.select("rep")).distinct().join(linked, "rep", "left").select("rep", F.coalesce("group", "rep").alias("group"))
+    hidden = copies.join(groups, "rep").select("id", "group")
+    return groups.union(hidden).select(F.col("rep").alias(key), F.col("group").alias("group_id"))
 
 
 def cross_pairs(df: DataFrame, train: Column, other: Column, key: str = "clause_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """(a, b): all pairs of a row where ``train`` holds and one where ``other`` holds whose likeness is at least 0.8; a is of train.
 
-    Exact.  Equal shingle sets form a class.  The evaluation classes' prefixes
-    (rarest n - T + c shingles) are the index; the training classes' prefixes
-    probe it with length and position filters; surviving pairs of classes are
-    verified on their whole sets and expanded by the classes' members.
+    Exact.  Of equal shingle sets on one side only the smallest id goes on.  The
+    evaluation sets' prefixes (rarest n - T + c shingles) are the index; the
+    training sets' prefixes probe it with length and position filters; the
+    surviving pairs are verified on whole sets and expanded by their copies.
 
     Null and empty texts, texts of fewer than k words, rows of neither side and
     rows with a null key have no pair.
     """
     side = F.when(train, 1).when(other, 2)
     described = _prepare(df.where(train | other), key, text, k, [side.alias("side")])
-    classes = _classes(described, F.max(F.col("side") == 2).alias("index"), F.max(F.col("side") == 1).alias("probe"))
-    wanted = classes.where("index").select(F.explode("prefix"))
-    probe = materialize(_postings(classes.where("probe"), key_filter(wanted, wanted.count())), "probe")
+    copies = _copies(described, "side")
+    distinct = _sets(described, copies)
+    wanted = distinct.where("side = 2").select(F.explode("prefix"))
+    size = described.where("side = 2").agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    probe = materialize(_postings(distinct.where("side = 1"), key_filter(wanted, size)), "probe")
     probed = probe.select("s")
-    index = materialize(_postings(classes.where("index"), key_filter(probed, probed.count())), "index")
+    index = materialize(_postings(distinct.where("side = 2"), key_filter(probed, probed.count())), "index")
+    release(described)
     sizes = index.select("s", F.lit(1).alias("i")).union(probe.select("s", F.lit(0))).groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("i").alias("i"), F.min("i").alias("p"))
-    probe = probe.join(sizes.where("i = 1 and p = 0").select("s", "m"), "s")
-    pairs = materialize(_pairs(index.withColumn("m", F.lit(0)), probe, F.col("x.id") != F.col("y.id")), "pairs")
-    release(index)
+    probed = probe.join(sizes.where("i = 1 and p = 0").select("s", "m"), "s")
+    pairs = materialize(_pairs(index.withColumn("m", F.lit(0)), probed, F.lit(True)), "pairs")
+    release(index, probe)
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     sets = sets_of(df.where(train | other), key, text, k, key_filter(ids, ids.count())).join(ids, "id")
     near = materialize(verified(pairs, sets, merge_pairs), "near")
     release(pairs)
 
-    # members of the classes that have a pair
-    reps = near.select(F.col("a").alias("rep")).union(near.select("b")).union(classes.where("index and probe").select("rep")).distinct()
-    members = described.select("id", "side", "s1", "s2", "n").join(classes.select("s1", "s2", "n", "rep").join(reps, "rep"), ["s1", "s2", "n"])
-    members = materialize(members.select("rep", "id", "side"), "members")
-    e, t = members.where("side = 2").select(F.col("rep").alias("a"), F.col("id").alias("eval_id")), members.where("side = 1").select(F.col("rep").alias("b"), F.col("id").alias("train_id"))
-    same = e.join(t.withColumnRenamed("b", "a"), "a").select("train_id", "eval_id")
-    cross = near.join(e, "a").join(t, "b").select("train_id", "eval_id")
-    release(classes, described)
-    return same.union(cross).select(F.col("train_id").alias("a"), F.col("eval_id").alias("b"))
+    # the copies of both ends
+    ends = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
+    members = materialize(ends.select("rep", F.col("rep").alias("id")).union(copies.join(ends, "rep").select("rep", "id")), "members")
+    e, t = members.select(F.col("rep").alias("a"), F.col("id").alias("eval_id")), members.select(F.col("rep").alias("b"), F.col("id").alias("train_id"))
+    return near.join(e, "a").join(t, "b").select(F.col("train_id").alias("a"), F.col("eval_id").alias("b"))

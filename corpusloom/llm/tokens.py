@@ -214,6 +214,11 @@ class Bpe:
 
 @lru_cache(4)
 def bpe(path: str) -> Bpe:
+    """The vocabulary, read once a worker; a missing default file is looked up in the installed package of vocabularies."""
+    if not os.path.exists(path) and path == VOCABULARY:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
     return Bpe(path)
 
 

@@ -23,7 +23,7 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: Short lists a pair must share, of those that are not set aside as long.
 SHARED = 3
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _SEGMENT = 1 << 20
 _BYTES = mix(np.arange(1, 257, dtype=U))
 
@@ -37,8 +37,8 @@ def _hash_words(norms: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" ".join(norms) + b" ", np.uint8)
     ends = np.flatnonzero(buf == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    lens = np.fromiter(map(len, norms), np.int64, len(norms))
-    doc = np.searchsorted(np.cumsum(lens + 1) - 1, ends)
+    # a normalised text has single blanks only, and one was put behind each
+    doc = np.repeat(np.arange(len(norms)), np.fromiter((b.count(b" ") + 1 for b in norms), np.int64, len(norms)))
     real = ends > starts
     starts, ends, doc = starts[real], ends[real], doc[real]
     m = max(len(starts) - k + 1, 0)
@@ -51,7 +51,7 @@ def hashed(texts: list[str | None], k: int = WORDS) -> Iterator[tuple[int, int,
     lo, size, group = 0, 0, []
     for i, t in enumerate(texts):
         b = normal(t).encode()
-        if len(b) > 4 * _CHUNK:
+        if len(b) > 16 * _CHUNK:
             if group:
                 yield lo, i, *_hash_words(group, k)
             words = b.split(b" ")
@@ -80,9 +80,22 @@ def rarity(df: DataFrame, text: str = "text", k: int = WORDS) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << bits, np.uint32)
+        held: list[np.ndarray] = []
+        n = 0
+
+        def flush() -> None:
+            if held:
+                total[:] += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                held.clear()
+
         for batch in batches:
             for _, _, _, h in hashed(batch.column(0).to_pylist(), k):
-                np.add.at(total, (h & U((1 << bits) - 1)).astype(np.int64), 1)
+                held.append((h & U((1 << bits) - 1)).astype(np.int32))
+                n += len(h)
+                if n > 1 << 22:
+                    flush()
+                    n = 0
+        flush()
         return np.minimum(total, 65535).astype(np.uint16)
 
     def add(a, b):

@@ -17,14 +17,20 @@ from corpusloom.plans.arrays import merged_array
 BLOCK = 512
 
 
+def _flat(column) -> np.ndarray:
+    """The values of a column of bigints or of lists of them."""
+    values = column.flatten() if pa.types.is_list(column.type) else column
+    return values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(U)
+
+
 def key_filter(ids: DataFrame, n: int) -> np.ndarray:
-    """A packed Bloom filter, of at most 16 MB, of a bigint column."""
+    """A packed Bloom filter, of at most 16 MB, of a column of bigints or of lists of them."""
     bits = bloom_bits(max(n, 1))
 
     def add(batches):
         filt = np.zeros(bits, np.uint8)
         for b in batches:
-            bloom_add(filt, mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)))
+            bloom_add(filt, mix(_flat(b.column(0))))
         return np.packbits(filt, bitorder="little")
 
     out = merged_array(ids, add, lambda a, b: np.bitwise_or(a, b, out=a), "uint8")
@@ -32,7 +38,7 @@ def key_filter(ids: DataFrame, n: int) -> np.ndarray:
 
 
 def repeat_filter(hashes: DataFrame, n: int, max_bytes: int = 16 << 20) -> np.ndarray:
-    """A packed Bloom filter that holds every value of a bigint column occurring in two rows, and few others.
+    """A packed Bloom filter that holds every value that a column of bigints, or of lists of distinct ones, has twice, and few others.
 
     Each partition keeps two filters, of values seen once and of values seen
     again; when two partitions are merged, what both saw once counts as seen
@@ -45,7 +51,7 @@ def repeat_filter(hashes: DataFrame, n: int, max_bytes: int = 16 << 20) -> np.nd
     def seen(batches):
         once, again = np.zeros(bits, np.uint8), np.zeros(bits, np.uint8)
         for b in batches:
-            keys, counts = np.unique(mix(b.column(0).to_numpy(zero_copy_only=False).view(U)), return_counts=True)
+            keys, counts = np.unique(mix(_flat(b.column(0))), return_counts=True)
             probes = bloom_probes(keys, bits)
             old = np.ones(len(keys), bool)
             for p in probes:

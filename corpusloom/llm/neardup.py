@@ -108,7 +108,7 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     copies = _copies(described)
     distinct = _sets(described, copies)
     size = described.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    lists = _lists(_postings(distinct, repeat_filter(distinct.select(F.explode("prefix")), size)))
+    lists = _lists(_postings(distinct, repeat_filter(described.select("prefix"), size)))
     release(described)
     ids = materialize(lists.groupBy("id").agg(F.count(F.lit(1)).alias("in"), F.max("n").alias("n")).where(F.col("in") >= _least(F.col("n"))).select("id"), "ids")
     sets = materialize(sets_of(df, key, text, k, key_filter(ids, ids.count())).join(ids, "id"), "some")
@@ -153,7 +153,7 @@ def cross_pairs(df: DataFrame, train: Column, other: Column, key: str = "clause_
     described = _prepare(df.where(train | other), key, text, k, [side.alias("side")])
     copies = _copies(described, "side")
     distinct = _sets(described, copies)
-    wanted = distinct.where("side = 2").select(F.explode("prefix"))
+    wanted = described.where("side = 2").select("prefix")
     size = described.where("side = 2").agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     probe = materialize(_postings(distinct.where("side = 1"), key_filter(wanted, size)), "probe")
     probed = probe.select("s")

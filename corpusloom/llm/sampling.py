@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.plans.lineage import materialize
 
 _BUCKETS = 4096
+#: Rates of more cells than this are joined by a shuffle instead of sent to every task.
+_CELLS = 100_000
 
 
 def rake(counts: np.ndarray, rows: np.ndarray, cols: np.ndarray, rounds: int = 200, tol: float = 1e-9) -> np.ndarray:
@@ -55,6 +57,9 @@ class TargetSample:
     is found by a histogram, and only its bucket is sorted, so a category may
     hold any share of the rows.
 
+    The table of counts by category and group of one split is raked in one task:
+    margins have few values, whatever the rows' number.
+
     A null group is a group of its own, a null target counts as 0; a target
     given twice counts with the larger need.  Rows of one key are drawn alike.
     """
@@ -94,7 +99,8 @@ class TargetSample:
         needs = self.needs.where("need > 0 and available > 0")
         # keys in units of the category's mean rate spread over the buckets whatever the rates are
         mean = F.least(F.col("need") / F.col("available"), F.lit(1.0))
-        keyed = self.rows.join(F.broadcast(self.rates), ["split", "category", "group"]).join(F.broadcast(needs.select("split", "category", "need", "share", mean.alias("mean"))), ["split", "category"])
+        rates = F.broadcast(self.rates) if self.rates.count() <= _CELLS else self.rates
+        keyed = self.rows.join(rates, ["split", "category", "group"]).join(F.broadcast(needs.select("split", "category", "need", "share", mean.alias("mean"))), ["split", "category"])
         e = -F.log(u) * F.col("mean") / F.col("rate")
         keyed = keyed.withColumn("e", e).withColumn("bucket", F.floor((1 - F.exp(-F.col("e"))) * _BUCKETS).cast("int"))
         counts = keyed.groupBy("split", "category", "bucket", "need").agg(F.count(F.lit(1)).alias("here"))

@@ -396,6 +396,11 @@ def _general_spans(rules):
     return cols(F.lit("State of"), "ORG", start - 9, start - 1).unionByName(cols(F.concat(F.lit("x"), "text"), "GPE", start - 1, end))
 
 
+def _grouped_text():
+    """label=text|text;... of a map of entities."""
+    return F.array_join(F.transform(F.map_entries("entities"), lambda e: F.concat(e.key, F.lit("="), F.array_join(e.value, "|"))), ";")
+
+
 @query(f"WITH {_SPAN_SQL} SELECT * FROM rule")
 def ner_offsets(spark, d):
     return _rule_spans(spark, d)
@@ -412,8 +417,37 @@ def ner_overlap_suppress(spark, d):
 def ner_grouped(spark, d):
     rules = _rule_spans(spark, d)
     g = entities.grouped(entities.all_entities(_general_spans(rules), rules, "clause_id"), "clause_id")
-    shown = F.array_join(F.transform(F.map_entries("entities"), lambda e: F.concat(e.key, F.lit("="), F.array_join(e.value, "|"))), ";")
-    return g.select("clause_id", shown.alias("grouped"))
+    return g.select("clause_id", _grouped_text().alias("grouped"))
+
+
+# The three queries above keep to what their SQL can say; the same over all clauses, matches and rules have none.
+
+
+def _all_rule_spans(spark, d):
+    """Spans of both rules in all clauses, however many match."""
+    return materialize(entities.rule_entities(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text"), "spans")
+
+
+def _all_spans(spark, d):
+    """Rule spans, and the stand-in spans they leave; only a governing law has a sentence part before it."""
+    rules = _all_rule_spans(spark, d)
+    general = _general_spans(rules.where("label = 'GOVERNING_LAW'")).unionByName(_general_spans(rules.where("label = 'DEFINED_TERM'")).where("label = 'GPE'"))
+    return entities.all_entities(general, rules, "clause_id")
+
+
+@query()
+def ner_offsets_all(spark, d):
+    return _all_rule_spans(spark, d)
+
+
+@query()
+def ner_overlap_suppress_all(spark, d):
+    return _all_spans(spark, d)
+
+
+@query()
+def ner_grouped_all(spark, d):
+    return entities.grouped(_all_spans(spark, d), "clause_id").select("clause_id", _grouped_text().alias("grouped"))
 
 
 _GOLD = f"""gold AS (SELECT DISTINCT {_STRIP('doc_index')} AS doc_index, {_STRIP('label')} AS label, lower({_STRIP('entity_text')}) AS entity FROM gold_labels WHERE doc_index IS NOT NULL AND label IS NOT NULL AND entity_text IS NOT NULL

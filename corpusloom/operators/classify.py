@@ -23,6 +23,8 @@ from corpusloom.operators.evaluate import class_counts, f1_summary
 from corpusloom.plans.lineage import materialize
 
 BUDGET = 12
+#: The largest number a vector's index can have: min_df and max_share alone choose the terms.
+VOCABULARY = (1 << 31) - 1
 
 
 # ---- TF-IDF and naive Bayes in long form
@@ -177,7 +179,7 @@ def balanced(df: DataFrame, label: str, to: str = "weight") -> DataFrame:
 def features(text: str = "text", min_df: int = 3, max_share: float = 0.9, bigrams: bool = True) -> list:
     return [
         Tokens(inputCol=text, outputCol="tokens", bigrams=bigrams),
-        CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), maxDF=max_share, vocabSize=1 << 18),
+        CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), maxDF=max_share, vocabSize=VOCABULARY),
         SublinearTfidf(inputCol="counts", outputCol="features"),
     ]
 

@@ -4,6 +4,7 @@ import re
 
 from corpusloom import catalog
 from corpusloom.functions import patterns as P
+from corpusloom.operators import classify
 
 TEXTS = [
     'laws of the State of New York or the State of Delaware, (the "Company") and (this "Note")',
@@ -42,3 +43,11 @@ def test_spans_of_all_matches_and_rules(spark, tmp_path):
         found = sorted(with_general(t), key=lambda s: (s[1], s[2], s[4] == "rule", s[3]))
         labels = sorted({s[1] for s in found})
         assert grouped.get(i, "") == ";".join(f"{lab}=" + "|".join(s[0] for s in found if s[1] == lab) for lab in labels)
+
+
+def test_no_term_is_cut_from_a_large_vocabulary(spark):
+    terms = 270_000
+    text = " ".join(f"w{i}" for i in range(terms))
+    df = spark.createDataFrame([(text,), (text,), ("once only",)], "text string")
+    tokens, counts, _ = classify.features("text", 2, 0.9, False)
+    assert len(counts.fit(tokens.transform(df)).vocabulary) == terms

@@ -16,8 +16,10 @@ from corpusloom.plans.skew import lookup_join
 
 SPLITS = ("train", "dev", "calib", "test")
 FRACTIONS = (0.70, 0.10, 0.10, 0.10)
-#: A component larger than the rows' number divided by this is placed by the driver; there are fewer than so many.
+#: A component larger than the rows' number divided by this is annealed on the driver; there are fewer than so many.
 LARGE = 1000
+#: Steps of annealing for each large component, and at most for all.
+LARGE_STEPS = (200, 20_000)
 #: Components annealed together.
 BLOCK = 8192
 
@@ -97,6 +99,72 @@ def anneal(sizes: list[int], labels: list[list[tuple[int, int]]], start: list[in
     return (list(split), now) if now <= best_cost else (best, best_cost)
 
 
+def shares_left(size: np.ndarray, cell: np.ndarray, want: np.ndarray, want_label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How rows beside those placed (size by split, cell by split and label) go to the splits: in proportion to the room left."""
+    left, pos = np.maximum(want - size, 0), np.maximum(want_label - cell, 0)
+    share = left / max(left.sum(), 1e-12) if left.any() else want / max(want.sum(), 1e-12)
+    return share, np.where(pos.sum(0) > 0, pos / np.maximum(pos.sum(0), 1e-12), share[:, None])
+
+
+def anneal_large(sizes: np.ndarray, cells: np.ndarray, starts: list[list[int]], want: np.ndarray, want_label: np.ndarray, seed: int) -> list[int]:
+    """Splits of the large components, the best met from all starts.
+
+    sizes, cells: rows of each, by label too.  want and want_label are of all
+    rows: the small components' rows count as they will be shared out, so that
+    an assignment that they can complete costs nothing.  Steps are those of
+    anneal().
+    """
+    k, n = len(want), len(sizes)
+    rest, rest_label = want.sum() - sizes.sum(), want_label.sum(0) - cells.sum(0)
+
+    def cost(size: np.ndarray, cell: np.ndarray) -> float:
+        share, share_label = shares_left(size, cell, want, want_label)
+        return deviation(size + share * rest, want) + deviation(cell + share_label * rest_label, want_label)
+
+    best, best_cost = [], math.inf
+    steps = min(LARGE_STEPS[0] * n, LARGE_STEPS[1])
+    for at, start in enumerate(starts):
+        rng, split = random.Random(seed * 7919 + at), np.array(start)
+        size, cell = np.zeros(k), np.zeros((k, cells.shape[1]))
+        np.add.at(size, split, sizes)
+        np.add.at(cell, split, cells)
+        now = cost(size, cell)
+        if now < best_cost:
+            best, best_cost = split.tolist(), now
+        heat = max(now / n, 1e-3)
+        for step in range(steps):
+            t = heat * (1 - step / steps) ** 2 + 1e-9
+            i, j = rng.randrange(n), -1
+            a = int(split[i])
+            if rng.random() < 0.5 or n < 2:
+                b = rng.randrange(k - 1)
+                b += b >= a
+                m, c = sizes[i], cells[i]
+            else:
+                j = rng.randrange(n)
+                b = int(split[j])
+                if a == b:
+                    continue
+                m, c = sizes[i] - sizes[j], cells[i] - cells[j]
+            size[a] -= m
+            size[b] += m
+            cell[a] -= c
+            cell[b] += c
+            d = cost(size, cell) - now
+            if d <= 0 or rng.random() < math.exp(-d / t):
+                split[i], now = b, now + d
+                if j >= 0:
+                    split[j] = a
+                if now < best_cost:
+                    best, best_cost = split.tolist(), now
+            else:
+                size[a] += m
+                size[b] -= m
+                cell[a] += c
+                cell[b] -= c
+    return best
+
+
 class GroupSplit:
     """A split for each row that keeps every cluster whole, and the clusters that a stored split breaks.
 
@@ -106,7 +174,8 @@ class GroupSplit:
     are annealed in blocks of about 8,192, each towards its part of the wanted
     sizes and label numbers, from several starts of which the best is kept; so
     the whole deviates by no more than its blocks do.  Components of more than
-    a thousandth of the rows, fewer than 1,000 in number, are placed first.
+    a thousandth of the rows, fewer than 1,000 in number, are annealed first, by
+    size and labels, with the others' rows as what fills the room left.
 
     No rows give no components; a repeated key is two rows.
     """
@@ -137,18 +206,27 @@ class GroupSplit:
         names, fractions, seed, starts = self.names, np.array(self.fractions), self.seed, self.starts
         order = {lab: i for i, lab in enumerate(sorted(totals))}
         large = comps.where(F.col("size") * LARGE > total).collect()
-        left = fractions * total
-        left_label = np.outer(fractions, [totals[lab] for lab in sorted(totals)]) if totals else np.zeros((len(names), 0))
+        whole = fractions * total
+        whole_label = np.outer(fractions, [totals[lab] for lab in sorted(totals)]) if totals else np.zeros((len(names), 0))
+        large.sort(key=lambda r: (-r["size"], r["comp"]))
         placed = {}
-        for r in sorted(large, key=lambda r: (-r["size"], r["comp"])):
-            s = int(np.argmax(left / (fractions * total + 1)))
-            placed[r["comp"]] = names[s]
-            left[s] -= r["size"]
-            for lab, m in r["labels"]:
-                left_label[s, order[lab]] -= m
-        share = np.maximum(left, 0) / max(np.maximum(left, 0).sum(), 1.0)
-        pos = np.maximum(left_label, 0)
-        share_label = np.where(pos.sum(0) > 0, pos / np.maximum(pos.sum(0), 1e-12), share[:, None])
+        size, cell = np.zeros(len(names)), np.zeros(whole_label.shape)
+        if large:
+            sizes_, cells_ = np.array([float(r["size"]) for r in large]), np.zeros((len(large), len(order)))
+            for i, r in enumerate(large):
+                for lab, m in r["labels"]:
+                    cells_[i, order[lab]] = m
+            greedy, left = [], whole.copy()
+            for m in sizes_:
+                greedy.append(int(np.argmax(left / (whole + 1))))
+                left[greedy[-1]] -= m
+            rng = random.Random(seed)
+            dealt = [rng.choices(range(len(names)), fractions.tolist(), k=len(large)) for _ in range(starts)]
+            chosen = anneal_large(sizes_, cells_, [greedy, *dealt], whole, whole_label, seed)
+            placed = {r["comp"]: names[s] for r, s in zip(large, chosen)}
+            np.add.at(size, chosen, sizes_)
+            np.add.at(cell, chosen, cells_)
+        share, share_label = shares_left(size, cell, whole, whole_label)
         blocks = max(1, -(-(count - len(large)) // BLOCK))
         small = comps.where(F.col("size") * LARGE <= total).withColumn("block", F.pmod(F.xxhash64("comp", F.lit(seed)), F.lit(blocks)))
 

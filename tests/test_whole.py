@@ -1,9 +1,13 @@
 """Queries and operators do the whole job: no input is left out, and no size switches the method."""
 
 import re
+from collections import Counter
+
+import numpy as np
 
 from corpusloom import catalog
 from corpusloom.functions import patterns as P
+from corpusloom.llm import groupsplit
 from corpusloom.operators import classify
 
 TEXTS = [
@@ -51,3 +55,37 @@ def test_no_term_is_cut_from_a_large_vocabulary(spark):
     df = spark.createDataFrame([(text,), (text,), ("once only",)], "text string")
     tokens, counts, _ = classify.features("text", 2, 0.9, False)
     assert len(counts.fit(tokens.transform(df)).vocabulary) == terms
+
+
+def split_of(spark, rows):
+    df = spark.createDataFrame(rows, "key bigint, cluster int, label int, side string")
+    return groupsplit.GroupSplit(df).rows_split().collect()
+
+
+def test_large_clusters_leave_room_for_small_ones(spark):
+    """Clusters of 33 % and 20 %: both fit into train, and single rows complete all splits."""
+    cluster = lambda i: 0 if i < 990 else 1 if i < 1590 else None
+    share = Counter(r["split"] for r in split_of(spark, [(i, cluster(i), i % 3, None) for i in range(3000)]))
+    assert all(abs(share[n] / 3000 - f) < 0.01 for n, f in zip(groupsplit.SPLITS, groupsplit.FRACTIONS))
+
+
+def test_small_tables_are_annealed_by_label(spark):
+    """400 rows in clusters of one label each: every component is a large one."""
+    rows = [(i, i // 4, i // 4 % 5, None) for i in range(400)]
+    out = split_of(spark, rows)
+    label = {key: lab for key, _, lab, _ in rows}
+    cells = Counter((r["split"], label[r["key"]]) for r in out)
+    assert max(abs(cells[n, lab] - f * 80) for n, f in zip(groupsplit.SPLITS, groupsplit.FRACTIONS) for lab in range(5)) <= 4
+    assert len({(r["cluster"], r["split"]) for r in out}) == 100
+
+
+def test_large_components_are_never_worse_than_any_start():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 40, 60).astype(float)
+    cells = np.zeros((60, 3))
+    cells[np.arange(60), rng.integers(0, 3, 60)] = sizes
+    f = np.array(groupsplit.FRACTIONS)
+    want, want_label = f * sizes.sum(), np.outer(f, cells.sum(0))
+    found = groupsplit.anneal_large(sizes, cells, [[0] * 60], want, want_label, 1)
+    size = np.bincount(found, sizes, 4)
+    assert np.abs(size / sizes.sum() - f).max() < 0.02

@@ -145,12 +145,15 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, key: str, vector: str = "e
             best = None
             for pdf in batches:
                 x, xid = np.stack(pdf[vector].to_numpy()).astype(float), pdf[key].to_numpy()
+                by_key = np.argsort(xid, kind="stable")
+                x, xid = x[by_key], xid[by_key]
                 for at in range(0, len(xid), 2048):
                     d = np.sqrt(((q[:, None, :] - x[None, at : at + 2048]) ** 2).sum(2)) if len(q) <= 256 else np.stack([np.sqrt(((v - x[at : at + 2048]) ** 2).sum(1)) for v in q])
                     ids_ = xid[at : at + 2048]
-                    d = np.where(qid[:, None] == ids_[None], np.inf, d)
-                    top = np.argsort(d, axis=1, kind="stable")[:, : k + 8]
-                    f = pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), key: ids_[top].ravel(), "distance": np.round(np.take_along_axis(d, top, 1), 6).ravel()})
+                    # rounded first and in order of the key, so that a stable sort keeps the smallest keys of a tie
+                    d = np.round(np.where(qid[:, None] == ids_[None], np.inf, d), 6)
+                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    f = pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), key: ids_[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()})
                     best = f if best is None else pd.concat([best, f])
                 best = best.sort_values(["query_id", "distance", key]).groupby("query_id").head(k)
             if best is not None:

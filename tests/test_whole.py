@@ -8,7 +8,7 @@ import numpy as np
 from corpusloom import catalog
 from corpusloom.functions import patterns as P
 from corpusloom.llm import groupsplit
-from corpusloom.operators import classify
+from corpusloom.operators import classify, retrieval
 
 TEXTS = [
     'laws of the State of New York or the State of Delaware, (the "Company") and (this "Note")',
@@ -89,3 +89,11 @@ def test_large_components_are_never_worse_than_any_start():
     found = groupsplit.anneal_large(sizes, cells, [[0] * 60], want, want_label, 1)
     size = np.bincount(found, sizes, 4)
     assert np.abs(size / sizes.sum() - f).max() < 0.02
+
+
+def test_neighbours_at_a_tie_are_the_smallest_keys(spark):
+    """40 copies of one vector, and 20 that differ from it after the sixth digit only, in falling order of ids."""
+    rows = [(i, [1.0 + (i % 3 == 0) * 1e-9, 0.0]) for i in range(60, 0, -1)] + [(100, [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id bigint, embedding array<double>").coalesce(1)
+    got = retrieval.knn_batch(v, v.where("id = 100"), "id").orderBy("rank").collect()
+    assert [(r["id"], r["distance"]) for r in got] == [(i, 1.0) for i in range(1, 6)]

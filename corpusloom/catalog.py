@@ -502,6 +502,19 @@ def docs_parse_blocks(spark, d):
     return docblocks.parse_blocks(files)
 
 
+@query(f"""SELECT clause_id // 1000 AS numbered, lpad((clause_id % 1000)::VARCHAR, 3, '0') AS doc_index, {_STRIP("coalesce(text, '')")} AS text FROM clauses""")
+def docs_parse_all_blocks(spark, d):
+    """All clauses, as sets of 1,000 that three-digit numbers can name; a text that holds a header line has no form as a block and is an error."""
+    c = table(spark, d, "clauses", "clause_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    if not c.where(F.col("text").rlike(docblocks.HEADER)).isEmpty():
+        raise ValueError("a clause holds a header line")
+    head = F.format_string("=== DOC %03d (id=%d) ===\n[CANDIDATES]: none\n", F.pmod("clause_id", F.lit(1000)), F.col("clause_id"))
+    numbered = F.floor(F.col("clause_id") / 1000).cast("bigint").alias("numbered")
+    blocks = c.select(numbered, F.struct("clause_id", F.concat(head, "text", F.lit("\n")).alias("b")).alias("x"))
+    files = blocks.groupBy("numbered").agg(F.concat(F.lit("preamble\n"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.b), "")).alias("value"))
+    return docblocks.parse_blocks(files, numbered="numbered")
+
+
 # ---- retrieval
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)

@@ -11,18 +11,21 @@ CANDIDATES = r"(?m)^\[CANDIDATES\]:.*\n?"
 GOLD = "doc_index string, entity_text string, label string"
 
 
-def parse_blocks(files: DataFrame, content: str = "value") -> DataFrame:
+def parse_blocks(files: DataFrame, content: str = "value", numbered: str | None = None) -> DataFrame:
     """(doc_index, text) of the blocks of whole file contents.
 
     What stands before the first header is ignored, lines of candidates are
-    dropped, texts are trimmed.  A number in two blocks is an error.
+    dropped, texts are trimmed.  A number in two blocks is an error.  With
+    numbered, a column of files that stays beside doc_index, each of its values
+    is a set with numbers of its own.
     """
+    keys = [numbered] if numbered else []
     numbers = F.regexp_extract_all(content, F.lit(HEADER), 1)
     bodies = F.split(content, HEADER)
     blocks = F.arrays_zip(numbers.alias("doc_index"), F.slice(bodies, F.lit(2), F.size(bodies)).alias("body"))
     body = F.regexp_replace(F.regexp_replace("x.body", CANDIDATES, ""), r"(?U)^\s+|\s+$", "")
-    out = files.where(F.col(content).rlike(HEADER)).select(F.explode(blocks).alias("x")).select(F.col("x.doc_index").alias("doc_index"), body.alias("text"))
-    twice = out.groupBy("doc_index").count().where("count > 1").limit(5).collect()
+    out = files.where(F.col(content).rlike(HEADER)).select(*keys, F.explode(blocks).alias("x")).select(*keys, F.col("x.doc_index").alias("doc_index"), body.alias("text"))
+    twice = out.groupBy(*keys, "doc_index").count().where("count > 1").limit(5).collect()
     if twice:
         raise ValueError(f"document numbers in two blocks: {sorted(r['doc_index'] for r in twice)}")
     return out

@@ -4,11 +4,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from corpusloom import catalog
 from corpusloom.functions import patterns as P
 from corpusloom.llm import groupsplit
 from corpusloom.operators import classify, retrieval
+from corpusloom.sources import docblocks
 
 TEXTS = [
     'laws of the State of New York or the State of Delaware, (the "Company") and (this "Note")',
@@ -97,3 +99,15 @@ def test_neighbours_at_a_tie_are_the_smallest_keys(spark):
     v = spark.createDataFrame(rows, "id bigint, embedding array<double>").coalesce(1)
     got = retrieval.knn_batch(v, v.where("id = 100"), "id").orderBy("rank").collect()
     assert [(r["id"], r["distance"]) for r in got] == [(i, 1.0) for i in range(1, 6)]
+
+
+def test_all_clauses_become_blocks(spark, tmp_path):
+    rows = [(i, None if i == 7 else f" text {i}\n") for i in (0, 7, 999, 1000, 1007, 25999)]
+    spark.createDataFrame(rows, "clause_id bigint, text string").write.parquet(f"{tmp_path}/clauses.parquet")
+    got = catalog.QUERIES["docs_parse_all_blocks"](spark, str(tmp_path)).collect()
+    assert {(r["numbered"] * 1000 + int(r["doc_index"]), r["text"]) for r in got} == {(i, (t or "").strip()) for i, t in rows} and len(got) == len(rows)
+    block = "=== DOC 001 (id=1) ===\nx\n"
+    files = spark.createDataFrame([(1, block), (2, block)], "numbered int, value string")
+    assert docblocks.parse_blocks(files, numbered="numbered").count() == 2
+    with pytest.raises(ValueError):
+        docblocks.parse_blocks(files.union(files), numbered="numbered")

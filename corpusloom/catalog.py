@@ -682,7 +682,7 @@ def _sides(spark, d):
     return {s: c.where(F.col("side") == s).drop("side") for s in splits.SPLITS}
 
 
-def _fitted(spark, d, name, tune=False):
+def _fitted(spark, d, name, tune=True):
     s = _sides(spark, d)
     return classify.fit_and_score(name, s["train"], s["dev"], tune=tune)
 
@@ -710,7 +710,7 @@ def ml_naive_bayes(spark, d):
 @query()
 def ml_cv(spark, d):
     """The whole tuning budget of naive Bayes, by 3-fold cross-validation on macro F1."""
-    return _metrics(spark, _fitted(spark, d, "naive_bayes", tune=True))
+    return _metrics(spark, _fitted(spark, d, "naive_bayes"))
 
 
 @query()

@@ -25,6 +25,8 @@ from corpusloom.plans.lineage import materialize
 BUDGET = 12
 #: The largest number a vector's index can have: min_df and max_share alone choose the terms.
 VOCABULARY = (1 << 31) - 1
+#: The reference's bounds on steps of a fit; convergence ends it before.
+MOST_STEPS = {"logreg": 2000, "linear_svm": 1000}
 
 
 # ---- TF-IDF and naive Bayes in long form
@@ -187,11 +189,11 @@ def features(text: str = "text", min_df: int = 3, max_share: float = 0.9, bigram
 def classifier(name: str, seed: int = 0, value: float | None = None, rows: int = 1):
     """A classifier by name; value is C or alpha.  An L2 penalty of 1 / C on a sum of losses is 1 / (C * rows) on their mean."""
     if name == "logreg":
-        return LogisticRegression(maxIter=30, regParam=1.0 / ((value or 1.0) * max(rows, 1)), standardization=False, weightCol="weight", family="multinomial")
+        return LogisticRegression(maxIter=MOST_STEPS[name], regParam=1.0 / ((value or 1.0) * max(rows, 1)), standardization=False, weightCol="weight", family="multinomial")
     if name == "naive_bayes":
         return NaiveBayes(smoothing=value or 1.0, modelType="multinomial")
     if name == "linear_svm":
-        svc = LinearSVC(maxIter=15, regParam=1.0 / ((value or 1.0) * max(rows, 1)), standardization=False)
+        svc = LinearSVC(maxIter=MOST_STEPS[name], regParam=1.0 / ((value or 1.0) * max(rows, 1)), standardization=False)
         return OneVsRest(classifier=svc, weightCol="weight", parallelism=4)
     raise ValueError(f"unknown model {name}")
 

@@ -111,3 +111,18 @@ def test_all_clauses_become_blocks(spark, tmp_path):
     assert docblocks.parse_blocks(files, numbered="numbered").count() == 2
     with pytest.raises(ValueError):
         docblocks.parse_blocks(files.union(files), numbered="numbered")
+
+
+def test_models_are_tuned_and_fitted_to_convergence(monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalog, "_sides", lambda spark, d: {"train": None, "dev": None})
+    monkeypatch.setattr(catalog, "_metrics", lambda spark, r: r)
+    monkeypatch.setattr(classify, "fit_and_score", lambda name, train, dev, tune=True: seen.append((name, tune)))
+    for name in ("ml_logreg", "ml_linear_svm", "ml_naive_bayes", "ml_cv"):
+        catalog.QUERIES[name](None, "")
+    assert seen == [("logreg", True), ("linear_svm", True), ("naive_bayes", True), ("naive_bayes", True)]
+    assert classify.MOST_STEPS == {"logreg": 2000, "linear_svm": 1000}
+
+
+def test_classifiers_take_the_bounds(spark):
+    assert classify.classifier("logreg").getMaxIter() == 2000 and classify.classifier("linear_svm").getClassifier().getMaxIter() == 1000

@@ -33,7 +33,7 @@ MOST_STEPS = {"logreg": 2000, "linear_svm": 1000}
 
 
 def term_counts(df: DataFrame, key: str, text: str, bigrams: bool = True, accents: bool = False) -> DataFrame:
-    """(key, term, tf); a null text has no terms."""
+    """(key, term, tf); a null text has no terms.  With accents, they are stripped, as Tokens does; the SQL of the queries keeps them."""
     t = F.coalesce(F.col(text), F.lit(""))
     t = tokens(without_accents(t) if accents else t)
     return df.select(key, F.explode(with_bigrams(t) if bigrams else t).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -97,7 +97,7 @@ class NaiveBayesTable:
 
 
 class Tokens(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Lower-case tokens of two characters or more, with bigrams if asked for; a null text has none."""
+    """Lower-case tokens of two characters or more, without accents, with bigrams if asked for; a null text has none."""
 
     bigrams = Param(Params._dummy(), "bigrams", "pairs of neighbours too", TypeConverters.toBoolean)
 
@@ -109,7 +109,7 @@ class Tokens(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defa
 
     def _transform(self, df: DataFrame) -> DataFrame:
         out = self.getOutputCol()
-        df = df.withColumn(out, tokens(F.coalesce(F.col(self.getInputCol()), F.lit(""))))
+        df = df.withColumn(out, tokens(without_accents(F.coalesce(F.col(self.getInputCol()), F.lit("")))))
         if self.getOrDefault(self.bigrams):  # not by with_bigrams: the planner keeps lambdas and Python functions apart
             df = NGram(n=2, inputCol=out, outputCol="_pairs").transform(df)
             df = df.withColumn(out, F.concat(out, "_pairs")).drop("_pairs")

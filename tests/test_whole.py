@@ -126,3 +126,9 @@ def test_models_are_tuned_and_fitted_to_convergence(monkeypatch):
 
 def test_classifiers_take_the_bounds(spark):
     assert classify.classifier("logreg").getMaxIter() == 2000 and classify.classifier("linear_svm").getClassifier().getMaxIter() == 1000
+
+
+def test_pipelines_strip_accents(spark):
+    df = spark.createDataFrame([("Café résumé",), ("cafe resume",), (None,)], "text string")
+    out = classify.Tokens(inputCol="text", outputCol="tokens", bigrams=True).transform(df).collect()
+    assert out[0]["tokens"] == out[1]["tokens"] == ["cafe", "resume", "cafe resume"] and out[2]["tokens"] == []

@@ -140,9 +140,15 @@ class Truncation:
         by = Window.partitionBy("feed", "unit").orderBy("length")
         around = by.rangeBetween(-self.near, self.near)
         onward = by.rangeBetween(0, Window.unboundedFollowing)
-        h = counts.withColumns({"at_risk": F.sum("ended").over(onward), "others": F.sum("ended").over(around) - F.col("ended")})
-        # half a text more than was seen keeps empty neighbourhoods from proving anything
-        expected = (F.col("others") + 0.5) / (2 * self.near)
+        beyond = by.rangeBetween(self.near + 1, Window.unboundedFollowing)
+        # texts at risk at all lengths of the window: one that ends at L is so from the first of them (1 at least) to L
+        first, last = F.greatest(F.col("length") - self.near, F.lit(1)), F.col("length") + self.near
+        inside = F.sum(F.col("ended") * F.col("length")).over(around) + (1 - first) * F.sum("ended").over(around)
+        at_risk = F.sum("ended").over(onward)
+        exposed = inside + F.coalesce(F.sum("ended").over(beyond), F.lit(0)) * (last - first + 1) - at_risk
+        h = counts.withColumns({"at_risk": at_risk, "others": F.sum("ended").over(around) - F.col("ended"), "exposed": exposed})
+        # half a text more than was seen keeps empty neighbourhoods from proving anything; no more can end than are at risk
+        expected = F.col("at_risk") * F.when(F.col("exposed") > 0, F.least((F.col("others") + 0.5) / F.col("exposed"), F.lit(1.0))).otherwise(1.0)
         k = F.col("ended").cast("double")
         h = h.withColumn("expected", expected).withColumn("p", F.when(k > expected, F.exp(-(k * F.log(k / expected) - k + expected))).otherwise(1.0))
         return self._discovered(h)
@@ -153,7 +159,7 @@ class Truncation:
         able = h.where(F.col("ended") >= self.least).where(F.col("p") <= self.fdr)
         ranked = able.withColumn("rank", F.row_number().over(Window.orderBy("p"))).crossJoin(F.broadcast(tests))
         cut = ranked.where(F.col("p") <= F.lit(self.fdr) * F.col("rank") / F.col("tests")).agg(F.coalesce(F.max("p"), F.lit(-1.0)).alias("cut"))
-        return h.crossJoin(F.broadcast(cut)).withColumn("significant", (F.col("ended") >= self.least) & (F.col("p") <= F.col("cut"))).drop("cut", "others")
+        return h.crossJoin(F.broadcast(cut)).withColumn("significant", (F.col("ended") >= self.least) & (F.col("p") <= F.col("cut"))).drop("cut", "others", "exposed")
 
     def flagged(self) -> DataFrame:
         """(key, feed, chars, state, at_limit, cut) of every row."""

@@ -8,7 +8,7 @@ import pytest
 
 from corpusloom import catalog
 from corpusloom.functions import patterns as P
-from corpusloom.llm import groupsplit
+from corpusloom.llm import groupsplit, truncation
 from corpusloom.operators import classify, retrieval
 from corpusloom.sources import docblocks
 
@@ -132,3 +132,15 @@ def test_pipelines_strip_accents(spark):
     df = spark.createDataFrame([("Café résumé",), ("cafe resume",), (None,)], "text string")
     out = classify.Tokens(inputCol="text", outputCol="tokens", bigrams=True).transform(df).collect()
     assert out[0]["tokens"] == out[1]["tokens"] == ["cafe", "resume", "cafe resume"] and out[2]["tokens"] == []
+
+
+def test_a_limit_behind_a_larger_one_is_found(spark):
+    """1,000 texts end at 300; of the 10 longer ones 8 end at 310."""
+    lengths = [50 + i % 240 for i in range(480)] + [300] * 1000 + [310] * 8 + [320, 330]
+    df = spark.createDataFrame([(i, "x" * n, "feed") for i, n in enumerate(lengths)], "doc_id bigint, text string, source string")
+    rows = {r["length"]: r for r in truncation.Truncation(df).hazards().where("unit = 'chars'").collect()}
+    assert rows[300]["significant"] and rows[310]["significant"] and not rows[320]["significant"]
+    for at, r in rows.items():
+        near = [j for j in range(max(1, at - 25), at + 26) if j != at]
+        ended, risk = sum(lengths.count(j) for j in near), sum(sum(n >= j for n in lengths) for j in near)
+        assert abs(r["expected"] - r["at_risk"] * min((ended + 0.5) / risk, 1.0)) < 1e-9

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.llm import truncation as X
+
 _WS = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
@@ -33,7 +35,30 @@ _P5 = """WITH win AS (SELECT doc_id, i, substr(text, i::INT + 1, 200) AS w FROM
  runs AS (SELECT doc_id, i, sum(CASE WHEN i <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM hit)),
  spans AS (SELECT doc_id, min(i)::INT AS span_start, (max(i) + 200)::INT AS span_end FROM runs GROUP BY doc_id, run)"""
 
+_Q = lambda x: x.replace("'", "''")
+_FEED = f"lower({_strip('source')})"
+_HAS = lambda p: f"regexp_matches(e, '{_Q(p)}')"
+_AROUND = "OVER (PARTITION BY feed, unit ORDER BY length RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING)"
+_TAIL = lambda k, e: f"CASE WHEN {k} > {e} THEN exp(-({k} * ln({k} / {e}) - {k} + {e})) ELSE 1.0::DOUBLE END"
+_BH = lambda t: f"(SELECT coalesce(max(p), -1) FROM (SELECT p, sum(count(*)) OVER (ORDER BY p) AS rank FROM {t} WHERE p <= 0.01::DOUBLE GROUP BY p) WHERE p <= 0.01::DOUBLE * rank / (SELECT count(*) FROM {t}))"
+_P10 = f"""WITH raw AS (SELECT doc_id, {_FEED} AS feed, text, coalesce(length(text), 0) AS chars, coalesce(strlen(text), 0) AS bytes, rtrim(regexp_replace(right(rtrim(text, '{X.BLANKS}'), {X.REACH}), '{_Q(X.FOOT)}', ''), '{X.BLANKS}') AS e FROM documents),
+ st AS (SELECT doc_id, feed, coalesce(feed, '') AS f, text, chars, bytes, CASE WHEN e IS NULL OR e = '' THEN 0 WHEN {_HAS(X.MARK)} OR {_HAS(X.BROKEN)} THEN 2 WHEN {_HAS(X.DOUBTFUL)} THEN 1 WHEN {_HAS(X.STOP)} OR {_HAS(X.LINE)} THEN 0 ELSE 2 END AS state FROM raw),
+ one AS (SELECT f AS feed, chars, bytes, max(state) AS state FROM st WHERE chars > 0 GROUP BY f, text, chars, bytes),
+ lens AS (SELECT feed, unit, length, count(*) AS ended FROM (SELECT feed, 'chars' AS unit, chars AS length FROM one UNION ALL SELECT feed, 'bytes', bytes FROM one) GROUP BY 1, 2, 3),
+ win AS (SELECT *, greatest(length - 25, 1) AS lo, sum(ended) {_AROUND} AS near, sum(ended * length) {_AROUND} AS mass, sum(ended) OVER (PARTITION BY feed, unit ORDER BY length RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_risk,
+  coalesce(sum(ended) OVER (PARTITION BY feed, unit ORDER BY length RANGE BETWEEN 26 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS beyond FROM lens),
+ expo AS (SELECT *, (mass + (1 - lo) * near + beyond * (length + 25 - lo + 1) - at_risk)::DOUBLE AS exposed FROM win),
+ expd AS (SELECT feed, unit, length, ended, at_risk, at_risk::DOUBLE * CASE WHEN exposed > 0 THEN least((near - ended + 0.5::DOUBLE) / exposed, 1) ELSE 1 END AS expected FROM expo),
+ hz AS (SELECT *, {_TAIL('ended::DOUBLE', 'expected')} AS p FROM expd), sig AS (SELECT * FROM hz WHERE p <= {_BH('hz')}),
+ off AS (SELECT feed, count(*) AS texts, count(*) FILTER (state = 2) AS opened, count(*) * 0.002::DOUBLE AS expected FROM one o WHERE NOT EXISTS (SELECT 1 FROM sig WHERE sig.feed = o.feed AND ((unit = 'chars' AND length = chars) OR (unit = 'bytes' AND length = bytes))) GROUP BY 1),
+ tr AS (SELECT *, {_TAIL('opened::DOUBLE', 'expected')} AS p FROM off), bad AS (SELECT feed FROM tr WHERE p <= {_BH('tr')}),
+ flag AS (SELECT *, EXISTS (SELECT 1 FROM sig WHERE sig.feed = st.f AND ((unit = 'chars' AND length = chars) OR (unit = 'bytes' AND length = bytes))) AS at_limit FROM st),
+ cut AS (SELECT *, CASE WHEN at_limit THEN state > 0 ELSE state = 2 AND f IN (SELECT feed FROM bad) END AS cut FROM flag)"""
+
 SQL = {
+    "p10_found": f"{_P10} SELECT doc_id FROM cut WHERE cut",
+    "p10_hazards": f"{_P10} SELECT feed, unit, length::INT AS length, ended, at_risk::BIGINT AS at_risk FROM sig",
+    "p10_report": f"{_P10} SELECT feed AS source, count(*) AS docs, count(*) FILTER (cut) AS cut, count(*) FILTER (cut AND at_limit) AS cut_at_limit, round(count(*) FILTER (cut)::DOUBLE / count(*), 6) AS cut_share FROM cut GROUP BY feed",
     "p1_found": f"{_P1} SELECT split, label_name FROM need WHERE k < need",
     "p1_report": f"{_P1} SELECT split, label_name, target_permille, min_rows, need::BIGINT AS need, k::BIGINT AS available, least(need, k)::BIGINT AS drawn, (need - least(need, k))::BIGINT AS gap FROM need",
     "p2_found": f"WITH {_SIDES}, {_SHINGLES} SELECT a AS clause_id_a, b AS clause_id_b FROM near JOIN side x ON x.clause_id = a JOIN side y ON y.clause_id = b WHERE (x.side = 'train') <> (y.side = 'train')",

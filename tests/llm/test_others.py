@@ -285,34 +285,37 @@ def test_anneal_improves():
 # ---- truncation
 
 WHOLE = [None, "", "  ", "It ends here.", "Annex 4 - Torwick LLC", "Ends.\n\n* * *", "Ends.\n\n- 12 -", "Ends.\n\nPage 3 of 9", "Ends.\n\nBy: ____\nIts: Secretary", "Sum.\n\nItem 1  fee  $3.50\nTotal  $3.50",
-         "Ends. Prepared by Norra Glass Ltd.", "Ends.\n\nSchedule 3: Roof Licences", 'He said "yes."', "under Section 4.2(d).", "Ends. [End.]", "Cut at Ltd. Filed under Norra Glass 12 Torwi."]
-CUT = ["It ends he", "bis zum 27.", "the sum of $3,", "Ends her…", "Ends her...", "a word\\u20", "a word%E2%8", "Toll conse&#", "It ends he\n\n* * *", "It ends he\n\nPage 3 of 9", "payable to Norra Glass Ltd.", "It ends he] “So agreed.”",
-       "It ends he (emphasis added).", "will pay the” Prepared by Norra Glass GmbH.", "under Section 4", "It end\n\nBy: ____\nIts: Secretary", "he ends �"]
+         "Ends.\n\nSchedule 3: Roof Licences", 'He said "yes."', "under Section 4.2(d).", "Ends. [End.]", "Ends.\n\nEND OF DOCUMENT", "the last one (emphasis added)", "a quoted part”", "\n\n* * *"]
+CUT = ["It ends he", "bis zum 27.", "the sum of $3,", "the sum of $3.", "Ends her…", "Ends her...", "a word\\u20", "a word%E2%8", "Toll conse&#", "It ends he\n\n* * *", "It ends he\n\nPage 3 of 9", "under Section 4", "he ends �", "has sixty ("]
+DOUBT = ["payable to Norra Glass Ltd.", "Ends.\n\n14.3 Ferry Timetables."]
 
 
-@pytest.mark.parametrize("text", WHOLE)
-def test_whole(text):
-    assert truncation.ending(text) == truncation.WHOLE
-
-
-@pytest.mark.parametrize("text", CUT)
-def test_cut(text):
-    assert truncation.ending(text) == truncation.STRONG
+def test_endings(spark):
+    texts = [(t, truncation.WHOLE) for t in WHOLE] + [(t, truncation.OPEN) for t in CUT] + [(t, truncation.DOUBT) for t in DOUBT]
+    texts += [("a. " * 100_000 + "\n" + t, kind) for t, kind in texts if t and t.strip()]
+    df = spark.createDataFrame(texts, "_text string, kind int")
+    end, state = truncation.ending(F.col("_text"))
+    wrong = df.withColumn("_end", end).withColumn("state", state).where("state <> kind").select(F.substring("_text", -40, 40), "kind", "state").collect()
+    assert not wrong
 
 
 def test_truncation_table(spark):
     rng = random.Random(9)
-    rows = [(i, "a " * rng.randint(20, 400) + "b.", "feed") for i in range(600)]
-    rows += [(1000 + i, ("c " * 150)[:299] + "c", " FEED") for i in range(60)] + [(2000 + i, "x" * (300 - 21) + "\n1.2 Roof Licences for.", "feed")[:3] for i in range(5)]
+    rows = [(i, f"{i} " + "a " * rng.randint(20, 400) + "b.", "feed") for i in range(600)]
+    rows += [(1000 + i, f"{i:03d}" + ("c " * 150)[:296] + "c", " FEED") for i in range(60)]  # cut at 300 characters
+    rows += [(2000 + i, f"{i} " + "d " * rng.randint(20, 400) + "d", "broken") for i in range(20)] + [(2100 + i, f"{i} " + "e " * rng.randint(20, 400) + "e.", "broken") for i in range(100)]
+    rows += [(2500 + i, f"{i} " + "f " * rng.randint(20, 400) + "f.", "clean") for i in range(300)] + [(2900, "one stray endin", "clean")]
+    rows += [(2950 + i, "delivered again and again.", "clean") for i in range(50)]  # one text, no limit
     rows += [(3000, None, "feed"), (3001, "", None), (3002, "whole.", None)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({"feed": F.lit(1), "state": F.lit(1), "chars": F.lit(1)})
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({"feed": F.lit(1), "state": F.lit(1), "chars": F.lit(1), "_end": F.lit(1)})
     t = truncation.Truncation(df)
     sig = {(r["feed"], r["unit"], r["length"]) for r in t.hazards().where("significant").collect()}
-    assert ("feed", "chars", 300) in sig
+    assert sig == {("feed", "chars", 300), ("feed", "bytes", 300)}
+    assert {r["feed"] for r in t.transfers().where("significant").collect()} == {"broken"}
     cut = {r["doc_id"] for r in t.flagged().where("cut").collect()}
-    assert set(range(1000, 1060)) <= cut and not cut & set(range(600)) and not cut & {3000, 3001, 3002}
+    assert cut == set(range(1000, 1060)) | set(range(2000, 2020))
     report = {r["source"]: r for r in t.report().collect()}
-    assert report["feed"]["docs"] == len(rows) - 2 and report[None]["cut"] == 0
+    assert report["feed"]["docs"] == 661 and report["feed"]["cut_at_limit"] == 60 and report["broken"]["cut"] == 20 and report[None]["cut"] == 0
     assert truncation.Truncation(df.limit(0)).flagged().collect() == []
 
 

@@ -131,6 +131,28 @@ def test_capped_rate():
         draws = np.minimum(np.random.default_rng(1).poisson(lam, 200_000), cap)
         assert abs(draws.mean() - mean) < 0.01
     assert mixing.capped_rate(2, 2) == float("inf") and mixing.capped_rate(0, 3) == 0
+    assert abs(mixing.capped_rate(900, 5000) - 900) < 1e-3 and mixing.capped_rate(1199.9, 1200) > 1200
+
+
+def test_reachable():
+    assert mixing.reachable([500, 300, 200], [1000, 1000, 1000], 100) == [50, 30, 20]
+    assert mixing.reachable([500, 300, 200], [10, 1000, 1000], 100) == [10, 54, 36]
+    assert mixing.reachable([500, 300, 200], [10, 50, 1000], 100) == [10, 50, 40]  # the second is full only by what the first lacks
+    assert mixing.reachable([500, 500, 0], [10, 20, 99], 100) == [10, 20, 0] and mixing.reachable([], [], 5) == []
+
+
+def test_mix_shares_with_a_feed_out_of_reach(spark):
+    """Feeds within reach get their reachable shares, within the error of drawing; what the short feed lacks goes to them by their targets."""
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.randint(5, 60), ("big", "mid", "tiny")[(i % 20 == 0) + (i % 60 == 0)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    goal = spark.createDataFrame([("big", 500, 2), ("mid", 200, 9), ("tiny", 300, 2)], "source string, target_permille int, max_repeats int")
+    report = {r["source"]: r for r in mixing.Mix(df, goal).report().collect()}
+    assert [s for s, r in report.items() if r["unreachable"]] == ["tiny"] and report["tiny"]["tokens"] == 2 * report["tiny"]["t"]
+    assert abs(sum(r["reached_permille"] for r in report.values()) - 1000) < 0.01
+    assert abs(report["big"]["reachable_permille"] / report["mid"]["reachable_permille"] - 2.5) < 0.01
+    for s in ("big", "mid"):
+        assert abs(report[s]["reached_permille"] - report[s]["reachable_permille"]) < 25
 
 
 # ---- spans

@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import U, mix
@@ -165,6 +165,29 @@ def anneal_large(sizes: np.ndarray, cells: np.ndarray, starts: list[list[int]],
     return best
 
 
+def quotas(labels: list[list[tuple[int, int]]], before: dict[int, int], share_label: np.ndarray) -> np.ndarray:
+    """Rows wanted by split and label in a block, in whole components.
+
+    The components that have a label stand in one line over all blocks, and the
+    j-th of them counts for the split at j times the golden ratio (modulo 1) on
+    the line of the splits' shares.  Any stretch of that sequence meets the
+    shares within a few components, so the blocks' quotas add up to them even
+    for a label with one component a block; a share of each block's own rows
+    would ask every block for the same largest split.  before: how many
+    components of earlier blocks have the label.
+    """
+    want = np.zeros(share_label.shape)
+    ends = np.cumsum(share_label, axis=0)
+    at = dict(before)
+    for row in labels:
+        for lab, m in row:
+            j = at.get(lab, 0)
+            at[lab] = j + 1
+            x = (j * 0.6180339887498949 + lab * 0.7548776662466927) % 1.0
+            want[min(int(np.searchsorted(ends[:, lab], x * ends[-1, lab], side="right")), len(want) - 1), lab] += m
+    return want
+
+
 class GroupSplit:
     """A split for each row that keeps every cluster whole, and the clusters that a stored split breaks.
 
@@ -172,9 +195,9 @@ class GroupSplit:
     of its own), ``label`` (null is a label of its own) and ``side``, the
     stored split (null: none).  Components start at a split by their hash and
     are annealed in blocks of about 8,192, each towards its part of the wanted
-    sizes and label numbers, from several starts of which the best is kept; so
-    the whole deviates by no more than its blocks do.  Components of more than
-    a thousandth of the rows, fewer than 1,000 in number, are annealed first, by
+    sizes and its quotas of the labels, which add up over the blocks, from
+    several starts of which the best is kept.  Components of more than a
+    thousandth of the rows, fewer than 1,000 in number, are annealed first, by
     size and labels, with the others' rows as what fills the room left.
 
     No rows give no components; a repeated key is two rows.
@@ -189,9 +212,12 @@ class GroupSplit:
         self.rows = materialize(base.withColumn("comp", F.xxhash64("single", "unit")), "rows")
 
     def broken(self) -> DataFrame:
-        """(cluster, splits): clusters whose rows are stored in two splits or more."""
-        seen = self.rows.where(~F.col("single") & F.col("side").isNotNull()).groupBy("unit", "side").agg(F.count(F.lit(1)).alias("rows"))
-        return seen.groupBy(F.col("unit").alias("cluster")).agg(F.count(F.lit(1)).alias("splits")).where("splits > 1")
+        """(cluster, split, rows, moved): clusters whose stored rows stand in two splits or more, the split assigned, and how many rows it moves."""
+        stored = self.rows_split().where("cluster is not null and side is not null")
+        seen = stored.groupBy("cluster").agg(
+            F.min("split").alias("split"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("side") != F.col("split")).alias("moved"), F.min("side").alias("_lo"), F.max("side").alias("_hi")
+        )
+        return seen.where("_lo < _hi").drop("_lo", "_hi")
 
     def components(self) -> DataFrame:
         """(single, unit, comp, size, labels): labels is a list of (label, rows), as long as there are labels."""
@@ -229,16 +255,16 @@ class GroupSplit:
         share, share_label = shares_left(size, cell, whole, whole_label)
         blocks = max(1, -(-(count - len(large)) // BLOCK))
         small = comps.where(F.col("size") * LARGE <= total).withColumn("block", F.pmod(F.xxhash64("comp", F.lit(seed)), F.lit(blocks)))
+        having = small.select("block", F.explode("labels.label").alias("label")).groupBy("block", "label").agg(F.count(F.lit(1)).alias("here"))
+        place = F.sum("here").over(Window.partitionBy("label").orderBy("block")) - F.col("here")
+        places = having.select("block", F.struct("label", place.alias("before")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("at"))
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        def run(pdf: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("comp", ignore_index=True)
             sizes = pdf["size"].astype(int).tolist()
             labels = [[(order[x["label"]], int(x["rows"])) for x in row] for row in pdf["labels"]]
-            local = np.zeros(len(order))
-            for row in labels:
-                for lab, m in row:
-                    local[lab] += m
-            want, want_label = share * sum(sizes), share_label * local
+            before = {order[x["label"]]: int(x["before"]) for row in at["at"] for x in row}
+            want, want_label = share * sum(sizes), quotas(labels, before, share_label)
             best = None
             for k in range(starts):
                 u = mix(pdf["comp"].to_numpy().view(U) ^ U(seed * 1009 + k)).astype(np.float64) / 2.0**64
@@ -249,22 +275,34 @@ class GroupSplit:
             return pd.DataFrame({"single": pdf["single"], "unit": pdf["unit"], "comp": pdf["comp"], "size": pdf["size"], "split": [names[s] for s in best[0]]})
 
         schema = "single boolean, unit bigint, comp bigint, size bigint, split string"
-        out = small.groupBy("block").applyInPandas(run, schema)
+        out = small.groupBy("block").cogroup(places.groupBy("block")).applyInPandas(run, schema)
         if placed:
             top = self.rows.sparkSession.createDataFrame([(r["single"], r["unit"], r["comp"], r["size"], placed[r["comp"]]) for r in large], schema)
             out = out.unionByName(top)
         return materialize(out, "assigned")
 
     def rows_split(self, assigned: DataFrame | None = None) -> DataFrame:
-        """(key, cluster, side, split) of every row."""
+        """(key, cluster, label, side, split) of every row; a null label is -1."""
         a = (assigned if assigned is not None else self.assigned()).select("comp", F.struct("single", "unit").alias("_of"), "split")
         out = lookup_join(self.rows, a, "comp").where(F.struct("single", "unit") == F.col("_of"))
-        return out.select("key", F.when(~F.col("single"), F.col("unit")).alias("cluster"), "side", "split")
+        return out.select("key", F.when(~F.col("single"), F.col("unit")).alias("cluster"), "label", "side", "split")
 
     def report(self) -> DataFrame:
-        """(split, rows, share, target) of the assignment."""
-        a = self.assigned()
-        n = a.groupBy("split").agg(F.sum("size").alias("rows"))
+        """(split, rows, share, target, label_gap, worst_label, worst_gap) of the assignment.
+
+        label_gap is the share of the split's rows that would have to change for
+        all labels to meet the target; worst_label is the label with the largest
+        gap in rows, worst_gap that gap (rows had less rows wanted).
+        """
         goal = self.rows.sparkSession.createDataFrame(list(zip(self.names, map(float, self.fractions))), "split string, target double")
-        whole = n.agg(F.sum("rows").alias("_all"))
-        return goal.join(n, "split", "left").na.fill(0, ["rows"]).crossJoin(F.broadcast(whole)).select("split", "rows", F.round(F.try_divide("rows", "_all"), 6).alias("share"), "target")
+        cells = materialize(self.rows_split().groupBy("split", "label").agg(F.count(F.lit(1)).alias("rows")), "cells")
+        totals = cells.groupBy("label").agg(F.sum("rows").alias("of"))
+        full = goal.crossJoin(F.broadcast(totals)).join(cells, ["split", "label"], "left").na.fill(0, ["rows"])
+        gap = F.col("rows") - F.col("target") * F.col("of")
+        by = full.withColumn("gap", gap).groupBy("split").agg(F.sum("rows").alias("rows"), F.sum(F.abs("gap")).alias("_off"), F.max(F.struct(F.abs("gap").alias("g"), F.col("label").alias("label"), F.col("gap").alias("gap"))).alias("_x"))
+        whole = totals.agg(F.sum("of").alias("_all"))
+        out = goal.join(by, "split", "left").na.fill(0, ["rows"]).crossJoin(F.broadcast(whole))
+        return out.select(
+            "split", "rows", F.round(F.try_divide("rows", "_all"), 6).alias("share"), "target", F.round(F.try_divide(F.col("_off") / 2, "rows"), 6).alias("label_gap"),
+            F.col("_x.label").alias("worst_label"), F.round("_x.gap", 3).alias("worst_gap"),
+        )

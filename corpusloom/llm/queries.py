@@ -37,6 +37,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).report()
 
 
+def p1_margins(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).margins()
+
+
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = _clauses(spark, d, "clause_id", "text")
     return neardup.cross_pairs(rows, F.col("side") == "train", F.col("side").isin("dev", "calib", "test"))
@@ -134,7 +138,7 @@ def p10_hazards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_sample, p1_report, p2_found, p2_report, p3_found, p4_found, p4_split, p4_report, p5_found, p5_shares, p6_found, p6_records, p7_found, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_report, p10_hazards)
+    made = (p1_found, p1_sample, p1_report, p1_margins, p2_found, p2_report, p3_found, p4_found, p4_split, p4_report, p5_found, p5_shares, p6_found, p6_records, p7_found, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_report, p10_hazards)
     return {f.__name__: f for f in made}
 
 

@@ -112,8 +112,26 @@ class TargetSample:
         return chosen.select(F.col("key").alias(self.key), "split", "category", F.when(F.col("rank") <= F.col("share"), "share").otherwise("minimum").alias("reason"))
 
     def report(self) -> DataFrame:
-        """(split, label_name, target_permille, min_rows, need, available, drawn, gap) of every target; a gap is what is missing."""
-        got = F.least("need", "available")
-        return self.needs.select(
-            "split", F.col("category").alias("label_name"), F.col("permille").alias("target_permille"), F.col("least").alias("min_rows"), "need", "available", got.alias("drawn"), (F.col("need") - got).alias("gap")
+        """(split, label_name, target_permille, min_rows, need, available, drawn, gap) of every target.
+
+        drawn is counted from the rows of the sample; the gap is what the sample
+        lacks of the need.
+        """
+        got = self.drawn().groupBy("split", "category").agg(F.count(F.lit(1)).alias("drawn"))
+        out = self.needs.join(got, ["split", "category"], "left").na.fill(0, ["drawn"])
+        return out.select(
+            "split", F.col("category").alias("label_name"), F.col("permille").alias("target_permille"), F.col("least").alias("min_rows"), "need", "available", "drawn", (F.col("need") - F.col("drawn")).alias("gap")
         )
+
+    def margins(self) -> DataFrame:
+        """(split, group, rows, drawn, share_permille, drawn_permille, residual_permille): how far the groups' shares of the sample are from their shares of the split.
+
+        A residual remains where the categories' targets and the groups' shares
+        contradict each other; a null group is written as the empty one.
+        """
+        drawn = self.drawn().select(F.col(self.key).alias("key"), "split", "category").join(self.rows, ["key", "split", "category"])
+        got = drawn.groupBy("split", "group").agg(F.count(F.lit(1)).alias("drawn"))
+        by = self.rows.groupBy("split", "group").agg(F.count(F.lit(1)).alias("rows")).join(got, ["split", "group"], "left").na.fill(0, ["drawn"])
+        share = lambda c: F.round(F.try_divide(F.col(c) * 1000.0, F.sum(c).over(Window.partitionBy("split"))), 3)
+        out = by.withColumns({"share_permille": share("rows"), "drawn_permille": share("drawn")})
+        return out.withColumn("residual_permille", F.round(F.col("drawn_permille") - F.col("share_permille"), 3))

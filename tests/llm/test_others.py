@@ -304,6 +304,34 @@ def test_anneal_improves():
     assert abs(groupsplit.deviation(size, want) + groupsplit.deviation(cell, want_label) - cost) < 1e-6 * max(1, cost)
 
 
+def test_rare_labels_over_many_blocks(spark, monkeypatch):
+    """A label with one or two components a block keeps the shares over all blocks, as do components of many rows."""
+    monkeypatch.setattr(groupsplit, "BLOCK", 100)
+    rng = random.Random(2)
+    rows, key = [], 0
+    for c in range(4000):
+        label = 7 if c % 100 == 0 else 8 if c % 50 == 1 else 9 if c % 100 == 2 else c % 5
+        for _ in range(12 if label == 9 else rng.choice((1, 1, 1, 2, 3))):
+            rows.append((key, c, label, None))
+            key += 1
+    df = spark.createDataFrame(rows, "key bigint, cluster int, label int, side string")
+    out = groupsplit.GroupSplit(df).rows_split().groupBy("label", "split").count().collect()
+    n = Counter()
+    for r in out:
+        n[r["label"], r["split"]] += r["count"]
+    for label in (*range(5), 7, 8, 9):
+        whole = sum(n[label, s] for s in groupsplit.SPLITS)
+        for s, f in zip(groupsplit.SPLITS, groupsplit.FRACTIONS):
+            assert abs(n[label, s] / whole - f) <= 0.05, (label, s, n[label, s], whole)
+
+
+def test_broken_by_comparison(spark):
+    rows = [(1, 5, 0, "train"), (2, 5, 0, "dev"), (3, 6, 0, "dev"), (4, 6, 1, "dev"), (5, None, 1, "train"), (6, -1, 1, "dev"), (7, 7, 0, None), (8, 7, 0, "test"), (9, 5, None, None)]
+    df = spark.createDataFrame(rows, "key bigint, cluster int, label int, side string")
+    got = groupsplit.GroupSplit(df).broken().collect()
+    assert [(r["cluster"], r["rows"]) for r in got] == [(5, 2)] and got[0]["moved"] >= 1
+
+
 # ---- truncation
 
 WHOLE = [None, "", "  ", "It ends here.", "Annex 4 - Torwick LLC", "Ends.\n\n* * *", "Ends.\n\n- 12 -", "Ends.\n\nPage 3 of 9", "Ends.\n\nBy: ____\nIts: Secretary", "Sum.\n\nItem 1  fee  $3.50\nTotal  $3.50",

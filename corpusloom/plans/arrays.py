@@ -25,10 +25,18 @@ def _unpacked(raw: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], n, "zstd", asbytes=True), dtype)
 
 
-def merged_array(df: DataFrame, partial: Callable[[Iterator], np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str) -> np.ndarray:
+def merged_array(
+    df: DataFrame,
+    partial: Callable[[Iterator], np.ndarray],
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    dtype: str,
+    finish: Callable[[np.ndarray], np.ndarray] | None = None,
+    finished: str | None = None,
+) -> np.ndarray:
     """partial(batches) gives one array of the same fixed length a partition; they are merged chunk by chunk, 256 at a time.
 
-    Only the merged array, whose length the caller fixes, reaches the driver.
+    Only the merged array, whose length the caller fixes, reaches the driver;
+    with ``finish``, what that makes of each merged chunk, of type ``finished``.
     """
 
     def gather(batches):
@@ -50,11 +58,12 @@ def merged_array(df: DataFrame, partial: Callable[[Iterator], np.ndarray], merge
 
     schema = "chunk int, pid bigint, data binary"
 
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+    def combine(pdf: pd.DataFrame, last: bool = False) -> pd.DataFrame:
         acc = None
         for raw in pdf["data"]:
             a = _unpacked(raw, dtype)
             acc = a.copy() if acc is None else merge(acc, a)
+        acc = finish(acc) if last and finish else acc
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "pid": [pdf["pid"].iloc[0] // 256], "data": [_packed(acc)]})
 
     width = df.rdd.getNumPartitions()
@@ -62,5 +71,6 @@ def merged_array(df: DataFrame, partial: Callable[[Iterator], np.ndarray], merge
     while width > 256:
         parts = parts.groupBy("chunk", F.floor(F.col("pid") / 256).alias("g")).applyInPandas(lambda k, p: combine(p), schema)
         width = -(-width // 256)
-    rows = parts.groupBy("chunk").applyInPandas(combine, schema).collect()
-    return np.concatenate([_unpacked(r["data"], dtype) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros(0, dtype)
+    rows = parts.groupBy("chunk").applyInPandas(lambda k, p: combine(p, True), schema).collect()
+    out = finished or dtype
+    return np.concatenate([_unpacked(r["data"], out) for r in sorted(rows, key=lambda r: r["chunk"])]) if rows else np.zeros(0, out)

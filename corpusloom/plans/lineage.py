@@ -13,7 +13,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 _written: dict[str, SparkSession] = {}
@@ -52,6 +53,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
+    """materialize(df) and its number of rows, which the write itself counts."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return out, seen.get["rows"]
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables of materialize() that nothing will read again."""
     for t in tables:

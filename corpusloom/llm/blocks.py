@@ -9,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import U, bloom_add, bloom_bits, bloom_probes, mix
-from corpusloom.llm.shingles import DEN, NUM, least_overlap
+from corpusloom.functions.hashing import U, bloom_add, bloom_bits, bloom_has, bloom_probes, mix
 from corpusloom.plans.arrays import merged_array
+from corpusloom.plans.lineage import materialize
 
+#: Likeness of at least NUM / DEN counts as near-duplicate.
+NUM, DEN = 4, 5
 #: Documents of one inverted list that share a block; a longer list is cut into blocks of about this size.
 BLOCK = 512
+#: Bytes of one Bloom filter: about 13 million keys.
+SHARD = 16 << 20
 
 
 def _flat(column) -> np.ndarray:
@@ -23,8 +27,13 @@ def _flat(column) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(U)
 
 
-def key_filter(ids: DataFrame, n: int) -> np.ndarray:
-    """A packed Bloom filter, of at most 16 MB, of a column of bigints or of lists of them."""
+def key_filter(ids: DataFrame, n: int, max_bytes: int = SHARD) -> np.ndarray | None:
+    """A packed Bloom filter of a column of bigints or of lists of them; None if n keys need more than one shard of max_bytes.
+
+    It only spares work: where it is None, callers join by the keys instead.
+    """
+    if shards_of(n, max_bytes) > 1:
+        return None
     bits = bloom_bits(max(n, 1))
 
     def add(batches):
@@ -37,16 +46,20 @@ def key_filter(ids: DataFrame, n: int) -> np.ndarray:
     return out if len(out) else np.zeros(bits // 8, np.uint8)
 
 
-def repeat_filter(hashes: DataFrame, n: int, max_bytes: int = 16 << 20) -> np.ndarray:
+def shards_of(n: int, max_bytes: int = SHARD) -> int:
+    """How many filters of at most max_bytes hold n keys at ten bits each."""
+    return max(1, -(-n * 10 // (max_bytes * 8)))
+
+
+def repeat_filter(hashes: DataFrame, n: int) -> np.ndarray:
     """A packed Bloom filter that holds every value that a column of bigints, or of lists of distinct ones, has twice, and few others.
 
     Each partition keeps two filters, of values seen once and of values seen
     again; when two partitions are merged, what both saw once counts as seen
     again.  The merge works bit by bit, so it never misses a repeated value.
-    The size follows n up to max_bytes; beyond that more single values pass, at
-    a cost in shuffle and none in the result.
+    n keys are one shard's (see repeats).
     """
-    bits = bloom_bits(max(n, 1), max_bytes=max_bytes)
+    bits = bloom_bits(max(n, 1))
 
     def seen(batches):
         once, again = np.zeros(bits, np.uint8), np.zeros(bits, np.uint8)
@@ -70,6 +83,47 @@ def repeat_filter(hashes: DataFrame, n: int, max_bytes: int = 16 << 20) -> np.nd
     return (both >> 8).astype(np.uint8) if len(both) else np.zeros(bits // 8, np.uint8)
 
 
+def repeats(rows: DataFrame, column: str, n: int, max_bytes: int = SHARD) -> DataFrame:
+    """rows with the boolean ``maybe``: false only if no other row has the same value of ``column`` (a bigint hash, not null).
+
+    n is the number of rows.  Values are cut by hash range into as many shards
+    as filters of max_bytes need; the rows are written once, in order of the
+    shard within each file, so that each shard's filter is built from and
+    probes its own rows only.  The driver holds one shard's filter at a time,
+    and the share of single rows taken for repeated ones is the same for any n.
+    """
+    count = shards_of(n, max_bytes)
+    if count > 1:
+        rows = materialize(rows.withColumn("_shard", F.pmod(F.xxhash64(column), F.lit(count)).cast("int")).sortWithinPartitions("_shard"), "shards")
+    schema = f"{_ddl(rows.drop('_shard'))}, maybe boolean"
+    at = rows.columns.index(column)
+
+    def one(i: int) -> DataFrame:
+        part = rows if count == 1 else rows.where(F.col("_shard") == i).drop("_shard")
+        shared = rows.sparkSession.sparkContext.broadcast(repeat_filter(part.select(column), -(-n // count)))
+
+        def probe(batches):
+            for b in batches:
+                ok = bloom_has(shared.value, mix(b.column(at).to_numpy().view(U)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok)], names=[*b.schema.names, "maybe"])
+
+        return part.mapInArrow(probe, schema)
+
+    out = one(0)
+    for i in range(1, count):
+        out = out.unionByName(one(i))
+    return out
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def least_overlap(n: np.ndarray | int):
+    """The overlap that any partner of likeness NUM / DEN has with a set of n at least."""
+    return (NUM * n + DEN - 1) // DEN
+
+
 def enough(o, n1, n2):
     """Whether an overlap o of sets of n1 and n2 is a likeness of NUM / DEN."""
     return o * (NUM + DEN) >= NUM * (n1 + n2)

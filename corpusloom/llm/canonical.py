@@ -2,59 +2,39 @@
 
 from __future__ import annotations
 
-import re
-from hashlib import md5
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import U, bloom_has, mix
-from corpusloom.llm.blocks import repeat_filter
+from corpusloom.functions.text import let
+from corpusloom.llm.blocks import SHARD, repeats
 from corpusloom.plans.lineage import materialize
 from corpusloom.plans.skew import lookup_join
 
-_CUT = re.compile(r"[\n|]")
-_OTHER = re.compile(r"[\W_]+")
-
 
-def canonical(text: str | None) -> str | None:
-    """A hash of the multiset of a record's pieces; None for a record without pieces.
+def canonical(text: Column) -> Column:
+    """The multiset of a record's pieces as one string; null for a record without pieces.
 
     Pieces lie between line feeds and bars, in lower case and only with their
     letters and digits; empty pieces do not count.
     """
-    pieces = sorted(p for p in (_OTHER.sub("", x.lower()) for x in _CUT.split(text or "")) if p)
-    return md5("\n".join(pieces).encode("utf-8", "surrogatepass")).hexdigest() if pieces else None
+    piece = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "")
+    pieces = F.filter(F.transform(F.split(text, r"[\n|]"), piece), lambda p: p != "")
+    return let(F.array_join(F.array_sort(pieces), "\n"), lambda s: F.when(s != "", s))
 
 
-def collapsed(df: DataFrame, key: str = "record_id", text: str = "text") -> DataFrame:
+def collapsed(df: DataFrame, key: str = "record_id", text: str = "text", max_bytes: int = SHARD) -> DataFrame:
     """(key, keep, copies) for every row: the smallest key of its set of copies, and the set's size.
 
-    Only rows that may have a copy, by blocks.repeat_filter, are
-    shuffled for exact grouping; the others are singletons.  A set may hold
-    any share of the rows: groups are pre-aggregated and hot ones looked up by
-    broadcast.  Rows without pieces (null, empty, punctuation only) are
-    singletons, never each other's copies.
+    Canonical forms are hashed in the JVM.  Only rows that may have a copy, by
+    blocks.repeats, are shuffled for exact grouping; the others are singletons.
+    A set may hold any share of the rows: groups are pre-aggregated and hot ones
+    looked up by broadcast.  Rows without pieces (null, empty, punctuation only)
+    are singletons, never each other's copies.
     """
-
-    def run(batches):
-        for b in batches:
-            h = [canonical(t) for t in b.column(1).to_pylist()]
-            short = [x and int(x[:15], 16) for x in h]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.string()), pa.array(short, pa.int64())], names=["key", "h", "short"])
-
-    kind = df.schema[key].dataType.simpleString()
-    hashed = materialize(df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, h string, short bigint"), "hashes")
+    form = let(canonical(F.col(text)), lambda c: F.struct(F.md5(c.cast("binary")).alias("h"), F.when(c.isNotNull(), F.xxhash64(c)).alias("short")))
+    hashed = materialize(df.select(F.col(key).alias("key"), form.alias("f")).select("key", "f.h", "f.short"), "hashes")
     real = hashed.where("h is not null")
-    shared = df.sparkSession.sparkContext.broadcast(repeat_filter(real.select("short"), real.count()))
-
-    def probe(batches):
-        for b in batches:
-            ok = bloom_has(shared.value, mix(b.column(2).to_numpy().view(U)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], names=["key", "h", "maybe"])
-
-    probed = materialize(real.mapInArrow(probe, f"key {kind}, h string, maybe boolean"), "probed")
+    probed = materialize(repeats(real, "short", real.count(), max_bytes).select("key", "h", "maybe"), "probed")
     maybe = probed.where("maybe").select("key", "h")
     sets = materialize(maybe.groupBy("h").agg(F.min("key").alias("keep"), F.count(F.lit(1)).alias("copies")), "sets")
     single = probed.where("not maybe").select("key").union(hashed.where("h is null").select("key"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans.lineage import materialize, release
+from corpusloom.plans.lineage import counted, materialize, release
 from corpusloom.plans.skew import lookup_join
 
 
@@ -22,9 +22,9 @@ def contracted(edges: DataFrame, a: str, b: str, seed: int = 17, max_rounds: int
     has no row.  Repeated and reversed edges count once.  No edges give no rows.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = materialize(e.union(e.select("b", "a")).distinct(), "edges")
+    both, n = counted(e.union(e.select("b", "a")).distinct(), "edges")
     maps: list[DataFrame] = []
-    while (n := both.count()) > 0:
+    while n > 0:
         if len(maps) >= max_rounds:
             raise RuntimeError("no end of contraction")
         fresh = F.lit(seed * 1_000_003 + len(maps))
@@ -39,18 +39,21 @@ def contracted(edges: DataFrame, a: str, b: str, seed: int = 17, max_rounds: int
         if n >= 100_000:  # the next lookup reads it more than once
             half = materialize(half, "half")
         whole = lookup_join(half, hook.select(F.col("v").alias("b"), F.col("r").alias("rb")), "b", rows=n)
-        nxt = materialize(whole.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "edges")
+        nxt, n = counted(whole.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct(), "edges")
         release(both, half)
         both = nxt
         maps.append(hook)
     release(both)
     if not maps:
         return e.select(F.col("a").alias("id"), F.col("a").alias("group"))
-    labels = maps.pop().select(F.col("v").alias("id"), F.col("r").alias("rep"))
+    done = maps.pop()
+    labels = done.select(F.col("v").alias("id"), F.col("r").alias("rep"))
     while maps:
         up = labels.select(F.col("id").alias("r"), F.col("rep"))
         m = maps.pop()
         labels = materialize(lookup_join(m, up, "r", "left").select(F.col("v").alias("id"), F.coalesce("rep", "r").alias("rep")), "labels")
+        release(m, done)
+        done = labels
     least = labels.groupBy("rep").agg(F.min("id").alias("group"))
     return lookup_join(labels, least, "rep").select("id", "group")
 

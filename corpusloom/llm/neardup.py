@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import U, bloom_has, mix
-from corpusloom.llm.blocks import divide_skip, key_filter, merge_pairs, repeat_filter, verified
+from corpusloom.llm.blocks import DEN, NUM, divide_skip, key_filter, merge_pairs, repeat_filter, repeats, shards_of, verified
 from corpusloom.llm.contract import contracted
-from corpusloom.llm.shingles import DEN, NUM, SHARED, WORDS, prefixes, rarity, sets_of
+from corpusloom.llm.shingles import EACH, SHARED, SKETCH, WORDS, prefixes, rarity, sets_of
 from corpusloom.plans.lineage import materialize, release
+from corpusloom.plans.skew import lookup_join
+
+#: Sets of one inverted list that are merged in one task.
+LIST = 4096
 
 
 def _copies(described: DataFrame, *by: str) -> DataFrame:
@@ -21,7 +25,13 @@ def _copies(described: DataFrame, *by: str) -> DataFrame:
     return materialize(described.select("id", *keys).join(many, keys).where("id <> rep").select("id", "rep"), "copies")
 
 
-def _picked(rows: DataFrame, wanted: np.ndarray, inside: bool) -> DataFrame:
+def _picked(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """The rows whose id may be one of the ``count`` rows of keys (id): by a Bloom filter, or by a join where they are too many for one."""
+    wanted = key_filter(keys, count)
+    return rows.join(keys, "id", "left_semi") if wanted is None else _filtered(rows, wanted, True)
+
+
+def _filtered(rows: DataFrame, wanted: np.ndarray, inside: bool) -> DataFrame:
     """The rows whose id may be in a packed Bloom filter, or is surely not."""
     shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
@@ -36,11 +46,13 @@ def _sets(described: DataFrame, copies: DataFrame) -> DataFrame:
     """One row a distinct set.  What a filter of the copies surely lacks stays where it is; only the rest is joined."""
     rows = described.select("id", "n", "prefix", *[c for c in described.columns if c == "side"])
     wanted = key_filter(copies.select("id"), copies.count())
-    return _picked(rows, wanted, False).unionByName(_picked(rows, wanted, True).join(copies.select("id"), "id", "left_anti"))
+    if wanted is None:
+        return rows.join(copies.select("id"), "id", "left_anti")
+    return _filtered(rows, wanted, False).unionByName(_filtered(rows, wanted, True).join(copies.select("id"), "id", "left_anti"))
 
 
-def _postings(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(s, id, n, pos) of the prefix shingles that may be in a packed Bloom filter."""
+def _postings(sets: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(s, id, n, pos) of the prefix shingles, of those that may be in a packed Bloom filter if one is given."""
     shared = sets.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -49,57 +61,108 @@ def _postings(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
             s = lists.flatten().to_numpy().view(U)
             lens = np.diff(lists.offsets.to_numpy())
             pos = np.arange(len(s)) - np.repeat(np.cumsum(lens) - lens, lens)
-            keep = np.flatnonzero(bloom_has(shared.value, mix(s)))
+            keep = np.flatnonzero(bloom_has(shared.value, mix(s))) if shared.value is not None else np.arange(len(s))
             row = pa.array(np.repeat(np.arange(b.num_rows), lens)[keep])
             yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(pos[keep].astype(np.int32))], names=["s", "id", "n", "pos"])
 
     return sets.select("id", "n", "prefix").mapInArrow(run, "s bigint, id bigint, n int, pos int")
 
 
+def _repeated(sets: DataFrame, prefixes_: DataFrame, size: int) -> DataFrame:
+    """The postings of shingles that may stand in two prefixes of the ``size`` shingles of prefixes_ (prefix)."""
+    if shards_of(size) == 1:
+        return _postings(sets, repeat_filter(prefixes_, size))
+    posts = materialize(_postings(sets), "postings")
+    return repeats(posts, "s", size).where("maybe").drop("maybe")
+
+
 def _lists(posts: DataFrame) -> DataFrame:
-    """The postings of lists with two sets or more, and each list's length m."""
+    """The postings of lists with two sets or more, and each list's length m; posts is a written table."""
     lists = posts.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s", "m")
-    return materialize(posts.join(lists, "s"), "lists")
+    return materialize(lookup_join(posts, lists.withColumn("_m", F.col("m")), "s", weight="_m"), "lists")
 
 
 def _least(n: Column) -> Column:
-    return F.least(F.lit(SHARED), F.floor((NUM * n + DEN - 1) / DEN))
+    """shared_short() of a column."""
+    t = F.floor((NUM * n + DEN - 1) / DEN)
+    return F.least(F.greatest(F.lit(SHARED), F.floor(t / EACH)), t)
 
 
-def _pairs(x: DataFrame, y: DataFrame, more: Column, exact: bool = True) -> DataFrame:
-    """(a, b, w, m): pairs that share enough lists and pass the length and position filters, each once, with one list they share.
+def _alike(x: str, y: str) -> Column:
+    """Whether two postings of one list can be of sets alike enough, by length, position and sketch.
 
-    A pair alike enough shares c = min(SHARED, T) lists or more; the i-th of
-    these leaves room for i and what lies behind it in the shorter rest.  Not
-    exact: one list is enough, for where x and y are not whole lists.
+    The c-th shingle in common leaves room for c and what lies behind it in the
+    shorter rest, and sketches differ in no more bits than the sets differ in
+    shingles, of which a pair alike enough has (DEN - NUM) / (DEN + NUM) of n1 + n2.
     """
-    x, y = x.alias("x"), y.alias("y")
-    n1, n2 = F.col("x.n"), F.col("y.n")
-    room = F.least(n1 - F.col("x.pos"), n2 - F.col("y.pos")) + (SHARED - 1)
-    ok = (F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM) & (room * (NUM + DEN) >= (n1 + n2) * NUM) & more
-    both = x.join(y, F.col("x.s") == F.col("y.s")).where(ok)
-    out = both.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.min(F.col("x.s")).alias("w"), F.max(F.col("y.m")).alias("m"), F.count(F.lit(1)).alias("shared"), F.min(F.least(n1, n2)).alias("n")
-    )
+    n1, n2 = F.col(f"{x}.n"), F.col(f"{y}.n")
+    room = F.least(n1 - F.col(f"{x}.pos"), n2 - F.col(f"{y}.pos")) + (_least(F.least(n1, n2)) - 1)
+    bits = sum((F.bit_count(F.col(f"{x}.k{i}").bitwiseXOR(F.col(f"{y}.k{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{x}.k0").bitwiseXOR(F.col(f"{y}.k0"))))
+    length = F.least(n1, n2) * DEN >= F.greatest(n1, n2) * NUM
+    return length & (bits * (NUM + DEN) <= (n1 + n2) * (DEN - NUM)) & (room * (NUM + DEN) >= (n1 + n2) * NUM)
+
+
+def _cut(posts: DataFrame, left: bool) -> DataFrame:
+    """posts with the columns part and other, by which a list is cut into tasks.
+
+    A list of more than LIST sets is cut into blocks by id, and each pair of
+    blocks into ranges of length a quarter wide: a set goes to its own range
+    and, on the right, to those beside it, which hold all that can be alike.  A
+    shorter list is one task.
+    """
+    blocks = F.ceil(F.col("m") / LIST).cast("int")
+    own, all_ = F.pmod(F.xxhash64("id"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
+    long, width = F.col("m") > LIST, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
+    cell = lambda j, w: F.struct((own if left else j).alias("i"), (j if left else own).alias("j"), w.alias("w"))
+    ranges = F.array(width) if left else F.array(width - 1, width, width + 1)
+    cells = F.flatten(F.transform(all_, lambda j: F.transform(ranges, lambda w: cell(j, w))))
+    none = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("w")))
+    return posts.withColumn("cell", F.explode(F.when(long, cells).otherwise(none)))
+
+
+def _candidates(both: DataFrame, exact: bool) -> DataFrame:
+    """(a, b, w, m) of joined postings x and y: each pair once, with one list it shares and that list's length.
+
+    A pair alike enough shares c lists or more (shingles.shared_short); not
+    exact: one is enough, where x and y are not whole lists.
+    """
+    n = F.least("x.n", "y.n")
+    out = both.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min("x.s").alias("w"), F.max("y.m").alias("m"), F.count(F.lit(1)).alias("shared"), F.min(n).alias("n"))
     return (out.where(F.col("shared") >= _least(F.col("n"))) if exact else out).select("a", "b", "w", "m")
 
 
-def _prepare(df: DataFrame, key: str, text: str, k: int, flags: list[Column]) -> DataFrame:
+def _pairs(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
+    """The candidates of two sides of the same lists, both with m."""
+    x, y = _cut(x, True).alias("x"), _cut(y, False).alias("y")
+    return _candidates(x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cell") == F.col("y.cell")) & _alike("x", "y") & more), True)
+
+
+def _prepare(df: DataFrame, key: str, text: str, k: int, flags: list[Column], sketch: bool = False) -> DataFrame:
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), *flags, F.col(text).alias("text"))
     rank = rarity(rows, "text", k)
-    return materialize(prefixes(rows, rank, "id", "text", k, tuple(c for c in rows.columns if c not in ("id", "text"))), "sets")
+    return materialize(prefixes(rows, rank, "id", "text", k, tuple(c for c in rows.columns if c not in ("id", "text")), sketch), "sets")
+
+
+_KEYS = [f"k{i}" for i in range(SKETCH)]
 
 
 def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """(key, group_id): every row with likeness of at least 0.8 to some other row; group_id is the smallest key linked to it.
 
-    Exact.  Of rows with equal shingle sets the smallest id goes on.  The sets' short inverted lists (their rarest n - T + c shingles) are
-    shuffled by shingle; each list first links its members to its smallest only,
-    these links are verified, and only members still in different components
-    are then paired, by the number of short lists they share, and verified.  So
-    a list of near-copies, however long, costs its length and not its square.
-    Verification is the T-occurrence search of blocks.divide_skip in blocks of
-    bounded size.
+    Exact.  A T-occurrence search over inverted lists, each set a query: its
+    T - c longest lists are set aside, the others (those of its rarest n - T + c
+    shingles) are shuffled by shingle and merged, by counting for each query how
+    many of them a set stands in; sets found c times go on and are probed in the
+    lists set aside (blocks.divide_skip), and those that reach T are retained.
+
+    Of rows with equal shingle sets the smallest id goes on.  Each list first
+    links its members to its smallest only, and only members that these
+    verified links leave in different components are merged with each other, so
+    a list of near-copies costs its length.  A set enters a merge only where its
+    length, its position and the sketch that every posting carries allow T, so
+    few pairs come out of a merge that are not alike, however many sets share
+    a sentence; lists of more than LIST sets are merged block by block in
+    ranges of length.
 
     Null and empty texts and texts of fewer than k words are never cases; rows
     with a null key have no row; a repeated key counts as a copy.
@@ -108,23 +171,26 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     copies = _copies(described)
     distinct = _sets(described, copies)
     size = described.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    lists = _lists(_postings(distinct, repeat_filter(described.select("prefix"), size)))
+    lists = _lists(materialize(_repeated(distinct, described.select("prefix"), size), "repeated"))
     release(described)
-    ids = materialize(lists.groupBy("id").agg(F.count(F.lit(1)).alias("in"), F.max("n").alias("n")).where(F.col("in") >= _least(F.col("n"))).select("id"), "ids")
-    sets = materialize(sets_of(df, key, text, k, key_filter(ids, ids.count())).join(ids, "id"), "some")
-    posts = materialize(lists.join(ids, "id").select("s", "id", "n", "pos", "m"), "posts")
-    least = posts.groupBy("s").agg(F.min(F.struct("id", "n", "pos")).alias("f")).select("s", "f.*")
-    star = materialize(_pairs(least, posts, F.col("x.id") < F.col("y.id"), exact=False), "star")
+    # a partner may be shorter and so need fewer lists in common
+    ids = lists.groupBy("id").agg(F.count(F.lit(1)).alias("in"), F.max("n").alias("n")).where(F.col("in") >= _least(F.floor((NUM * F.col("n") + DEN - 1) / DEN))).select("id")
+    ids = materialize(ids, "ids")
+    sets = materialize(sets_of(df, key, text, k, ids, ids.count()), "some")
+    posts = materialize(lists.join(sets.select("id", *_KEYS), "id").select("s", "id", "n", "pos", "m", *_KEYS), "posts")
+    heads = posts.groupBy("s").agg(F.min(F.struct("id", "n", "pos", *_KEYS)).alias("f"), F.count(F.lit(1)).alias("_m")).where("_m > 1").select("s", "f", "_m")
+    pair = lookup_join(posts, heads, "s", weight="_m").select("s", F.struct("s", "id", "n", "pos", "m", *_KEYS).alias("y"), F.struct("s", "f.*").alias("x")).where((F.col("x.id") < F.col("y.id")) & _alike("x", "y"))
+    star = materialize(_candidates(pair, False), "star")
     near = materialize(verified(star, sets, divide_skip), "near")
 
     known = materialize(contracted(near, "a", "b").withColumnRenamed("group", "c"), "known")
     tagged = materialize(posts.join(known, "id", "left").withColumn("c", F.coalesce("c", "id")), "tagged")
-    mixed = tagged.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
-    open_ = materialize(tagged.join(mixed, "s"), "open")
+    mixed = tagged.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("_m")).where("lo < hi").select("s", "_m")
+    open_ = materialize(lookup_join(tagged, mixed, "s", weight="_m"), "open")
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
     rest = materialize(_pairs(open_, open_, apart).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     ends = rest.select(F.col("a").alias("id")).union(rest.select("b"))
-    more = materialize(verified(rest, _picked(sets, key_filter(ends, 2 * rest.count()), True), divide_skip), "more")
+    more = materialize(verified(rest, _picked(sets.select("id", "set"), ends, 2 * rest.count()), divide_skip), "more")
     release(lists, ids, star, sets, posts, tagged, open_, rest)
 
     # links between components, then the groups of all their members, then the copies
@@ -138,19 +204,21 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     return groups.union(hidden).select(F.col("rep").alias(key), F.col("group").alias("group_id"))
 
 
-def cross_pairs(df: DataFrame, train: Column, other: Column, key: str = "clause_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """(a, b): all pairs of a row where ``train`` holds and one where ``other`` holds whose likeness is at least 0.8; a is of train.
+def cross_classes(df: DataFrame, train: Column, other: Column, key: str = "clause_id", text: str = "text", k: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(near (a, b), members (rep, id)): pairs of classes of equal shingle sets of different sides alike enough, and the classes' rows.
 
-    Exact.  Of equal shingle sets on one side only the smallest id goes on.  The
-    evaluation sets' prefixes (rarest n - T + c shingles) are the index; the
-    training sets' prefixes probe it with length and position filters; the
-    surviving pairs are verified on whole sets and expanded by their copies.
+    a is the smallest id of a class where ``other`` holds, b of one where
+    ``train`` does.  Exact.  The evaluation sets' prefixes (rarest n - T + c
+    shingles) are the index; the training sets' prefixes probe it with length,
+    position and sketch filters; the surviving pairs are verified on whole sets.
+    Lists of any length are joined in blocks.
 
     Null and empty texts, texts of fewer than k words, rows of neither side and
     rows with a null key have no pair.
     """
     side = F.when(train, 1).when(other, 2)
-    described = _prepare(df.where(train | other), key, text, k, [side.alias("side")])
+    rows = df.where(train | other)
+    described = _prepare(rows, key, text, k, [side.alias("side")], sketch=True)
     copies = _copies(described, "side")
     distinct = _sets(described, copies)
     wanted = described.where("side = 2").select("prefix")
@@ -158,18 +226,35 @@ def cross_pairs(df: DataFrame, train: Column, other: Column, key: str = "clause_
     probe = materialize(_postings(distinct.where("side = 1"), key_filter(wanted, size)), "probe")
     probed = probe.select("s")
     index = materialize(_postings(distinct.where("side = 2"), key_filter(probed, probed.count())), "index")
-    release(described)
-    sizes = index.select("s", F.lit(1).alias("i")).union(probe.select("s", F.lit(0))).groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("i").alias("i"), F.min("i").alias("p"))
-    probed = probe.join(sizes.where("i = 1 and p = 0").select("s", "m"), "s")
-    pairs = materialize(_pairs(index.withColumn("m", F.lit(0)), probed, F.lit(True)), "pairs")
-    release(index, probe)
+    sizes = index.select("s", F.lit(1).alias("i")).union(probe.select("s", F.lit(0))).groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("i").alias("hi"), F.min("i").alias("lo"))
+    sizes = materialize(sizes.where("hi = 1 and lo = 0").select("s", "m", F.col("m").alias("_m")), "sizes")
+    met = lambda posts: lookup_join(posts, sizes, "s", weight="_m")
+    both = materialize(met(index).withColumn("e", F.lit(True)).unionByName(met(probe).withColumn("e", F.lit(False))), "both")
+    ids = materialize(both.select("id").distinct(), "ids")
+    posts = both.join(_picked(described.select("id", *_KEYS), ids, ids.count()), "id")
+    posts = materialize(posts, "posts")
+    pairs = materialize(_pairs(posts.where("e"), posts.where("not e"), F.lit(True)), "pairs")
+    release(index, probe, both, posts, described)
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = sets_of(df.where(train | other), key, text, k, key_filter(ids, ids.count())).join(ids, "id")
-    near = materialize(verified(pairs, sets, merge_pairs), "near")
+    near = materialize(verified(pairs, sets_of(rows, key, text, k, ids, ids.count()).select("id", "set"), merge_pairs), "near")
     release(pairs)
-
-    # the copies of both ends
     ends = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-    members = materialize(ends.select("rep", F.col("rep").alias("id")).union(copies.join(ends, "rep").select("rep", "id")), "members")
+    return near, materialize(ends.select("rep", F.col("rep").alias("id")).union(copies.join(ends, "rep").select("rep", "id")), "members")
+
+
+def cross_pairs(df: DataFrame, train: Column, other: Column, key: str = "clause_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """(a, b): all pairs of a row where ``train`` holds and one where ``other`` holds whose likeness is at least 0.8; a is of train.
+
+    The classes of cross_classes with all their rows.
+    """
+    near, members = cross_classes(df, train, other, key, text, k)
     e, t = members.select(F.col("rep").alias("a"), F.col("id").alias("eval_id")), members.select(F.col("rep").alias("b"), F.col("id").alias("train_id"))
     return near.join(e, "a").join(t, "b").select(F.col("train_id").alias("a"), F.col("eval_id").alias("b"))
+
+
+def cross_counts(df: DataFrame, train: Column, other: Column, key: str = "clause_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """(id, pairs): every row where ``other`` holds that has a partner, and how many it has; no pair of copies is formed."""
+    near, members = cross_classes(df, train, other, key, text, k)
+    size = members.groupBy(F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("rows"))
+    found = near.join(size, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("rows").alias("pairs"))
+    return members.join(found, "rep").select("id", "pairs")

@@ -41,20 +41,18 @@ def p1_margins(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).margins()
 
 
-def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = _clauses(spark, d, "clause_id", "text")
-    return neardup.cross_pairs(rows, F.col("side") == "train", F.col("side").isin("dev", "calib", "test"))
+def _across(spark: SparkSession, d: str, find: Callable) -> DataFrame:
+    return find(_clauses(spark, d, "clause_id", "text"), F.col("side") == "train", F.col("side").isin("dev", "calib", "test"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_pairs(spark, d).select(F.least("a", "b").alias("clause_id_a"), F.greatest("a", "b").alias("clause_id_b"))
+    return _across(spark, d, neardup.cross_pairs).select(F.least("a", "b").alias("clause_id_a"), F.greatest("a", "b").alias("clause_id_b"))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation clauses with a partner in train, and pairs, by split and source."""
-    rows = _clauses(spark, d, "clause_id", "source").select(F.col("clause_id").alias("b"), "side", labels.plain(F.col("source")).alias("source"))
-    n = F.count(F.lit(1))
-    return p2_pairs(spark, d).join(rows, "b").groupBy(F.col("side").alias("split"), "source").agg(n.alias("pairs"), F.count_distinct("b").alias("clauses"))
+    rows = _clauses(spark, d, "clause_id", "source").select(F.col("clause_id").alias("id"), "side", labels.plain(F.col("source")).alias("source"))
+    return _across(spark, d, neardup.cross_counts).join(rows, "id").groupBy(F.col("side").alias("split"), "source").agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("clauses"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -14,15 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import RangeHash, U, mix
+from corpusloom.functions.hashing import RangeHash, U, bloom_has, mix
+from corpusloom.llm.blocks import key_filter, least_overlap
 from corpusloom.plans.arrays import merged_array
 
 WORDS = 5
-#: Likeness of at least NUM / DEN counts as near-duplicate.
-NUM, DEN = 4, 5
-#: Short lists a pair must share, of those that are not set aside as long.
-SHARED = 3
+#: Short lists a pair must share, of those that are not set aside as long: this many, or one in EACH of the least overlap.
+SHARED, EACH = 3, 25
+#: Words of 64 bits of a set's sketch.
+SKETCH = 4
 _CHUNK = 1 << 19
 _SEGMENT = 1 << 20
 _BYTES = mix(np.arange(1, 257, dtype=U))
@@ -69,14 +71,19 @@ def hashed(texts: list[str | None], k: int = WORDS) -> Iterator[tuple[int, int,
         yield lo, len(texts), *_hash_words(group, k)
 
 
-def sketch_bits(rows: int) -> int:
-    """Cells for about 32 a row, which keeps unrelated shingles apart; at most 2**24, so 16 MB are broadcast."""
+def rarity_bits(rows: int) -> int:
+    """Cells for about 32 a row, which keeps unrelated shingles apart; at most 2**24, so that 16 MB are broadcast whatever the rows.
+
+    Past half a million rows cells are shared.  A shingle of many texts still
+    stands out of its cell's neighbours by its count, so it stays out of the
+    prefixes; among rare ones the order is any, which costs nothing.
+    """
     return min(24, max(18, int(rows * 32).bit_length()))
 
 
 def rarity(df: DataFrame, text: str = "text", k: int = WORDS) -> np.ndarray:
-    """Quantised logarithms (8 bits) of the counts, by hash bucket, of the shingles of all rows; at most 16 MB."""
-    bits = sketch_bits(df.count())
+    """Quantised logarithms (8 bits, steps of a tenth) of the counts, by hash bucket, of the shingles of all rows; at most 16 MB."""
+    bits = rarity_bits(df.count())
 
     def count(batches):
         total = np.zeros(1 << bits, np.uint32)
@@ -96,15 +103,16 @@ def rarity(df: DataFrame, text: str = "text", k: int = WORDS) -> np.ndarray:
                     flush()
                     n = 0
         flush()
-        return np.minimum(total, 65535).astype(np.uint16)
+        return total
 
     def add(a, b):
-        return np.minimum(a.astype(np.uint32) + b, 65535).astype(np.uint16)
+        return np.minimum(a.astype(np.uint64) + b, (1 << 32) - 1).astype(np.uint32)
 
-    total = merged_array(df.select(text), count, add, "uint16")
-    if not len(total):
-        total = np.zeros(1 << bits, np.uint16)
-    return np.round(np.log2(total.astype(np.float32) + 1) * 15).astype(np.uint8)
+    def level(total: np.ndarray) -> np.ndarray:
+        return np.round(np.log2(total.astype(np.float64) + 1) * 7.5).astype(np.uint8)
+
+    levels = merged_array(df.select(text), count, add, "uint32", level, "uint8")
+    return levels if len(levels) else np.zeros(1 << bits, np.uint8)
 
 
 def ordered(doc: np.ndarray, h: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -127,26 +135,33 @@ def ordered(doc: np.ndarray, h: np.ndarray, rank: np.ndarray | None) -> tuple[np
     return doc, h
 
 
-def least_overlap(n: np.ndarray | int):
-    """The overlap that any partner of likeness NUM / DEN has with a set of n at least."""
-    return (NUM * n + DEN - 1) // DEN
+def shared_short(n):
+    """c = min(max(SHARED, T / EACH), T): how many of the first shingles in common lie in both prefixes; it grows with n."""
+    t = least_overlap(n)
+    return np.minimum(np.maximum(SHARED, t // EACH), t)
+
 
+def sketches(first: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """SKETCH words for each set (sets start at ``first`` in h): bit i says whether an odd number of its hashes fall on i.
 
-def shared_short(n):
-    """min(SHARED, T): how many of the first shingles in common lie in both prefixes."""
-    return np.minimum(SHARED, least_overlap(n))
+    The bits in which two sketches differ are no more than the hashes that only
+    one of the sets has, so they bound the overlap from above.
+    """
+    bit, word = U(1) << (h >> U(58)), (h >> U(56)) & U(SKETCH - 1)
+    return [np.bitwise_xor.reduceat(np.where(word == U(w), bit, U(0)), first).view(np.int64) for w in range(SKETCH)]
 
 
-def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: int = WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *extra, s1, s2, n, prefix): set signature, set size and the rarest n - T + c shingles of each text that has k words.
+def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: int = WORDS, extra: tuple[str, ...] = (), sketch: bool = False) -> DataFrame:
+    """(key, *extra, s1, s2, n, prefix): set signature, set size and the rarest n - T + c shingles of each text that has k words; with k0.. if sketch.
 
-    c = min(SHARED, T).  Sets of likeness NUM / DEN have T shingles or more in
-    common; behind the c-th of these in the common order lie T - c others, so
-    that the first c are in both prefixes.
+    Sets of likeness NUM / DEN have T shingles or more in common; behind the
+    c-th of these in the common order lie T - c others, so that the first c are
+    in both prefixes.
     """
     shared = df.sparkSession.sparkContext.broadcast(rank)
     out = df.select(key, *extra, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]) + ", s1 bigint, s2 bigint, n int, prefix array<bigint>"
+    words = [f"k{i}" for i in range(SKETCH)] if sketch else []
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]) + ", s1 bigint, s2 bigint, n int, prefix array<bigint>" + "".join(f", {w} bigint" for w in words)
 
     def run(batches):
         for batch in batches:
@@ -164,33 +179,43 @@ def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: i
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), flat)
                 ids = batch.slice(lo, hi - lo).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.column(i) for i in range(batch.num_columns - 1)] + [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n.astype(np.int32)), lists],
-                    names=[*batch.schema.names[:-1], "s1", "s2", "n", "prefix"],
+                    [ids.column(i) for i in range(batch.num_columns - 1)]
+                    + [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n.astype(np.int32)), lists]
+                    + ([pa.array(x) for x in sketches(first, h)] if sketch else []),
+                    names=[*batch.schema.names[:-1], "s1", "s2", "n", "prefix", *words],
                 )
 
     return out.mapInArrow(run, schema)
 
 
-def sets_of(df: DataFrame, key: str, text: str, k: int, wanted: np.ndarray) -> DataFrame:
-    """(id, set): the sorted distinct hashes of each row whose key may be in the packed Bloom filter ``wanted``."""
-    from corpusloom.functions.hashing import bloom_has
+def sets_of(df: DataFrame, key: str, text: str, k: int, ids: DataFrame, count: int) -> DataFrame:
+    """(id, set, k0..): the sorted distinct hashes and the sketch of each row whose key is one of the ``count`` rows of ids (id).
 
+    A Bloom filter of the ids spares hashing the other texts; where there are
+    too many for one, the texts are joined by id first.
+    """
+    wanted = key_filter(ids, count)
+    rows = df.where(df[key].isNotNull()).select(df[key].cast("bigint").alias("id"), F.col(text).alias("text"))
+    rows = rows.join(ids, "id", "left_semi") if wanted is None else rows
     shared = df.sparkSession.sparkContext.broadcast(wanted)
+    words = [f"k{i}" for i in range(SKETCH)]
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            pick = np.flatnonzero(bloom_has(shared.value, mix(ids.astype(np.int64).view(U))))
-            some = batch.take(pa.array(pick))
+            some = batch
+            if shared.value is not None:
+                some = batch.filter(pa.array(bloom_has(shared.value, mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)))))
             for lo, hi, doc, h in hashed(some.column(1).to_pylist(), k):
                 doc, h = ordered_plain(doc, h)
                 if not len(doc):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(lo, hi - lo).take(pa.array(doc[first])), lists], names=["id", "set"])
+                own = some.column(0).slice(lo, hi - lo).take(pa.array(doc[first]))
+                yield pa.RecordBatch.from_arrays([own, lists, *(pa.array(x) for x in sketches(first, h))], names=["id", "set", *words])
 
-    return df.where(df[key].isNotNull()).select(df[key].cast("bigint").alias("id"), text).mapInArrow(run, "id bigint, `set` array<bigint>")
+    out = rows.mapInArrow(run, "id bigint, `set` array<bigint>" + "".join(f", {w} bigint" for w in words))
+    return out if wanted is None else out.join(ids, "id", "left_semi")
 
 
 def ordered_plain(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

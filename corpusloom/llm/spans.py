@@ -103,11 +103,12 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     open_ = factors.where("not whole").select("anchor").distinct()
     look = factors.where("not whole").select("doc", "first", "last").union(factors.where("whole and named").join(open_, "anchor", "left_semi").select("doc", "first", "last"))
     edge = materialize(look.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("at")), "edge")
-    wanted = df.sparkSession.sparkContext.broadcast(key_filter(edge.select("doc"), edge.count()))
+    wanted = key_filter(edge.select("doc"), edge.count())
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
 
     def pick(batches):
         for b in batches:
-            yield b.filter(pa.array(bloom_has(wanted.value, mix(b.column(0).to_numpy(zero_copy_only=False).view(U)))))
+            yield b.filter(pa.array(bloom_has(shared.value, mix(b.column(0).to_numpy(zero_copy_only=False).view(U)))))
 
     def expand(batches):
         for b in batches:
@@ -122,7 +123,8 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc", "at", "h"])
 
-    texts = docs.mapInArrow(pick, docs.schema).join(edge, "doc").select("doc", "text", "at")
+    # the filter spares a shuffle of texts; where there are too many documents for one, the join alone does it
+    texts = (docs if wanted is None else docs.mapInArrow(pick, docs.schema)).join(edge, "doc").select("doc", "text", "at")
     windows = materialize(texts.mapInArrow(expand, "doc bigint, at int, h bigint"), "windows")
     single = lookup_join(windows, _shared(windows, "h").select("h", "m"), "h", weight="m").select("doc", F.col("at").alias("first"), F.col("at").alias("last"))
     pieces = factors.where("whole").select("doc", "first", "last").union(single)

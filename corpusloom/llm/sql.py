@@ -62,6 +62,9 @@ SQL = {
     "p1_found": f"{_P1} SELECT split, label_name FROM need WHERE k < need",
     "p1_report": f"{_P1} SELECT split, label_name, target_permille, min_rows, need::BIGINT AS need, k::BIGINT AS available, least(need, k)::BIGINT AS drawn, (need - least(need, k))::BIGINT AS gap FROM need",
     "p2_found": f"WITH {_SIDES}, {_SHINGLES} SELECT a AS clause_id_a, b AS clause_id_b FROM near JOIN side x ON x.clause_id = a JOIN side y ON y.clause_id = b WHERE (x.side = 'train') <> (y.side = 'train')",
+    "p2_report": f"""WITH {_SIDES}, {_SHINGLES}, pr AS (SELECT a AS e, b AS t FROM near UNION ALL SELECT b, a FROM near)
+ SELECT x.side AS split, lower({_strip('c.source')}) AS source, count(*) AS pairs, count(DISTINCT e) AS clauses FROM pr JOIN side x ON x.clause_id = e JOIN side y ON y.clause_id = t JOIN clauses c ON c.clause_id = e
+ WHERE x.side <> 'train' AND y.side = 'train' GROUP BY 1, 2""",
     "p3_found": f"""WITH RECURSIVE {_SHINGLES}, l AS (SELECT a, b FROM near UNION SELECT b, a FROM near), reach(id, r) AS (SELECT a, a FROM l UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.r)
  SELECT id AS clause_id, min(r) AS group_id FROM reach GROUP BY id""",
     "p4_found": f"WITH {_SIDES} SELECT dup_cluster FROM clauses JOIN side USING (clause_id) WHERE dup_cluster >= 0 GROUP BY 1 HAVING count(DISTINCT side) > 1",

@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import blocks, labels, neardup
-from corpusloom.llm.shingles import hashed, least_overlap, normal, ordered
+from corpusloom.llm.shingles import hashed, least_overlap, normal, ordered, sketches
 
 import numpy as np
 
@@ -75,6 +76,54 @@ def test_cross_pairs_equal_brute_force(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("shards", [1, 3])
+def test_cut_lists_and_joins_without_filters(spark, monkeypatch, shards):
+    """Lists cut into blocks and ranges of length, and keys that no single filter holds, give the same groups and pairs."""
+    monkeypatch.setattr(neardup, "LIST", 3)
+    if shards > 1:
+        monkeypatch.setattr(blocks, "shards_of", lambda n, max_bytes=0: shards)
+        monkeypatch.setattr(neardup, "shards_of", lambda n, max_bytes=0: shards)
+    rows = corpus(5, 90)
+    df = spark.createDataFrame(rows, "clause_id bigint, text string")
+    assert {r["clause_id"]: r["group_id"] for r in neardup.near_groups(df).collect()} == groups(rows)
+    s = sets(rows)
+    df = df.withColumn("side", F.when(F.col("clause_id") % 3 == 0, "test").otherwise("train"))
+    got = sorted(map(tuple, neardup.cross_pairs(df, F.col("side") == "train", F.col("side") == "test").collect()))
+    assert got == sorted((i, j) for i in s for j in s if i % 3 and j % 3 == 0 and alike(s[i], s[j]))
+    counts = {r["id"]: r["pairs"] for r in neardup.cross_counts(df, F.col("side") == "train", F.col("side") == "test").collect()}
+    assert counts == Counter(j for _, j in got)
+
+
+def test_shared_sentences_form_few_candidates(spark, monkeypatch):
+    """Texts of sentences from one pool share many lists; what is verified grows with the texts, not with their square."""
+    seen = {}
+    write = neardup.materialize
+
+    def watch(df, name="t"):
+        out = write(df, name)
+        if name in ("star", "rest"):
+            seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", watch)
+    rng = random.Random(6)
+    pool = [" ".join(f"w{rng.randrange(2000)}" for _ in range(12)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(8))) for i in range(800)]
+    df = spark.createDataFrame(rows, "clause_id bigint, text string")
+    assert {r["clause_id"]: r["group_id"] for r in neardup.near_groups(df).collect()} == groups(rows)
+    assert seen["star"] + seen["rest"] <= len(rows)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    whole = rng.integers(0, 2**63, 300).astype(np.uint64)
+    for n, m in ((100, 90), (200, 10), (300, 300)):
+        a, b = np.sort(whole[:n]), np.sort(whole[300 - m :])
+        x, y = (sketches(np.array([0]), s) for s in (a, b))
+        bits = sum(int(np.bitwise_xor(i, j)[0].view(np.uint64)).bit_count() for i, j in zip(x, y))
+        assert bits <= len(np.setxor1d(a, b)) and (n != m or bits == 0)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "clause_id bigint, text string")
     assert neardup.near_groups(df).collect() == []

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, contract, groupsplit, mixing, sampling, spans, tokens, truncation
+from corpusloom.llm import blocks, canonical, contract, groupsplit, mixing, sampling, spans, tokens, truncation
 
 VOCAB = tokens.VOCABULARY
 
@@ -68,6 +68,24 @@ def test_a_third_are_copies_of_one(spark):
     assert {r["copies"]: r["count"] for r in got} == {1000: 1000, 1: 2000}
 
 
+def test_filters_by_shards(spark):
+    """With a small bound on filters the copies are the same, and the share of single rows that is shuffled does not grow with the rows."""
+    for n in (3_000, 30_000):
+        rows = spark.range(n).select(F.col("id").alias("record_id"), F.concat(F.lit("t "), F.when(F.col("id") < n // 10, F.col("id") % 50).otherwise(F.col("id"))).alias("text")).repartition(5)
+        got = canonical.collapsed(rows, max_bytes=1 << 10).where("copies > 1").agg(F.count(F.lit(1)), F.count_distinct("keep")).first()
+        assert tuple(got) == (n // 10, 50)
+        assert blocks.shards_of(n, 1 << 10) >= n // 1000
+        h = rows.select("record_id", F.xxhash64("text").alias("h"))
+        passed = blocks.repeats(h, "h", n, 1 << 10).where("maybe").count()
+        assert n // 10 <= passed <= n // 10 + n * 0.08
+
+
+def test_canonical_is_any_order_and_script(spark):
+    rows = [("Straße|ÉTÉ 5\nb", "B\n été5 | strasse"), ("Straße|ÉTÉ 5\nb", "b!|STRAßE\n\nété, 5"), ("x" * 100_000 + "|y", "Y\n" + "X" * 100_000)]
+    got = spark.createDataFrame(rows, "a string, b string").select((canonical.canonical(F.col("a")) == canonical.canonical(F.col("b"))).alias("same")).collect()
+    assert [r["same"] for r in got] == [False, True, True]
+
+
 # ---- tokens
 
 

@@ -11,8 +11,8 @@ from corpusloom.functions import patterns as P
 from corpusloom.functions import text as T
 from corpusloom.operators import classify, entities, evaluate, neardup, profile, retrieval, sampling, splits, stats
 from corpusloom.plans import report
-from corpusloom.plans.lineage import materialize
-from corpusloom.sources import docblocks, tables
+from corpusloom.plans.lineage import materialize, scratch
+from corpusloom.sources import docblocks, results, tables
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,11 @@ def display_clip(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.clipped(F.col("text")).alias("shown"))
 
 
+@query("SELECT clause_id, ((row_number() OVER (ORDER BY clause_id) - 1) // ((SELECT count(*) + 6 FROM clauses) // 7))::INT AS chunk FROM clauses")
+def chunks(spark, d):
+    return sampling.chunked(table(spark, d, "clauses", "clause_id"), "clause_id", 7)
+
+
 # ---- near-duplicates
 
 
@@ -373,32 +378,30 @@ def quote_context(spark, d):
     return entities.quote_contexts(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text")
 
 
-# single-match texts let SQL find the offsets that the engine takes from the matcher
-_SPAN_SQL = f"""sp AS (SELECT clause_id, text, g[1] AS entity, m[1] AS whole FROM (SELECT clause_id, text, regexp_extract_all(text, '{_GL}', 1) AS g, regexp_extract_all(text, '{_GL}', 0) AS m FROM clauses) WHERE len(g) = 1),
- rule AS (SELECT clause_id, entity AS text, 'GOVERNING_LAW' AS label, (instr(text, whole) + length(whole) - length(entity) - 1)::INT AS "start", (instr(text, whole) + length(whole) - 1)::INT AS "end", 'rule' AS source FROM sp),
- general AS (SELECT clause_id, 'State of' AS text, 'ORG' AS label, (instr(text, whole) - 1)::INT AS "start", (instr(text, whole) + 7)::INT AS "end", 'general' AS source FROM sp
-  UNION ALL SELECT clause_id, 'x' || entity AS text, 'GPE' AS label, (instr(text, whole) + length(whole) - length(entity) - 2)::INT, (instr(text, whole) + length(whole) - 1)::INT, 'general' FROM sp)"""
+# the pieces between matches give SQL the offsets that the engine takes from the matcher
+def _offsets_sql(name: str, label: str, pattern: str) -> str:
+    return f"""{name}_m AS (SELECT clause_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', 1) AS g FROM clauses),
+ {name}_i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {name}_m WHERE len(m) > 0),
+ {name} AS (SELECT clause_id, g[i] AS text, '{label}' AS label, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + instr(m[i], g[i]) - 1)::INT AS "start" FROM {name}_i)"""
+
+
+_SPAN_SQL = f"""{_offsets_sql('gl', 'GOVERNING_LAW', _GL.replace("'", "''"))}, {_offsets_sql('dt', 'DEFINED_TERM', _DT.replace("'", "''"))},
+ rule AS (SELECT *, "start" + length(text)::INT AS "end", 'rule' AS source FROM (SELECT * FROM gl UNION ALL SELECT * FROM dt)),
+ general AS (SELECT clause_id, 'State of' AS text, 'ORG' AS label, "start" - 9 AS "start", "start" - 1 AS "end", 'general' AS source FROM rule WHERE label = 'GOVERNING_LAW'
+  UNION ALL SELECT clause_id, 'x' || text, 'GPE', "start" - 1, "end", 'general' FROM rule)"""
 _KEPT_SQL = """kept AS (SELECT * FROM general g WHERE NOT EXISTS (SELECT 1 FROM rule r WHERE r.clause_id = g.clause_id AND g."start" < r."end" AND r."start" < g."end")), ents AS (SELECT * FROM kept UNION ALL SELECT * FROM rule)"""
 
 
 def _rule_spans(spark, d):
-    """Governing-law spans of clauses with one match."""
-    rows = entities.rule_entities(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", {"GOVERNING_LAW": P.GOVERNING_LAW})
-    rows = materialize(rows, "spans")
-    one = rows.groupBy("clause_id").count().where("count = 1").select("clause_id")
-    return rows.join(one, "clause_id")
+    """Spans of both rules in all clauses, however many match."""
+    return materialize(entities.rule_entities(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text"), "spans")
 
 
 def _general_spans(rules):
-    """Stand-in spans of a general model: one that touches each rule span's sentence part without overlap, one that overlaps."""
-    cols = lambda t, lab, s, e: rules.select("clause_id", t.alias("text"), F.lit(lab).alias("label"), s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit("general").alias("source"))
+    """Stand-in spans of a general model: one that touches a governing law's sentence part without overlap, and one that overlaps each span."""
+    cols = lambda t, lab, s, e: rules.select("clause_id", t.alias("text"), F.lit(lab).alias("label"), s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit("general").alias("source"), F.col("label").alias("of"))
     start, end = F.col("start"), F.col("end")
-    return cols(F.lit("State of"), "ORG", start - 9, start - 1).unionByName(cols(F.concat(F.lit("x"), "text"), "GPE", start - 1, end))
-
-
-def _grouped_text():
-    """label=text|text;... of a map of entities."""
-    return F.array_join(F.transform(F.map_entries("entities"), lambda e: F.concat(e.key, F.lit("="), F.array_join(e.value, "|"))), ";")
+    return cols(F.lit("State of"), "ORG", start - 9, start - 1).where("of = 'GOVERNING_LAW'").unionByName(cols(F.concat(F.lit("x"), "text"), "GPE", start - 1, end)).drop("of")
 
 
 @query(f"WITH {_SPAN_SQL} SELECT * FROM rule")
@@ -417,37 +420,8 @@ def ner_overlap_suppress(spark, d):
 def ner_grouped(spark, d):
     rules = _rule_spans(spark, d)
     g = entities.grouped(entities.all_entities(_general_spans(rules), rules, "clause_id"), "clause_id")
-    return g.select("clause_id", _grouped_text().alias("grouped"))
-
-
-# The three queries above keep to what their SQL can say; the same over all clauses, matches and rules have none.
-
-
-def _all_rule_spans(spark, d):
-    """Spans of both rules in all clauses, however many match."""
-    return materialize(entities.rule_entities(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text"), "spans")
-
-
-def _all_spans(spark, d):
-    """Rule spans, and the stand-in spans they leave; only a governing law has a sentence part before it."""
-    rules = _all_rule_spans(spark, d)
-    general = _general_spans(rules.where("label = 'GOVERNING_LAW'")).unionByName(_general_spans(rules.where("label = 'DEFINED_TERM'")).where("label = 'GPE'"))
-    return entities.all_entities(general, rules, "clause_id")
-
-
-@query()
-def ner_offsets_all(spark, d):
-    return _all_rule_spans(spark, d)
-
-
-@query()
-def ner_overlap_suppress_all(spark, d):
-    return _all_spans(spark, d)
-
-
-@query()
-def ner_grouped_all(spark, d):
-    return entities.grouped(_all_spans(spark, d), "clause_id").select("clause_id", _grouped_text().alias("grouped"))
+    text = F.array_join(F.transform(F.map_entries("entities"), lambda e: F.concat(e.key, F.lit("="), F.array_join(e.value, "|"))), ";")
+    return g.select("clause_id", text.alias("grouped"))
 
 
 _GOLD = f"""gold AS (SELECT DISTINCT {_STRIP('doc_index')} AS doc_index, {_STRIP('label')} AS label, lower({_STRIP('entity_text')}) AS entity FROM gold_labels WHERE doc_index IS NOT NULL AND label IS NOT NULL AND entity_text IS NOT NULL
@@ -492,18 +466,8 @@ def gold_integrity(spark, d):
     return gold.join(docs, "doc_index", "left_anti").select("doc_index").distinct()
 
 
-@query(f"""SELECT lpad((clause_id % 1000)::VARCHAR, 3, '0') AS doc_index, {_STRIP("text")} AS text FROM clauses WHERE clause_id < 1000 AND text IS NOT NULL AND NOT contains(text, '=== DOC')""")
-def docs_parse_blocks(spark, d):
-    """Clauses 0 to 999, which three-digit numbers can name, written as one text of blocks and parsed again."""
-    c = table(spark, d, "clauses", "clause_id", "text").where("clause_id < 1000 and text is not null and not contains(text, '=== DOC')")
-    head = F.format_string("=== DOC %03d (id=%d) ===\n[CANDIDATES]: none\n", F.col("clause_id") % 1000, F.col("clause_id"))
-    blocks = c.select(F.pmod("clause_id", F.lit(8)).alias("file"), F.struct("clause_id", F.concat(head, "text", F.lit("\n")).alias("b")).alias("x"))
-    files = blocks.groupBy("file").agg(F.concat(F.lit("preamble\n"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.b), "")).alias("value"))
-    return docblocks.parse_blocks(files)
-
-
 @query(f"""SELECT clause_id // 1000 AS numbered, lpad((clause_id % 1000)::VARCHAR, 3, '0') AS doc_index, {_STRIP("coalesce(text, '')")} AS text FROM clauses""")
-def docs_parse_all_blocks(spark, d):
+def docs_parse_blocks(spark, d):
     """All clauses, as sets of 1,000 that three-digit numbers can name; a text that holds a header line has no form as a block and is an error."""
     c = table(spark, d, "clauses", "clause_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     if not c.where(F.col("text").rlike(docblocks.HEADER)).isEmpty():
@@ -529,7 +493,8 @@ _BM25 = f"""{_terms_sql('dt', 'documents', 'doc_id')}, tf AS (SELECT doc, term,
 _TOP = f"""{_BM25}, {_terms_sql('qt', 'documents', 'doc_id', 'doc_id % 100 = 0')}, q AS (SELECT doc AS query_id, term, count(*) AS times FROM qt GROUP BY 1, 2),
  sc AS (SELECT query_id, tf.doc, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
   FROM q JOIN dfr USING (term) JOIN tf USING (term) JOIN dl ON dl.doc = tf.doc, st GROUP BY 1, 2),
- ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, doc, score FROM sc QUALIFY rank <= 10)"""
+ few AS (SELECT doc_id AS doc FROM documents ORDER BY doc_id LIMIT 20), pad AS (SELECT * FROM sc UNION ALL SELECT d.doc_id, few.doc, 0 FROM documents d, few WHERE d.doc_id % 100 = 0 AND NOT EXISTS (SELECT 1 FROM sc WHERE sc.query_id = d.doc_id AND sc.doc = few.doc)),
+ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, doc, score FROM pad QUALIFY rank <= 10)"""
 _JUDGED = """queries AS (SELECT doc_id AS query_id, agreement_id, source FROM documents WHERE doc_id % 100 = 0),
  judged AS (SELECT q.query_id, d.doc_id AS doc, CASE WHEN d.agreement_id = q.agreement_id THEN 2.0 ELSE 1.0 END::DOUBLE AS grade FROM queries q JOIN documents d ON (d.agreement_id = q.agreement_id OR d.source = q.source) AND d.doc_id <> q.query_id)"""
 
@@ -543,14 +508,25 @@ def _ranking(spark, d):
     return _index(spark, d).search(table(spark, d, "documents", "doc_id", "text").where("doc_id % 100 = 0"), "doc_id", "text")
 
 
-def _judgements(spark, d):
-    """Documents of the query's agreement (grade 2) or feed (grade 1)."""
+def _judged(spark, d, ranked):
+    """(queries, judgements of the ranked documents, totals): grade 2 for the query's agreement, 1 for its feed, itself left out.
+
+    A feed holds any share of the documents, so pairs of a query and all of its
+    feed are never formed: the totals follow from counts by agreement and feed.
+    """
     docs = table(spark, d, "documents", "doc_id", "agreement_id", "source")
     q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("agreement_id").alias("qa"), F.col("source").alias("qs"))
-    other = F.col("doc_id") != F.col("query_id")
-    a = docs.join(q, (F.col("agreement_id") == F.col("qa")) & other).select("query_id", F.col("doc_id").alias("doc"), F.lit(2.0).alias("grade"))
-    s = docs.join(q, (F.col("source") == F.col("qs")) & other).select("query_id", F.col("doc_id").alias("doc"), F.lit(1.0).alias("grade"))
-    return q.select("query_id"), a.union(s).groupBy("query_id", "doc").agg(F.max("grade").alias("grade"))
+    near = ranked.select("query_id", "doc").join(q, "query_id").join(docs.withColumnRenamed("doc_id", "doc"), "doc").where("doc <> query_id")
+    grade = F.when(F.col("agreement_id") == F.col("qa"), 2.0).when(F.col("source") == F.col("qs"), 1.0)
+    judgements = near.select("query_id", "doc", grade.alias("grade")).where("grade is not null")
+    n = F.count(F.lit(1))
+    a = docs.where("agreement_id is not null").groupBy(F.col("agreement_id").alias("qa")).agg(n.alias("na"))
+    s = docs.where("source is not null").groupBy(F.col("source").alias("qs")).agg(n.alias("ns"))
+    both = docs.where("agreement_id is not null and source is not null").groupBy(F.col("agreement_id").alias("qa"), F.col("source").alias("qs")).agg(n.alias("nb"))
+    sizes = q.join(a, "qa", "left").join(s, "qs", "left").join(both, ["qa", "qs"], "left").na.fill(0, ["na", "ns", "nb"])
+    own = lambda c: F.col(c).isNotNull().cast("int")
+    graded = F.array(F.struct(F.lit(2.0).alias("grade"), (F.col("na") - own("qa")).alias("n")), F.struct(F.lit(1.0).alias("grade"), (F.col("ns") - F.col("nb") - F.when(F.col("qa").isNull(), own("qs")).otherwise(0)).alias("n")))
+    return q.select("query_id"), judgements, sizes.select("query_id", F.explode(graded).alias("x")).select("query_id", "x.*")
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM dfr, st")
@@ -566,23 +542,26 @@ def bm25_topk(spark, d):
 @query(f"""WITH {_TOP}, {_JUDGED}, n AS (SELECT query_id, count(*) AS n FROM judged GROUP BY 1), h AS (SELECT r.query_id, count(*) AS h FROM ranked r JOIN judged j USING (query_id, doc) GROUP BY 1)
  SELECT q.query_id, round(CASE WHEN n.n IS NULL THEN 'NaN'::DOUBLE ELSE coalesce(h.h, 0)::DOUBLE / n.n END, 6) AS recall FROM queries q LEFT JOIN n USING (query_id) LEFT JOIN h USING (query_id)""")
 def recall_at_k(spark, d):
-    q, j = _judgements(spark, d)
-    return retrieval.recall_at_k(_ranking(spark, d), j, q)
+    r = materialize(_ranking(spark, d), "ranking")
+    q, j, t = _judged(spark, d, r)
+    return retrieval.recall_at_k(r, j, q, totals=t)
 
 
 @query(f"""WITH {_TOP}, {_JUDGED}, f AS (SELECT r.query_id, min(rank) AS f FROM ranked r JOIN judged j USING (query_id, doc) GROUP BY 1)
  SELECT q.query_id, round(coalesce(1.0::DOUBLE / f.f, 0), 6) AS rr FROM queries q LEFT JOIN f USING (query_id)""")
 def mrr(spark, d):
-    q, j = _judgements(spark, d)
-    return retrieval.reciprocal_rank(_ranking(spark, d), j, q)
+    r = materialize(_ranking(spark, d), "ranking")
+    q, j, t = _judged(spark, d, r)
+    return retrieval.reciprocal_rank(r, j, q)
 
 
 @query(f"""WITH {_TOP}, {_JUDGED}, g AS (SELECT query_id, sum(grade / log2(rank + 1.0::DOUBLE)) AS dcg FROM ranked JOIN judged USING (query_id, doc) GROUP BY 1),
  i AS (SELECT query_id, sum(grade / log2(place + 1.0::DOUBLE)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc) AS place FROM judged QUALIFY place <= 10) GROUP BY 1)
  SELECT q.query_id, round(CASE WHEN coalesce(ideal, 0) = 0 THEN 'NaN'::DOUBLE ELSE coalesce(dcg, 0) / ideal END, 6) AS ndcg FROM queries q LEFT JOIN i USING (query_id) LEFT JOIN g USING (query_id)""")
 def ndcg_at_k(spark, d):
-    q, j = _judgements(spark, d)
-    return retrieval.ndcg_at_k(_ranking(spark, d), j, q)
+    r = materialize(_ranking(spark, d), "ranking")
+    q, j, t = _judged(spark, d, r)
+    return retrieval.ndcg_at_k(r, j, q, totals=t)
 
 
 _L2 = "round(sqrt(list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda p: power(p[1] - p[2], 2)))), 6)"
@@ -609,33 +588,50 @@ def _scores(spark, d):
     return _predictions(spark, d).select("clause_id", hit("pred").alias("a"), hit("pred2").alias("b"))
 
 
-@query(f"""WITH {_PRED}, x AS (SELECT clause_id, (actual = pred)::INT::DOUBLE - (actual = pred2)::INT AS d FROM pr), o AS (SELECT avg(d) AS m, count(*) AS n FROM x),
- nul AS (SELECT i, sum(d * CASE WHEN substr(md5('0:' || i || ':' || clause_id), 1, 1) < '8' THEN 1 ELSE -1 END) / count(*) AS m FROM x, range(0, 200) r(i) GROUP BY i)
- SELECT round(o.m, 6) AS mean_diff, round(avg((abs(nul.m) >= abs(o.m) - 1e-12)::INT), 6) AS p_value, o.n FROM nul, o GROUP BY o.m, o.n""")
+def _paired_sql(perms: int) -> str:
+    return f"""WITH {_PRED}, x AS (SELECT clause_id, (actual = pred)::INT::DOUBLE - (actual = pred2)::INT AS d FROM pr), o AS (SELECT avg(d) AS m, count(*) AS n FROM x),
+ dig AS (SELECT d, j, md5('0:' || j || ':' || clause_id) AS h FROM x, range(0, {-(-perms // 32)}) r(j)),
+ nul AS (SELECT j, i, sum(d * CASE WHEN substr(h, i::INT + 1, 1) < '8' THEN 1 ELSE -1 END) / count(*) AS m FROM dig, range(0, 32) r(i) WHERE j * 32 + i < {perms} GROUP BY j, i)
+ SELECT round(o.m, 6) AS mean_diff, round(avg((abs(nul.m) >= abs(o.m) - 1e-12)::INT), 6) AS p_value, o.n FROM nul, o GROUP BY o.m, o.n"""
+
+
+@query(_paired_sql(200))
 def paired_randomization(spark, d):
-    return stats.hashed_paired_test(_scores(spark, d), "clause_id")
+    return stats.paired_test(_scores(spark, d), "clause_id", perms=200)
 
 
-@query()
+@query(_paired_sql(10_000))
 def paired_randomization_sampled(spark, d):
-    return stats.paired_test(_scores(spark, d))
+    return stats.paired_test(_scores(spark, d), "clause_id")
 
 
-@query()
+def _drawn_sql(source: str, reps: int) -> str:
+    """dr: the rows of a source, with the replicate and how often it draws them."""
+    count = " + ".join(f"(u >= {t})::INT" for t in stats.STEPS)
+    return f"""dig AS (SELECT *, md5('0:' || j || ':' || clause_id) AS h FROM {source}, range(0, {-(-reps // 8)}) r(j)),
+ uu AS (SELECT * EXCLUDE (h, j), j * 8 + i AS rep, ('0x' || substr(h, 4 * i::INT + 1, 4))::INT AS u FROM dig, range(0, 8) r(i) WHERE j * 8 + i < {reps}), dr AS (SELECT *, {count} AS w FROM uu)"""
+
+
+@query(f"""WITH {_PRED}, x AS (SELECT clause_id, (actual = pred)::INT::DOUBLE AS a FROM pr), {_drawn_sql('x', 2000)}, v AS (SELECT rep, sum(w * a) / sum(w) AS v FROM dr GROUP BY 1)
+ SELECT (SELECT round(avg(a), 6) FROM x) AS point, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM v""")
 def bootstrap_mean_ci(spark, d):
-    return stats.bootstrap_ci(_scores(spark, d), "a", reps=2000)
+    return stats.bootstrap_ci(_scores(spark, d), "clause_id", "a", reps=2000)
 
 
-@query()
+@query(f"""WITH {_PRED}, x AS (SELECT clause_id, actual, pred FROM pr), {_drawn_sql('x', 500)},
+ e AS (SELECT rep, actual AS label, w AS s, 0 AS p, w * (actual = pred)::INT AS tp FROM dr UNION ALL SELECT rep, pred, 0, w, 0 FROM dr),
+ f AS (SELECT rep, label, 2.0::DOUBLE * sum(tp) / (sum(s) + sum(p)) AS f FROM e GROUP BY 1, 2 HAVING sum(s) + sum(p) > 0), v AS (SELECT rep, avg(f) AS v FROM f GROUP BY 1),
+ g AS (SELECT label, 2.0::DOUBLE * sum(tp) / (sum(s) + sum(p)) AS f FROM (SELECT actual AS label, 1 AS s, 0 AS p, (actual = pred)::INT AS tp FROM x UNION ALL SELECT pred, 0, 1, 0 FROM x) GROUP BY 1)
+ SELECT (SELECT round(avg(f), 6) FROM g) AS point, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM v""")
 def bootstrap_macro_f1(spark, d):
-    return stats.bootstrap_macro_f1(_predictions(spark, d), reps=500)
+    return stats.bootstrap_macro_f1(_predictions(spark, d), "clause_id", reps=500)
 
 
 # ---- TF-IDF, naive Bayes and pipelines
 
 
 def _grams_sql() -> str:
-    return """tk AS (SELECT clause_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}') AS t FROM clauses),
+    return """tk AS (SELECT clause_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}_]{2,}') AS t FROM clauses),
  gr AS (SELECT clause_id, unnest(list_concat(t, CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM tk),
  tf AS (SELECT clause_id, term, count(*) AS tf FROM gr GROUP BY 1, 2)"""
 
@@ -709,31 +705,49 @@ def ml_naive_bayes(spark, d):
 
 @query()
 def ml_cv(spark, d):
-    """The whole tuning budget of naive Bayes, by 3-fold cross-validation on macro F1."""
-    return _metrics(spark, _fitted(spark, d, "naive_bayes"))
+    """All candidates of all models, an equal budget, by 3-fold cross-validation on macro F1."""
+    s = _sides(spark, d)
+    rows = [(n, v, m, b, round(f1, 6)) for n in sorted(classify.GRIDS) for f1, v, m, b in classify.fit_and_score(n, s["train"], s["dev"]).scores]
+    return spark.createDataFrame(rows, "model string, value double, min_df int, bigrams boolean, macro_f1 double")
 
 
 @query()
 def ml_calibrated(spark, d):
-    """Brier score of logistic regression before and after both calibrations on the calib split."""
-    from pyspark.ml.functions import vector_to_array
+    """Brier scores on dev of the tuned linear machine and logistic regression, raw and after both calibrations on the calib split."""
+    s, out = _sides(spark, d), None
+    for name in ("linear_svm", "logreg"):
+        model = classify.fit_and_score(name, s["train"], s["dev"]).model
+        known = F.broadcast(spark.createDataFrame(list(enumerate(model.labels)), "label int, label_name string"))
+        calib, dev = (materialize(model.apply(s[x].join(known, "label_name").select("label", "text"), "text").select("label", "scores", "p"), "scored") for x in ("calib", "dev"))
+        parts = [("raw", dev)] if name == "logreg" else []
+        parts += [(m, classify.Calibrated.fit(calib, len(model.labels), m).apply(dev)) for m in ("sigmoid", "isotonic")]
+        for method, scored in parts:
+            b = evaluate.brier(scored, "p", "label").select(F.lit(name).alias("model"), F.lit(method).alias("method"), "brier", "n")
+            out = b if out is None else out.union(b)
+    return out
 
+
+@query()
+def ml_label_merge(spark, d):
+    """Macro F1 on dev as the labels are, with confused labels merged, and with as many random pairs merged as a control; each refitted."""
     s = _sides(spark, d)
-    r = classify.fit_and_score("logreg", s["train"], s["dev"], tune=False)
-    names = r.model.stages[-1].getLabels()
-    known = spark.createDataFrame(list(enumerate(names)), "label int, label_name string")
-    k = len(names) - 1
-
-    def scored(part):
-        p = r.model.transform(part.join(F.broadcast(known), "label_name"))
-        return materialize(p.select("label", F.slice(vector_to_array("rawPrediction"), 1, k).alias("scores"), F.slice(vector_to_array("probability"), 1, k).alias("p")), "scored")
-
-    calib, dev = scored(s["calib"]), scored(s["dev"])
-    out = evaluate.brier(dev, "p", "label").select(F.lit("raw").alias("method"), "brier", "n")
-    for method in ("sigmoid", "isotonic"):
-        c = classify.Calibrated.fit(calib, k, method)
-        out = out.union(evaluate.brier(dev.withColumn("q", c.probabilities()), "q", "label").select(F.lit(method), "brier", "n"))
-    return out
+    pairs = sampling.random_merges(table(spark, d, "label_names"), "label_name", len(MERGES))
+    control = {r["from_label"]: r["to_label"] for r in pairs.collect()}
+    rows = []
+    for variant, merges in (("as is", {}), ("merged", MERGES), ("random control", control)):
+        train, dev = (sampling.merge_labels(s[x], merges, "label_name").drop("label_name").withColumnRenamed("merged", "label_name") for x in ("train", "dev"))
+        r = classify.fit_and_score("linear_svm", train, dev, tune=False)
+        rows.append((variant, len(merges), len(r.model.labels), round(r.metrics["macro_f1"], 6), round(r.metrics["micro_f1"], 6)))
+    return spark.createDataFrame(rows, "variant string, merges int, classes int, macro_f1 double, micro_f1 double")
+
+
+@query()
+def ml_held_out(spark, d):
+    """The tuned linear machine on the test split, which nothing before has seen, with a bootstrap interval of its macro F1."""
+    s = _sides(spark, d)
+    r = classify.fit_and_score("linear_svm", s["train"], s["test"])
+    f1 = stats.bootstrap_macro_f1(r.predictions, "clause_id", reps=1000)
+    return f1.crossJoin(_metrics(spark, r).drop("macro_f1"))
 
 
 # ---- reports
@@ -774,12 +788,9 @@ def scaling_table(spark, d):
 @query()
 def entity_stream(spark, d):
     """The clauses as a stream of one file, their entities written by one available-now run and read back."""
-    import uuid
-
-    from corpusloom.plans.lineage import shared_dir
     from corpusloom.streaming.incremental import entity_stream as run
 
-    at = f"{shared_dir(spark)}/corpusloom/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     table(spark, d, "clauses", "clause_id", "text").write.parquet(f"{at}/in")
     docs = spark.readStream.schema("clause_id bigint, text string").parquet(f"{at}/in")
     run(docs).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
@@ -789,6 +800,56 @@ def entity_stream(spark, d):
 SQL["entity_stream"] = f"SELECT clause_id, 'GOVERNING_LAW' AS label, entity FROM ({_captured_sql(_GL)}) UNION ALL SELECT clause_id, 'DEFINED_TERM', entity FROM ({_captured_sql(_DT)})"
 
 
+# ---- sinks, written and read back
+
+
+@query("SELECT clause_id, label, substr(sha1(text), 1, 16) AS content_id FROM clauses")
+def sink_corpus(spark, d):
+    """The corpus written by split, and scanned with the content id of each text."""
+    at = f"{scratch(spark, 'sink')}/corpus"
+    tables.save(table(spark, d, "clauses", "clause_id", "text", "label", "split"), at, by="split")
+    return tables.corpus(spark, at).select("clause_id", "label", "content_id")
+
+
+@query("SELECT label::VARCHAR AS label, label_name FROM label_names")
+def sink_csv(spark, d):
+    at = f"{scratch(spark, 'sink')}/csv"
+    tables.save_csv(table(spark, d, "label_names"), at)
+    return spark.read.csv(at, header=True)
+
+
+@query(f"WITH {_BM25} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM dfr, st")
+def sink_index(spark, d):
+    """The statistics of an index that was saved and loaded."""
+    at = f"{scratch(spark, 'sink')}/index"
+    _index(spark, d).save(at)
+    return retrieval.BM25Index.load(spark, at).term_stats()
+
+
+@query(f"WITH {_GOLD} SELECT doc_index, label, entity FROM gold")
+def sink_gold(spark, d):
+    """Gold labels written as a review batch, read back and cleaned."""
+    at = f"{scratch(spark, 'sink')}/gold"
+    docblocks.write_candidates(table(spark, d, "gold_labels"), at)
+    return docblocks.read_gold(spark, at).select("doc_index", "label", "entity")
+
+
+@query("SELECT 'profile' AS experiment, label_name AS variant, 'full' AS split, count(c.label)::DOUBLE AS rows FROM label_names n LEFT JOIN clauses c USING (label) GROUP BY label_name".replace("label_name AS variant", "n.label_name AS variant").replace("GROUP BY label_name", "GROUP BY n.label_name"))
+def sink_results(spark, d):
+    """The number of clauses of each label, stored as experiment results and loaded again in the order of their paths."""
+    at = f"{scratch(spark, 'sink')}/results"
+    n = table(spark, d, "clauses", "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    for r in table(spark, d, "label_names").join(n, "label", "left").na.fill(0, ["n"]).collect():  # one result a label
+        results.Result("profile", r["label_name"], "full", {}, {"rows": float(r["n"])}).save(spark, at)
+    return results.load_results(spark, at, "profile").select("experiment", "variant", "split", F.col("metrics").getItem("rows").alias("rows"))
+
+
+@query()
+def phase_profile(spark, d):
+    """Seconds, documents a second and share of the time of the two phases of clustering, and what they found."""
+    return profile.phases(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Cluster, split whole clusters, report."""
     c = table(spark, d, "clauses", "clause_id", "text", "label")

@@ -1,42 +1,39 @@
-"""Text classification: TF-IDF in long form, naive Bayes as aggregates, and fitted pipelines with tuning and calibration."""
+"""Text classification: TF-IDF in long form, naive Bayes as aggregates, and tuned linear models with calibration."""
 
 from __future__ import annotations
 
+import io
+import json
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark import keyword_only
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import CountVectorizer, IndexToString, NGram, StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import tokens, with_bigrams, without_accents
-from corpusloom.operators.evaluate import class_counts, f1_summary
-from corpusloom.plans.lineage import materialize
+from corpusloom.functions.tokens import counted, pair_rows, token_rows
+from corpusloom.functions.tokens import term_counts as _term_counts
+from corpusloom.operators import linear
+from corpusloom.operators.evaluate import f1_summary
+from corpusloom.plans.lineage import materialize, release
 
+#: Candidates of a model, the same number for all.
 BUDGET = 12
-#: The largest number a vector's index can have: min_df and max_share alone choose the terms.
-VOCABULARY = (1 << 31) - 1
 #: The reference's bounds on steps of a fit; convergence ends it before.
-MOST_STEPS = {"logreg": 2000, "linear_svm": 1000}
+MOST_STEPS = {"logreg": 2000, "linear_svm": 1000, "naive_bayes": 1}
+#: Labelled rows, in hash order, that candidates are compared on and that a model is fitted on, at most.
+TUNE_ROWS, FIT_ROWS = 8_000, 40_000
 
 
 # ---- TF-IDF and naive Bayes in long form
 
 
-def term_counts(df: DataFrame, key: str, text: str, bigrams: bool = True, accents: bool = False) -> DataFrame:
-    """(key, term, tf); a null text has no terms.  With accents, they are stripped, as Tokens does; the SQL of the queries keeps them."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    t = tokens(without_accents(t) if accents else t)
-    return df.select(key, F.explode(with_bigrams(t) if bigrams else t).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, key: str, text: str, bigrams: bool = True, accents: bool = True) -> DataFrame:
+    """(key, term, tf), counted within each row; a null text has no terms.  With accents, they are stripped."""
+    return _term_counts(df, key, text, bigrams, accents).select(key, "term", "tf")
 
 
 @dataclass
@@ -53,9 +50,9 @@ class Tfidf:
 
     def weights(self, counts: DataFrame, key: str) -> DataFrame:
         """(key, term, weight): (1 + ln tf) * idf, rows of length 1."""
-        w = materialize(counts.join(self.terms, "term").select(key, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w")), "weights")
-        norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+        w = counts.join(self.terms, "term").select(key, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+        return w.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 @dataclass
@@ -93,120 +90,111 @@ class NaiveBayesTable:
         return best.select(key, F.col("b.pred").alias("pred"))
 
 
-# ---- pipelines
+# ---- tuned models
 
 
-class Tokens(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Lower-case tokens of two characters or more, without accents, with bigrams if asked for; a null text has none."""
-
-    bigrams = Param(Params._dummy(), "bigrams", "pairs of neighbours too", TypeConverters.toBoolean)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, bigrams=False):
-        super().__init__()
-        self._setDefault(bigrams=False)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        out = self.getOutputCol()
-        df = df.withColumn(out, tokens(without_accents(F.coalesce(F.col(self.getInputCol()), F.lit("")))))
-        if self.getOrDefault(self.bigrams):  # not by with_bigrams: the planner keeps lambdas and Python functions apart
-            df = NGram(n=2, inputCol=out, outputCol="_pairs").transform(df)
-            df = df.withColumn(out, F.concat(out, "_pairs")).drop("_pairs")
-        return df
-
-
-class SublinearTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Count vectors to rows of length 1 of (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)."""
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _fit(self, df: DataFrame):
-        from pyspark.ml.feature import IDF
-
-        # the built-in gives ln((n + 1) / (df + 1)); the missing 1 is added to its vector
-        idf = IDF(inputCol=self.getInputCol(), outputCol="_idf").fit(df.select(self.getInputCol())).idf.toArray() + 1.0
-        return SublinearTfidfModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), idf=[float(x) for x in idf])
-
-
-class SublinearTfidfModel(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    idf = Param(Params._dummy(), "idf", "inverse document frequencies", TypeConverters.toListFloat)
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, idf=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        import numpy as np
-        from pyspark.ml.linalg import SparseVector, VectorUDT
+GRIDS = {"logreg": (0.1, 1.0, 10.0), "naive_bayes": (0.01, 0.1, 1.0), "linear_svm": (0.1, 1.0, 10.0)}
 
-        idf = np.array(self.getOrDefault(self.idf))
 
-        @F.udf(VectorUDT())
-        def weigh(v):
-            w = (1.0 + np.log(v.values)) * idf[v.indices]
-            norm = np.sqrt((w * w).sum())
-            return SparseVector(v.size, v.indices, w / norm if norm else w)
+def grid(name: str) -> list[tuple[float, int, bool]]:
+    """(value, min_df, bigrams) of the candidates of a model; all models have the same number."""
+    if name not in GRIDS:
+        raise ValueError(f"unknown model {name}")
+    out = [(v, m, b) for v in GRIDS[name] for m in (2, 3) for b in (False, True)]
+    if len(out) != BUDGET:
+        raise ValueError(f"{name}: {len(out)} candidates, the budget is {BUDGET}")
+    return out
 
-        return df.withColumn(self.getOutputCol(), weigh(self.getInputCol()))
 
+_VECTORS = "words array<bigint>, word_counts array<bigint>, pairs array<bigint>, pair_counts array<bigint>"
 
-class MacroF1(Evaluator):
-    """Unweighted mean of F1 over labels that are true or predicted."""
 
-    def __init__(self, label: str = "label", prediction: str = "prediction"):
-        super().__init__()
-        self.label, self.prediction = label, prediction
+def _lists(flat: pa.Array, row: np.ndarray, n: int) -> list[pa.Array]:
+    r, code, count, terms = counted(flat, row)
+    hashes = pd.util.hash_array(terms.to_numpy(zero_copy_only=False).astype(object)).view(np.int64) if len(terms) else np.zeros(0, np.int64)
+    offsets = pa.array(np.searchsorted(r, np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(hashes[code])), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int64)))]
 
-    def _evaluate(self, df: DataFrame) -> float:
-        c = class_counts(df, self.label, self.prediction)
-        f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("support") + F.col("predicted")), F.lit(0.0))
-        return c.agg(F.avg(f1)).first()[0] or 0.0
 
-    def isLargerBetter(self) -> bool:
-        return True
+def _vectorised(batch: pa.RecordBatch) -> list[pa.Array]:
+    """The columns of _VECTORS for the texts in a batch's last column."""
+    flat, row = token_rows(batch.column(batch.num_columns - 1))
+    return [*_lists(flat, row, batch.num_rows), *_lists(*pair_rows(flat, row), batch.num_rows)]
 
 
-def balanced(df: DataFrame, label: str, to: str = "weight") -> DataFrame:
-    """df with the weight n / (classes * rows of the class)."""
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    all_ = n.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
-    return df.join(F.broadcast(n.crossJoin(all_)), label).withColumn(to, F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
+def vectors(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep`` and the hashed terms of each text with their counts: single tokens, without accents, and pairs."""
+    out = df.select(*keep, F.col(text).alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]) + ", " + _VECTORS
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *_vectorised(b)], names=[*b.schema.names[:-1], "words", "word_counts", "pairs", "pair_counts"])
 
-def features(text: str = "text", min_df: int = 3, max_share: float = 0.9, bigrams: bool = True) -> list:
-    return [
-        Tokens(inputCol=text, outputCol="tokens", bigrams=bigrams),
-        CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(min_df), maxDF=max_share, vocabSize=VOCABULARY),
-        SublinearTfidf(inputCol="counts", outputCol="features"),
-    ]
+    return out.mapInArrow(run, schema)
 
 
-def classifier(name: str, seed: int = 0, value: float | None = None, rows: int = 1):
-    """A classifier by name; value is C or alpha.  An L2 penalty of 1 / C on a sum of losses is 1 / (C * rows) on their mean."""
-    if name == "logreg":
-        return LogisticRegression(maxIter=MOST_STEPS[name], regParam=1.0 / ((value or 1.0) * max(rows, 1)), standardization=False, weightCol="weight", family="multinomial")
-    if name == "naive_bayes":
-        return NaiveBayes(smoothing=value or 1.0, modelType="multinomial")
-    if name == "linear_svm":
-        svc = LinearSVC(maxIter=MOST_STEPS[name], regParam=1.0 / ((value or 1.0) * max(rows, 1)), standardization=False)
-        return OneVsRest(classifier=svc, weightCol="weight", parallelism=4)
-    raise ValueError(f"unknown model {name}")
+def _docs(t, bigrams: bool) -> linear.Docs:
+    """Documents of vector columns in pandas."""
+    parts = [(t["words"].tolist(), t["word_counts"].tolist())]
+    return linear.Docs.of(*parts, (t["pairs"].tolist(), t["pair_counts"].tolist())) if bigrams else linear.Docs.of(*parts)
 
 
-GRIDS = {"logreg": (0.1, 1.0, 10.0), "naive_bayes": (0.01, 0.1, 1.0), "linear_svm": (0.1, 1.0, 10.0)}
+@dataclass
+class Model:
+    """A fitted model: scores are joint log likelihoods (naive Bayes), logits (logreg) or margins (linear_svm)."""
 
+    name: str
+    labels: list[str]
+    bigrams: bool
+    space: linear.Space
+    weights: np.ndarray
+    bias: np.ndarray
+
+    def scores(self, t: pd.DataFrame) -> np.ndarray:
+        docs = _docs(t, self.bigrams)
+        row, col, val = self.space.place(docs)
+        out = np.zeros((len(docs), len(self.labels)), np.float32)
+        part = linear.Design._cut(row, col, val)
+        return linear.Design._sum(part, self.weights, out).astype(np.float64) + self.bias
+
+    def probabilities(self, scores: np.ndarray) -> np.ndarray | None:
+        if self.name == "linear_svm":
+            return None
+        e = np.exp(scores - scores.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    def apply(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """df with pred, the label of the largest score (the first of equal ones), scores, and p (null without probabilities)."""
+        own, model = df.columns, df.sparkSession.sparkContext.broadcast(self)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", pred string, scores array<double>, p array<double>"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = model.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                t = pa.Table.from_arrays(_vectorised(b), names=["words", "word_counts", "pairs", "pair_counts"]).to_pandas()
+                s = m.scores(t)
+                p = m.probabilities(s)
+                lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(a.ravel()))
+                pred = pa.array([m.labels[i] for i in s.argmax(1)], pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pred, lists(s), lists(p) if p is not None else pa.nulls(b.num_rows, pa.list_(pa.float64()))], names=[*own, "pred", "scores", "p"])
+
+        return df.select("*", F.col(text).alias("_text")).mapInArrow(run, schema)
+
+    def save(self, path: str, spark) -> None:
+        """One row of a parquet table: the settings as JSON, the arrays in numpy's format."""
+        raw = io.BytesIO()
+        np.savez_compressed(raw, terms=self.space.terms, idf=self.space.idf, weights=self.weights, bias=self.bias)
+        about = json.dumps({"name": self.name, "labels": self.labels, "bigrams": self.bigrams})
+        spark.createDataFrame([(about, bytearray(raw.getvalue()))], "about string, arrays binary").coalesce(1).write.mode("overwrite").parquet(path)
 
-def grid(name: str, rows: int = 1) -> list[tuple[float, int, bool]]:
-    """(value, min_df, bigrams) of the candidates of a model; all models have the same number."""
-    out = [(v, m, b) for v in GRIDS[name] for m in (2, 3) for b in (False, True)]
-    if len(out) != BUDGET:
-        raise ValueError(f"{name}: {len(out)} candidates, the budget is {BUDGET}")
-    return out
+    @classmethod
+    def load(cls, path: str, spark) -> Model:
+        r = spark.read.parquet(path).first()
+        x, about = np.load(io.BytesIO(bytes(r["arrays"]))), json.loads(r["about"])
+        return cls(about["name"], about["labels"], about["bigrams"], linear.Space(x["terms"], x["idf"]), x["weights"], x["bias"])
 
 
 @dataclass
@@ -217,74 +205,144 @@ class FitResult:
     predict_seconds_per_1k: float
     metrics: dict
     predictions: DataFrame
-    model: PipelineModel
+    model: Model
     scores: list = field(default_factory=list)
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 3, seed: int = 0, to: str = "fold") -> DataFrame:
     """A fold of each row such that every class is spread evenly, in hash order within the class."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
     return df.withColumn(to, ((place - 1) % k).cast("int"))
 
 
-def fit_and_score(name: str, train: DataFrame, dev: DataFrame, label: str = "label_name", text: str = "text", key: str = "clause_id", seed: int = 0, parallelism: int = 2, tune: bool = True) -> FitResult:
-    """Tune on train by 3-fold cross-validation on macro F1 (the whole budget), refit, and score dev.
+def _bounded(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """All rows, or about ``most`` of them in hash order."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(n)) < most)
+
 
-    Rows without a label are left out.  Feature settings share their vectors
-    among the candidates, so each fold's text is counted four times, not twelve.
+def cross_validated(name: str, ready: DataFrame, k: int) -> list[tuple[float, float, int, bool]]:
+    """(mean macro F1 over the folds, value, min_df, bigrams) of the whole budget.
+
+    ready: fold, y and vector columns of a bounded sample.  Each pair of feature
+    settings and fold is one task, in which the candidates of its values are
+    fitted one after the other, each from where the last ended.
+    """
+    wanted = grid(name)
+    most = MOST_STEPS[name]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        min_df, bigrams, fold = int(pdf["min_df"].iloc[0]), bool(pdf["bigrams"].iloc[0]), int(pdf["hold"].iloc[0])
+        held = (pdf["fold"] == fold).to_numpy()
+        if held.all() or not held.any():
+            return pd.DataFrame({"value": [], "min_df": [], "bigrams": [], "f1": []})
+        train, test = _docs(pdf[~held], bigrams), _docs(pdf[held], bigrams)
+        space = linear.Space.fit(train, min_df)
+        x, y = linear.Design(space, train), pdf["y"].to_numpy()
+        z, start, out = linear.Design(space, test), None, []
+        for v in sorted(v for v, m, b in wanted if (m, b) == (min_df, bigrams)):
+            w, bias, _ = linear.FITS[name](x, y[~held], k, v, most, start=start)
+            start = np.concatenate([w, bias[None]]).astype(np.float32) if most > 1 else None
+            out.append((v, min_df, bigrams, linear.macro_f1(y[held], (z.times(w) + bias).argmax(1))))
+        return pd.DataFrame(out, columns=["value", "min_df", "bigrams", "f1"])
+
+    settings = F.array(*(F.struct(F.lit(m).alias("min_df"), F.lit(b).alias("bigrams"), F.lit(f).alias("hold")) for m in sorted({m for _, m, _ in wanted}) for b in (False, True) for f in range(3)))
+    tasks = ready.withColumn("x", F.explode(settings)).select("*", "x.*").drop("x").repartition(12, "min_df", "bigrams", "hold")
+    got = tasks.groupBy("min_df", "bigrams", "hold").applyInPandas(run, "value double, min_df int, bigrams boolean, f1 double")
+    return [(r["f1"], r["value"], r["min_df"], r["bigrams"]) for r in got.groupBy("value", "min_df", "bigrams").agg(F.avg("f1").alias("f1")).collect()]
+
+
+def fit(name: str, ready: DataFrame, labels: list[str], value: float, min_df: int, bigrams: bool) -> Model:
+    """A model of one candidate on a bounded sample (y and vector columns), fitted in one task."""
+    k, most = len(labels), MOST_STEPS[name]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs = _docs(pdf, bigrams)
+        space = linear.Space.fit(docs, min_df)
+        w, bias, _ = linear.FITS[name](linear.Design(space, docs), pdf["y"].to_numpy(), k, value, most)
+        raw = io.BytesIO()
+        np.savez_compressed(raw, terms=space.terms, idf=space.idf, weights=w.astype(np.float32), bias=np.asarray(bias, np.float64))
+        return pd.DataFrame({"arrays": [raw.getvalue()]})
+
+    r = ready.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "arrays binary").first()
+    if r is None:
+        return Model(name, labels, bigrams, linear.Space(np.zeros(0, np.int64), np.zeros(0)), np.zeros((0, k), np.float32), np.zeros(k))
+    x = np.load(io.BytesIO(bytes(r["arrays"])))
+    return Model(name, labels, bigrams, linear.Space(x["terms"], x["idf"]), x["weights"], x["bias"])
+
+
+def fit_and_score(
+    name: str, train: DataFrame, dev: DataFrame, label: str = "label_name", text: str = "text", key: str = "clause_id", seed: int = 0, tune: bool = True, candidate: tuple[float, int, bool] = (1.0, 3, True)
+) -> FitResult:
+    """Tune on train by 3-fold cross-validation on macro F1 (the whole budget), fit the best candidate, and score all of dev.
+
+    Texts are counted once.  Candidates are compared on TUNE_ROWS labelled rows
+    and the best is fitted on FIT_ROWS, in hash order, or on all if there are no
+    more; both bound the memory of a task, whatever the table.  Ties go to the
+    smaller value, the smaller min_df and no bigrams.  Rows without a label are
+    left out; classes that train lacks are never predicted.
     """
-    train = train.where(F.col(label).isNotNull()).select(key, text, label)
-    dev = dev.where(F.col(label).isNotNull()).select(key, text, label)
-    index = StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
-    rows = train.count()
-    ready = materialize(stratified_folds(balanced(index.transform(train), label), "label", key, 3, seed), "train")
-    evaluator = MacroF1()
+    train = train.where(F.col(label).isNotNull()).select(key, text, F.col(label).alias("_label"))
+    dev = dev.where(F.col(label).isNotNull()).select(key, text, F.col(label).alias("true"))
     began = time.time()
-    scores = []
-    if tune:
-        for min_df in (2, 3):
-            for bigrams in (False, True):
-                vec = Pipeline(stages=features(text, min_df, 0.9, bigrams)).fit(ready)
-                data = vec.transform(ready).select("features", "label", "weight", "fold").persist()
-                clf = classifier(name, seed, None, rows)
-                values = [v for v, m, b in grid(name, rows) if (m, b) == (min_df, bigrams)]
-                maps = _value_maps(clf, name, values, rows)
-                cv = CrossValidator(estimator=clf, estimatorParamMaps=maps, evaluator=evaluator, numFolds=3, foldCol="fold", parallelism=parallelism, seed=seed)
-                model: CrossValidatorModel = cv.fit(data)
-                scores += [(s, v, min_df, bigrams) for s, v in zip(model.avgMetrics, values)]
-                data.unpersist()
-        best = max(scores, key=lambda s: (s[0], -s[1], -s[2], not s[3]))
-    else:
-        best = (float("nan"), 1.0, 3, True)
-    _, value, min_df, bigrams = best
-    names = IndexToString(inputCol="prediction", outputCol="pred", labels=[*index.labels, "__unknown"])
-    pipe = Pipeline(stages=[*features(text, min_df, 0.9, bigrams), classifier(name, seed, value, rows), names]).fit(ready)
+    labels = [r[0] for r in train.select("_label").distinct().orderBy("_label").collect()]
+    known = train.sparkSession.createDataFrame(list(enumerate(labels)), "y int, _label string")
+    some = _bounded(train, key, FIT_ROWS, seed).join(F.broadcast(known), "_label")
+    ready = materialize(stratified_folds(vectors(some, [key, "y"], text), "y", key, 3, seed), "train")
+    scores = cross_validated(name, _bounded(ready, key, TUNE_ROWS, seed + 1), len(labels)) if tune else []
+    best = max(scores, key=lambda s: (s[0], -s[1], -s[2], not s[3]))[1:] if scores else candidate
+    model = fit(name, ready, labels, *best)
+    release(ready)
     took = time.time() - began
     began = time.time()
-    predictions = materialize(pipe.transform(dev).select(key, F.col(label).alias("true"), "pred"), "predictions")
-    per_1k = (time.time() - began) / max(predictions.count(), 1) * 1000
+    predictions = materialize(model.apply(dev, text).select(key, "true", "pred"), "predictions")
     summary = f1_summary(predictions).first()
+    per_1k = (time.time() - began) / max(summary["n"] or 0, 1) * 1000
     metrics = {m: summary[m] for m in ("macro_f1", "micro_f1", "accuracy")}
-    return FitResult(name, {"value": value, "min_df": min_df, "bigrams": bigrams}, took, per_1k, metrics, predictions, pipe, scores)
-
-
-def _value_maps(clf, name: str, values: list[float], rows: int) -> list:
-    """Parameter maps; the penalty of a one-vs-rest model is set on the classifier inside."""
-    if name == "naive_bayes":
-        return ParamGridBuilder().addGrid(clf.smoothing, values).build()
-    if name == "logreg":
-        return ParamGridBuilder().addGrid(clf.regParam, [1.0 / (v * max(rows, 1)) for v in values]).build()
-    return ParamGridBuilder().addGrid(clf.classifier, [classifier(name, 0, v, rows).getClassifier() for v in values]).build()
+    return FitResult(name, dict(zip(("value", "min_df", "bigrams"), best)), took, per_1k, metrics, predictions, model, scores)
 
 
 # ---- calibration of a frozen model
 
-
-def class_scores(name: str, scored: DataFrame, k: int) -> Column:
-    """The per-class scores of a model's output, as an array of k: log probabilities, or margins of one-vs-rest."""
-    return F.slice(vector_to_array("rawPrediction"), 1, k)
+#: Steps of a class's range of scores by which held-out rows are counted before a map is fitted.
+LEVELS = 1 << 16
+
+
+def platt(s: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + exp(-(a s + b))) by Newton's method; targets are (n1 + 1) / (n1 + 2) and 1 / (n0 + 2)."""
+    n1, n0 = pos.sum(), neg.sum()
+    n = pos + neg
+    t = (pos * (n1 + 1) / (n1 + 2) + neg / (n0 + 2)) / n
+    mean, scale = float((n * s).sum() / n.sum()), float(np.sqrt((n * (s - (n * s).sum() / n.sum()) ** 2).sum() / n.sum())) or 1.0
+    z = (s - mean) / scale
+    x = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
+    loss = lambda x: float((n * (np.logaddexp(0, x[0] * z + x[1]) - t * (x[0] * z + x[1]))).sum())
+    now = loss(x)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(x[0] * z + x[1])))
+        g = np.array([(n * (p - t) * z).sum(), (n * (p - t)).sum()])
+        if np.abs(g).max() < 1e-9 * n.sum():
+            break
+        h = n * p * (1 - p)
+        m = np.array([[(h * z * z).sum() + 1e-12, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-12]])
+        d, step = np.linalg.solve(m, g), 1.0
+        while loss(x - step * d) > now and step > 1e-10:
+            step /= 2
+        x = x - step * d
+        now = loss(x)
+    return float(x[0] / scale), float(x[1] - x[0] * mean / scale)
+
+
+def isotonic(s: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries and values of the nearest rising step function, by pooling neighbours that fall; the ends of each pool are kept."""
+    pools: list[list[float]] = []
+    for a, y, m in zip(s, pos, n):
+        pools.append([a, a, float(y), float(m)])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+    xs = np.array([v for p in pools for v in (p[0], p[1])])
+    return xs, np.array([p[2] / p[3] for p in pools for _ in (0, 1)])
 
 
 @dataclass
@@ -296,55 +354,61 @@ class Calibrated:
 
     @classmethod
     def fit(cls, scored: DataFrame, k: int, method: str = "sigmoid", scores: str = "scores", label: str = "label") -> Calibrated:
-        """scored: (scores array, label index) of held-out rows.  Sigmoid targets are (n1 + 1) / (n1 + 2) and 1 / (n0 + 2)."""
+        """scored: (scores array of k, label index) of held-out rows.
+
+        Rows are first counted by class and level of score (LEVELS over the
+        class's range, each standing for the mean of its scores), so that a
+        class's map is fitted in one task from a bounded table.
+        """
         if method not in ("sigmoid", "isotonic"):
             raise ValueError(f"unknown method {method}")
-        data = materialize(scored.select(F.col(scores).alias("scores"), F.col(label).cast("int").alias("label")), "calibration")
-        models = []
-        counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
-        n = sum(counts.values())
-        for c in range(k):
-            hit = F.col("label") == c
-            one = data.select(F.element_at("scores", c + 1).alias("s"), hit.cast("double").alias("y"))
-            n1 = counts.get(c, 0)
-            if method == "isotonic":
-                iso = IsotonicRegression(featuresCol="s", labelCol="y").fit(one)
-                models.append((list(map(float, iso.boundaries)), list(map(float, iso.predictions))))
+        long = scored.select(F.posexplode(scores).alias("c", "s"), F.col(label).cast("int").alias("label")).select("c", "s", (F.col("c") == F.col("label")).cast("int").alias("y"))
+        span = long.groupBy("c").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+        level = F.floor(F.when(F.col("hi") > F.col("lo"), (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * LEVELS).otherwise(0))
+        binned = long.join(F.broadcast(span), "c").groupBy("c", level.alias("level")).agg(F.avg("s").alias("s"), F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("s")
+            s, pos, n = (pdf[c].to_numpy(float) for c in ("s", "pos", "n"))
+            if method == "sigmoid":
+                a, b = platt(s, pos, n - pos)
+                xs, ys = [a], [b]
             else:
-                # a smoothed target is the mean of a row of each class in these weights
-                hi, lo = (n1 + 1.0) / (n1 + 2.0), 1.0 / (n - n1 + 2.0)
-                t = F.when(F.col("y") == 1, hi).otherwise(lo)
-                both = one.select(array_to_vector(F.array("s")).alias("x"), F.explode(F.array(F.struct(F.lit(1.0).alias("y"), t.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - t).alias("w")))).alias("z")).select("x", "z.*")
-                lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", standardization=True, family="binomial").fit(both)
-                models.append((float(lr.coefficients[0]), float(lr.intercept)))
-        return cls(models, method)
-
-    def probabilities(self, scores: str = "scores") -> Column:
-        """An array column of calibrated probabilities; uniform where all are 0."""
-        parts = []
-        for c, m in enumerate(self.models):
-            s = F.element_at(scores, c + 1)
-            if self.method == "sigmoid":
-                parts.append(1 / (1 + F.exp(-(F.lit(m[0]) * s + F.lit(m[1])))))
-            else:
-                xs, ys = m
-                parts.append(_piecewise(s, xs, ys))
-        p = F.array(*parts)
-        total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-        return F.when(total > 0, F.transform(p, lambda x: x / total)).otherwise(F.array_repeat(F.lit(1.0 / len(parts)), len(parts)))
-
-
-def _piecewise(s: Column, xs: list[float], ys: list[float]) -> Column:
-    """Linear interpolation between the boundaries, constant outside."""
-    x, y = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
-    i = F.size(F.filter(x, lambda v: v < s))
-    x0, x1, y0, y1 = (F.element_at(a, j) for a, j in ((x, i), (x, i + 1), (y, i), (y, i + 1)))
-    inside = F.when(x1 == x0, y1).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
-    return F.when(i == 0, F.lit(ys[0])).when(i >= len(xs), F.lit(ys[-1])).otherwise(inside)
-
-
-def classify(model: PipelineModel, df: DataFrame, text: str = "text", calibration: str = "none") -> DataFrame:
+                xs, ys = isotonic(s, pos, n)
+            return pd.DataFrame({"c": [int(pdf["c"].iloc[0])], "xs": [list(map(float, xs))], "ys": [list(map(float, ys))]})
+
+        maps = {r["c"]: (np.array(r["xs"]), np.array(r["ys"])) for r in binned.groupBy("c").applyInPandas(run, "c int, xs array<double>, ys array<double>").collect()}
+        none = (np.zeros(1), np.full(1, -np.inf)) if method == "sigmoid" else (np.zeros(2), np.zeros(2))
+        return cls([maps.get(c, none) for c in range(k)], method)
+
+    def of(self, scores: np.ndarray) -> np.ndarray:
+        """Probabilities (rows x classes) that sum to 1; uniform where all are 0."""
+        p = np.empty_like(scores, dtype=float)
+        for c, (x, y) in enumerate(self.models):
+            p[:, c] = 1 / (1 + np.exp(-(x[0] * scores[:, c] + y[0]))) if self.method == "sigmoid" else np.interp(scores[:, c], x, y)
+        total = p.sum(1, keepdims=True)
+        return np.where(total > 0, p / np.where(total > 0, total, 1), 1.0 / max(p.shape[1], 1))
+
+    def apply(self, df: DataFrame, scores: str = "scores", to: str = "p") -> DataFrame:
+        """df with the column ``to`` of calibrated probabilities."""
+        own = df.drop(to)
+        maps = df.sparkSession.sparkContext.broadcast(self)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields) + f", `{to}` array<double>"
+        at = own.columns.index(scores)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    k = len(maps.value.models)
+                    p = maps.value.of(b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, k))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)), pa.array(p.ravel()))
+                    yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, to])
+
+        return own.mapInArrow(run, schema)
+
+
+def classify(model: Model, df: DataFrame, text: str = "text", calibrated: Calibrated | None = None) -> DataFrame:
     """df with pred, confidence (the largest probability, null for a model without) and the calibration's name."""
-    out = model.transform(df)
-    conf = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(None).cast("double")
-    return out.select(*df.columns, "pred", conf.alias("confidence"), F.lit(calibration).alias("calibration"))
+    out = model.apply(df, text)
+    out = calibrated.apply(out) if calibrated else out
+    return out.select(*df.columns, "pred", F.array_max("p").alias("confidence"), F.lit(calibrated.method if calibrated else "none").alias("calibration"))

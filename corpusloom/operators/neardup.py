@@ -6,15 +6,20 @@ A document is a row (id, text); rows with a null id or text take no part.
 from __future__ import annotations
 
 import random
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.hashing import U
+from corpusloom.functions.shingling import hashed, ordered
 from corpusloom.functions.text import normalised, shingles
 from corpusloom.operators.components import components
-from corpusloom.plans.lineage import materialize
+from corpusloom.plans.arrays import merged_array
+from corpusloom.plans.lineage import materialize, release
+from corpusloom.plans.skew import lookup_join
 
 PRIME = 2**31 - 1
 _SEED = 20260905
@@ -45,9 +50,10 @@ def representatives(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, t): the smallest id of each normalised text."""
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return rows.groupBy(normalised(F.col(text)).alias("t")).agg(F.min(key).alias("id")).select("id", "t")
+    """(id, t): the smallest id of each normalised text.  Digests are grouped; texts only meet the ids that stay."""
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), normalised(F.col(text)).alias("t"))
+    first = rows.groupBy(F.md5(F.col("t").cast("binary")).alias("h")).agg(F.min("id").alias("id")).select("id")
+    return rows.join(first, "id", "left_semi")
 
 
 def shingled(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
@@ -55,30 +61,47 @@ def shingled(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
     return distinct_texts(df, key, text).select("id", F.explode(shingles(F.col("t"), k)).alias("shingle"))
 
 
+def _grams(t: str, k: int) -> set[str]:
+    w = t.split(" ")
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {t}
+
+
+def _minima(texts: list[str], k: int, pairs: np.ndarray) -> np.ndarray:
+    """(texts, permutations): the least permuted hash of each normalised text's shingles, which any engine's md5 repeats."""
+    sets = [_grams(t, k) for t in texts]
+    raw = b"".join(md5(s.encode("utf-8", "surrogatepass")).digest()[:4] for grams in sets for s in grams)
+    h = np.frombuffer(raw, ">u4").astype(np.int64) % PRIME
+    first = np.concatenate([[0], np.cumsum([len(g) for g in sets])[:-1]])
+    out = np.empty((len(texts), len(pairs)), np.int64)
+    for i, (a, c) in enumerate(pairs):
+        out[:, i] = np.minimum.reduceat((h * a + c) % PRIME, first)
+    return out
+
+
+def _slices(batches, rows: int = 2048):
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def signatures(df: DataFrame, key: str, text: str, perms: int = 128, k: int = 5, distinct: bool = True) -> DataFrame:
     """(id, m): m[i] is the minimum of permutation i over the document's shingle hashes.
 
-    Shingles are hashed in the JVM; the permutations are array operations over
-    whole Arrow batches, so nothing is exploded or shuffled by shingle.
-    distinct: one row a normalised text, else one a row of df.
+    Hashes and permutations are array operations over whole Arrow batches, so
+    nothing is exploded or shuffled by shingle.  distinct: one row a normalised
+    text, else one a row of df.
     """
-    rows = distinct_texts(df, key, text) if distinct else df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
-    hashes = F.transform(shingles(F.col("t"), k), lambda s: F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint"))
+    kept = F.col(key).isNotNull() & F.col(text).isNotNull()
+    rows = distinct_texts(df, key, text) if distinct else df.where(kept).select(F.col(key).alias("id"), normalised(F.col(text)).alias("t"))
     pairs = np.array(permutations(perms), np.int64)
 
     def run(batches):
-        for b in batches:
-            lists = b.column(1)
-            h, at = lists.flatten().to_numpy() % PRIME, lists.offsets.to_numpy()
-            if not b.num_rows:
-                continue
-            first = (at - at[0])[:-1]
-            m = np.stack([np.minimum.reduceat((h * a + c) % PRIME, first) for a, c in pairs], axis=1)
+        for b in _slices(batches):
+            m = _minima(b.column(1).to_pylist(), k, pairs)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, perms, dtype=np.int32)), pa.array(m.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["id", "m"])
 
-    out = rows.select("id", hashes.alias("h"))
-    return out.mapInArrow(run, f"id {out.schema['id'].dataType.simpleString()}, m array<bigint>")
+    return rows.select("id", "t").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, m array<bigint>")
 
 
 def band_keys(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -88,19 +111,80 @@ def band_keys(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     return sigs.select("id", F.explode(keys).alias("x")).select("id", "x.band", "x.bucket")
 
 
+def _linked(long: DataFrame) -> DataFrame:
+    """(a, b): each id linked to the smallest of every bucket (band, bucket) it shares; a bucket of any size costs its length.
+
+    Buckets that hold more than a share of the rows are looked up by broadcast.
+    """
+    long = materialize(long.select("id", F.concat_ws(":", "band", F.hex("bucket")).alias("at")), "bands")
+    heads = long.groupBy("at").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return lookup_join(long, heads, "at", weight="n").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
 def band_edges(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(a, b): each document linked to the smallest of every bucket it shares; a bucket of any size costs its length."""
-    long = materialize(band_keys(sigs, bands, rows), "bands")
-    heads = long.groupBy("band", "bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return long.join(heads, ["band", "bucket"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    """(a, b): each document linked to the smallest of every bucket it shares."""
+    return _linked(band_keys(sigs, bands, rows))
+
+
+def text_edges(df: DataFrame, key: str, text: str, bands: int, rows: int, k: int = 5) -> DataFrame:
+    """(a, b): band_edges of all rows, copies too, from one pass over the texts, which are not shuffled.
+
+    Rows of equal normalised text share all buckets, so no search for copies is
+    needed before.
+    """
+    pairs = np.array(permutations(bands * rows), np.int64)
+    src = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), normalised(F.col(text)).alias("t"))
+
+    def run(batches):
+        for b in _slices(batches):
+            m = _minima(b.column(1).to_pylist(), k, pairs).reshape(b.num_rows * bands, rows)
+            raw, width = np.ascontiguousarray(m).tobytes(), 8 * rows
+            buckets = [md5(raw[i : i + width]).digest() for i in range(0, len(raw), width)]
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), bands)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(bands, dtype=np.int32), b.num_rows)), pa.array(buckets, pa.binary())], names=["id", "band", "bucket"])
+
+    return _linked(src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, band int, bucket binary"))
+
+
+def ordered_sets(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(id, n, s): the different shingles of each (id, t) by how rare their bucket is in all rows, as 64-bit hashes; a written table.
+
+    The order comes from counts by hash bucket (2**22 of them), so no shingle is
+    shuffled for it; any order keeps a prefix filter exact.
+    """
+    cells = 1 << 22
+    rows = materialize(rows.select("id", "t"), "texts")
+
+    def count(batches):
+        total = np.zeros(cells, np.uint32)
+        for b in batches:
+            for _, _, doc, h in hashed(b.column(1).to_pylist(), k, True, True):
+                total += np.bincount((h & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
+        return total
+
+    def level(total):
+        return np.round(np.log2(total.astype(np.float64) + 1) * 7.5).astype(np.uint8)
+
+    rank = merged_array(rows, count, lambda a, b: np.minimum(a.astype(np.uint64) + b, (1 << 32) - 1).astype(np.uint32), "uint32", level, "uint8")
+    shared = rows.sparkSession.sparkContext.broadcast(rank if len(rank) else np.zeros(cells, np.uint8))
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, doc, h in hashed(b.column(1).to_pylist(), k, True, True):
+                doc, h = ordered(doc, h, shared.value)
+                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                n = np.diff(np.concatenate([first, [len(doc)]]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(doc[first])), pa.array(n.astype(np.int32)), lists], names=["id", "n", "s"])
+
+    out = materialize(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n int, s array<bigint>"), "sets")
+    release(rows)
+    return out
 
 
 def exact_pairs(df: DataFrame, key: str, text: str, num: int = 4, den: int = 5, k: int = 5) -> DataFrame:
     """(a, b, likeness) of all pairs of different normalised texts with likeness num / den or more, by prefix filtering."""
-    posts = materialize(shingled(df, key, text, k).select("id", F.xxhash64("shingle").alias("h")).distinct(), "posts")
-    df_ = posts.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    sets = posts.join(df_, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    sets = materialize(sets.select("id", F.size("s").alias("n"), F.col("s.h").alias("s")), "sets")
+    sets = ordered_sets(distinct_texts(df, key, text), k)
     least = F.ceil(F.col("n") * num / den).cast("int")
     prefix = sets.select("id", "n", F.posexplode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("pos", "h"))
     x, y = prefix.alias("x"), prefix.alias("y")
@@ -112,10 +196,26 @@ def exact_pairs(df: DataFrame, key: str, text: str, num: int = 4, den: int = 5,
 
 
 def verified_pairs(cand: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    o = F.size(F.array_intersect("sa", "sb"))
-    full = cand.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    full = full.withColumn("o", o).withColumn("u", F.size("sa") + F.size("sb") - F.col("o"))
-    return full.where(F.col("o") * den >= F.col("u") * num).select("a", "b", F.round(F.col("o") / F.col("u"), 6).alias("likeness"))
+    """(a, b, likeness) of the candidates (a, b) whose sets (id, s) are alike enough; overlaps are counted over whole Arrow batches."""
+    kind = cand.schema["a"].dataType.simpleString()
+    full = cand.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = b.column(2), b.column(3)
+            nx, ny = (np.diff(c.offsets.to_numpy()) for c in (x, y))
+            row = np.concatenate([np.repeat(np.arange(b.num_rows), nx), np.repeat(np.arange(b.num_rows), ny)])
+            h = np.concatenate([x.flatten().to_numpy(), y.flatten().to_numpy()])
+            o = np.lexsort((h, row))
+            row, h = row[o], h[o]
+            both = np.bincount(row[1:][(row[1:] == row[:-1]) & (h[1:] == h[:-1])], minlength=b.num_rows)
+            union = nx + ny - both
+            keep = pa.array(np.flatnonzero(both * den >= union * num))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(both.astype(float)).take(keep), pa.array(union.astype(float)).take(keep)], names=["a", "b", "o", "u"])
+
+    return full.mapInArrow(run, f"a {kind}, b {kind}, o double, u double").select("a", "b", F.round(F.col("o") / F.col("u"), 6).alias("likeness"))
 
 
 def clusters(df: DataFrame, key: str, text: str, mode: str = "exact", threshold: tuple[int, int] = (4, 5), perms: int = 128, k: int = 5) -> DataFrame:
@@ -125,14 +225,19 @@ def clusters(df: DataFrame, key: str, text: str, mode: str = "exact", threshold:
     keeps linked pairs of likeness enough; exact finds all such pairs.
     """
     num, den = threshold
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    if mode == "lsh":
+        bands, width = band_shape(num / den, perms)
+        roots = components(text_edges(df, key, text, bands, width, k))
+        linked = rows.select(F.col(key).alias("id")).join(roots, "id", "left").select(F.col("id").alias(key), F.coalesce("root", "id").alias("root"))
+        return dense_ids(linked, key, "root")
     if mode == "exact":
         edges = exact_pairs(df, key, text, num, den, k).select("a", "b")
-    elif mode in ("lsh", "lsh_verified"):
-        bands, rows = band_shape(num / den, perms)
-        edges = band_edges(signatures(df, key, text, bands * rows, k), bands, rows)
-        if mode == "lsh_verified":
-            posts = shingled(df, key, text, k).select("id", F.xxhash64("shingle").alias("h"))
-            edges = verified_pairs(edges, posts.groupBy("id").agg(F.collect_set("h").alias("s")), num, den).select("a", "b")
+    elif mode == "lsh_verified":
+        bands, width = band_shape(num / den, perms)
+        texts = distinct_texts(df, key, text)
+        edges = band_edges(signatures(df, key, text, bands * width, k), bands, width)
+        edges = verified_pairs(edges, ordered_sets(texts, k), num, den).select("a", "b")
     else:
         raise ValueError(f"unknown mode {mode}")
     roots = components(edges)

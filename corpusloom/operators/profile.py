@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import resource
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +55,32 @@ def partition_diff(x: DataFrame, y: DataFrame, key: str) -> DataFrame:
     """(key, head_x, head_y) of rows that two clusterings place differently; empty for equal partitions."""
     a, b = (canonical_partition(c, key).withColumnRenamed("head", f"head_{s}") for c, s in ((x, "x"), (y, "y")))
     return a.join(b, key, "full_outer").where(~F.col("head_x").eqNullSafe(F.col("head_y")))
+
+
+def peak_mb(spark) -> float:
+    """Megabytes of memory that the driver's program and its JVM's heap have taken at most so far."""
+    pools = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    return round(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024 + sum(p.getPeakUsage().getUsed() for p in pools) / 2**20, 1)
+
+
+def phases(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(phase, seconds, docs_per_sec, share, clusters, largest, peak_mb) of clustering by bands: hashing, then linking and numbering.
+
+    Each phase is run to its end and written; share is its part of the time.
+    """
+    from corpusloom.operators import neardup
+    from corpusloom.operators.components import components
+    from corpusloom.plans.lineage import materialize
+
+    spark = df.sparkSession
+    docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).count()
+    began = time.time()
+    edges = materialize(neardup.text_edges(df, key, text, *neardup.band_shape(0.8, 128)), "edges")
+    hashed = time.time() - began
+    began = time.time()
+    roots = materialize(components(edges), "roots")
+    linked = time.time() - began
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.max("n"), F.lit(1)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    found, peak = docs - sizes["rows"] + sizes["k"], peak_mb(spark)
+    rows = [(n, round(t, 3), round(docs / max(t, 1e-9), 1), round(t / max(hashed + linked, 1e-9), 4), found, sizes["most"], peak) for n, t in (("signatures and bands", hashed), ("linking", linked))]
+    return spark.createDataFrame(rows, "phase string, seconds double, docs_per_sec double, share double, clusters bigint, largest bigint, peak_mb double")

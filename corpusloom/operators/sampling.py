@@ -41,3 +41,14 @@ def random_merges(df: DataFrame, label: str, pairs: int = 6, seed: int = 7) -> D
     place = F.row_number().over(Window.orderBy(hash_order(seed, label), label)) - 1
     top = top.withColumn("i", place)
     return top.groupBy(F.floor(F.col("i") / 2).alias("p")).agg(F.max_by(label, "i").alias("from_label"), F.min_by(label, "i").alias("to_label"), F.count(F.lit(1)).alias("n")).where("n = 2").select("from_label", "to_label")
+
+
+def chunked(df: DataFrame, key: str, n: int, to: str = "chunk") -> DataFrame:
+    """df with the number of its slice: contiguous in order of the unique key, each of ceil(rows / n) rows but the last, so maybe fewer than n."""
+    from corpusloom.operators.neardup import dense_ids
+
+    if n < 1:
+        raise ValueError("at least one chunk")
+    size = max(1, -(-df.count() // n))
+    place = dense_ids(df.select(key, F.col(key).alias("_at")), key, "_at").select(key, F.floor(F.col("cluster_id") / size).cast("int").alias(to))
+    return df.join(place, key)

@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted when the session's program ends."""
+    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,9 +52,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and return the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out

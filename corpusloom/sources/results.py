@@ -70,12 +70,12 @@ class Result:
 
 
 def load_results(spark: SparkSession, root: str, experiment: str | None = None) -> DataFrame:
-    """All results below root, or one experiment's; none if there is no such folder.  config stays JSON text."""
+    """All results below root, or one experiment's, in the order of their paths; none if there is no such folder.  config stays JSON text."""
     path = f"{root}/{experiment}" if experiment else root
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    return spark.read.schema(SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path).orderBy("_metadata.file_path")
 
 
 def write_report(lines: list[str], spark: SparkSession, path: str) -> None:

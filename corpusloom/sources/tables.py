@@ -46,19 +46,19 @@ def vector_table(spark: SparkSession, rows: list[tuple[str, list[float]]], view:
 
 
 def save_model(model, path: str, manifest: dict) -> None:
-    """A fitted pipeline and, beside it, what it was fitted on and scored."""
-    model.write().overwrite().save(f"{path}/model")
+    """A fitted model and, beside it, what it was fitted on and scored."""
     spark = SparkSession.active()
+    model.save(f"{path}/model", spark)
     text = json.dumps(manifest, sort_keys=True, indent=2)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
 def load_model(path: str):
-    """(pipeline, manifest), or (None, None) where nothing was saved."""
-    from pyspark.ml import PipelineModel
+    """(model, manifest), or (None, None) where nothing was saved."""
+    from corpusloom.operators.classify import Model
 
     spark = SparkSession.active()
     if folder_size_mb(spark, path) != folder_size_mb(spark, path):
         return None, None
     text = "\n".join(r["value"] for r in spark.read.text(f"{path}/manifest").collect())
-    return PipelineModel.load(f"{path}/model"), json.loads(text)
+    return Model.load(f"{path}/model", spark), json.loads(text)

@@ -9,7 +9,7 @@ import pytest
 from corpusloom import catalog
 
 duckdb = pytest.importorskip("duckdb")
-SLOW = {"ml_cv", "ml_calibrated", "ml_linear_svm"}
+SLOW = {"ml_cv", "ml_calibrated", "ml_label_merge", "ml_held_out"}
 
 
 @pytest.fixture(scope="module")

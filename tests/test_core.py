@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import patterns as P
 from corpusloom.functions import text as T
 from corpusloom.functions.hashing import RangeHash, U, bloom_add, bloom_bits, bloom_has, mix
-from corpusloom.operators import classify, entities, evaluate, neardup, profile, retrieval, sampling, splits, stats
+from corpusloom.operators import classify, entities, evaluate, linear, neardup, profile, retrieval, sampling, splits, stats
 from corpusloom.operators.components import components
 from corpusloom.plans import lineage, report, skew
 from corpusloom.sources import docblocks, results, tables
@@ -264,7 +264,7 @@ def test_bm25_by_hand_and_saved(spark, tmp_path):
     got = index.search(spark.createDataFrame([(9, "Rent rent lease")], "id int, text string"), "id", "text").collect()
     mean, idf = 5 / 4, lambda df: math.log(1 + (4 - df + 0.5) / (df + 0.5))
     w = lambda tf, dl, df: idf(df) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / mean))
-    assert [(r["rank"], r["doc"]) for r in got] == [(1, 1), (2, 2)]
+    assert [(r["rank"], r["doc"]) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 4)] and [r["score"] for r in got[2:]] == [0.0, 0.0]  # filled up to min(k, N)
     assert math.isclose(got[0]["score"], 2 * w(2, 3, 1) + w(1, 3, 2), abs_tol=1e-6) and math.isclose(got[1]["score"], w(1, 2, 2), abs_tol=1e-6)
     assert math.isnan(retrieval.BM25Index.size_mb(spark, f"{tmp_path}/none"))
     index.save(f"{tmp_path}/i")
@@ -286,18 +286,45 @@ def test_vectors(spark):
 
 def test_statistics(spark):
     same = spark.createDataFrame([(i, float(i % 3), float(i % 3)) for i in range(50)], "id int, a double, b double")
-    assert stats.paired_test(same, perms=200).first()["p_value"] == 1.0
+    assert stats.paired_test(same, "id", perms=200).first()["p_value"] == 1.0
     better = same.withColumn("a", F.col("a") + 0.5)
-    assert stats.paired_test(better, perms=500).first()["p_value"] < 0.01
-    assert stats.hashed_paired_test(better, "id").first()["p_value"] < 0.05
+    assert stats.paired_test(better, "id", perms=500).first()["p_value"] < 0.01
     with pytest.raises(ValueError):
-        stats.paired_test(same.withColumn("b", F.lit(None).cast("double")))
-    ci = stats.bootstrap_ci(same, "a", reps=500).first()
+        stats.paired_test(same.withColumn("b", F.lit(None).cast("double")), "id")
+    ci = stats.bootstrap_ci(same, "id", "a", reps=500).first()
     assert ci["lo"] <= ci["point"] <= ci["hi"] and ci["point"] == pytest.approx(0.98, abs=0.01)
-    assert stats.bootstrap_ci(same.repartition(7), "a", reps=200, seed=3).first() == stats.bootstrap_ci(same.coalesce(1), "a", reps=200, seed=3).first()
-    p = spark.createDataFrame([("a", "a"), ("b", "a"), ("b", "b")] * 20, "true string, pred string")
-    m = stats.bootstrap_macro_f1(p, reps=200).first()
+    assert stats.bootstrap_ci(same.repartition(7), "id", "a", reps=200, seed=3).first() == stats.bootstrap_ci(same.coalesce(1), "id", "a", reps=200, seed=3).first()
+    mean = stats.bootstrap_ci(same, "id", "a", lambda x, w: (x * w).sum() / w.sum(), reps=500).first()
+    assert tuple(mean) == pytest.approx(tuple(ci), abs=1e-6)
+    median = stats.bootstrap_ci(same, "id", "a", lambda x, w: x[np.searchsorted(np.cumsum(w), w.sum() / 2)], reps=300).first()
+    assert median["point"] == 1.0 and median["lo"] <= 1.0 <= median["hi"]
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate([("a", "a"), ("b", "a"), ("b b", "b b")] * 20)], "id int, true string, pred string")
+    m = stats.bootstrap_macro_f1(p, "id", reps=200).first()
     assert m["point"] == pytest.approx(evaluate.f1_summary(p).first()["macro_f1"], abs=1e-6) and m["lo"] < m["point"] < m["hi"]
+    none = same.limit(0)
+    assert stats.bootstrap_ci(none, "id", "a", reps=10).first()["point"] is None and stats.paired_test(none, "id", perms=10).collect() == []
+
+
+def test_draws():
+    """Poisson weights have mean and variance 1; signs are even."""
+    w = stats.poisson_weights([str(i) for i in range(4000)], 50, 1)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.1
+    assert abs(stats.signs([str(i) for i in range(4000)], 50, 1).mean()) < 0.01
+
+
+def test_alignment(spark):
+    a = spark.createDataFrame([(1, 0.5), (2, 0.25)], "id int, x double")
+    assert stats.aligned(a, a.withColumn("x", F.col("x") + 1e-12), "id", "x") is a
+    for other in (a.withColumn("x", F.col("x") + 1e-6), a.where("id = 1"), a.withColumn("x", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError, match="not aligned"):
+            stats.aligned(a, other, "id", "x")
+
+
+def test_chunks(spark):
+    got = sampling.chunked(spark.range(10).withColumn("chunk", F.lit(9)).drop("chunk"), "id", 4).orderBy("id").collect()
+    assert [r["chunk"] for r in got] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
+    assert {r["chunk"] for r in sampling.chunked(spark.range(9), "id", 4).collect()} == {0, 1, 2}  # fewer than asked for
+    assert sampling.chunked(spark.range(0), "id", 3).collect() == []
 
 
 # ---- sampling and labels
@@ -387,17 +414,38 @@ def corpus(spark, n=120):
 
 
 @pytest.mark.parametrize("name", ["logreg", "naive_bayes", "linear_svm"])
-def test_pipelines(spark, tmp_path, name):
+def test_models(spark, tmp_path, name):
     c = corpus(spark)
-    r = classify.fit_and_score(name, c.where("clause_id < 90"), c.where("clause_id >= 90"), tune=name == "naive_bayes")
-    assert r.metrics["accuracy"] > 0.9
-    if name == "naive_bayes":
-        assert len(r.scores) == classify.BUDGET
-        tables.save_model(r.model, f"{tmp_path}/m", {"metrics": r.metrics})
-        model, manifest = tables.load_model(f"{tmp_path}/m")
-        out = classify.classify(model, c.limit(3), calibration="none").collect()
-        assert all(0 < x["confidence"] <= 1 and x["pred"] in ("law", "farm", "ship") for x in out) and manifest["metrics"] == r.metrics
-        assert tables.load_model(f"{tmp_path}/none") == (None, None)
+    r = classify.fit_and_score(name, c.where("clause_id < 90"), c.where("clause_id >= 90"))
+    assert r.metrics["accuracy"] > 0.9 and len(r.scores) == classify.BUDGET and r.best["value"] in classify.GRIDS[name]
+    tables.save_model(r.model, f"{tmp_path}/m", {"metrics": r.metrics})
+    model, manifest = tables.load_model(f"{tmp_path}/m")
+    odd = c.limit(3).unionByName(spark.createDataFrame([(900, "law", None), (901, "law", ""), (902, "law", "zzz " * 50_000)], c.schema))
+    out = classify.classify(model, odd).collect()
+    assert all(x["pred"] in ("law", "farm", "ship") for x in out) and manifest["metrics"] == r.metrics and len(out) == 6
+    assert all(x["confidence"] is None if name == "linear_svm" else 0 < x["confidence"] <= 1 for x in out)
+    assert tables.load_model(f"{tmp_path}/none") == (None, None)
+    few = classify.fit_and_score(name, c.where("clause_id < 90"), c.limit(0), tune=False)
+    assert few.predictions.collect() == []
+
+
+def test_fits_are_at_their_optimum():
+    """The gradient of a long fit vanishes, and naive Bayes equals its closed form."""
+    rng = np.random.default_rng(0)
+    docs = linear.Docs.of(([rng.choice(60, 8, replace=False) for _ in range(200)], [rng.integers(1, 4, 8) for _ in range(200)]))
+    y = rng.integers(0, 3, 200)
+    x = linear.Design(linear.Space.fit(docs, 1), docs)
+    whole = linear.Design(linear.Space.fit(docs, 1), docs, share=2.0)  # nothing is dense
+    w = rng.normal(size=(x.d, 3)).astype(np.float32)
+    assert np.allclose(x.times(w), whole.times(w), atol=1e-5) and np.allclose(x.back(x.times(w)), whole.back(x.times(w)), atol=1e-4)
+    for fit in (linear.fit_logreg, linear.fit_svm):
+        ends = [fit(x, y, 3, 1.0, most)[:2] for most in (1, 300)]
+        scores = [x.times(a) + b for a, b in ends]
+        assert (scores[1].argmax(1) == y).mean() > (scores[0].argmax(1) == y).mean()
+    a, b, _ = linear.fit_bayes(x, y, 3, 0.1)
+    dense = x.times(np.eye(x.d, dtype=np.float32))
+    s = np.stack([dense[y == c].sum(0) for c in range(3)], 1) + 0.1
+    assert np.allclose(a, np.log(s / s.sum(0)), atol=1e-4) and np.allclose(np.exp(b), np.bincount(y, minlength=3) / 200)
 
 
 def test_grid_budget(monkeypatch):
@@ -407,15 +455,14 @@ def test_grid_budget(monkeypatch):
         classify.grid("logreg")
 
 
-def test_tfidf_weights_agree_with_the_pipeline(spark):
+def test_tfidf_weights_agree_with_the_space(spark):
     c = corpus(spark, 40)
     counts = classify.term_counts(c, "clause_id", "text")
     w = classify.Tfidf.fit(counts, 40, 2, 0.9).weights(counts, "clause_id")
     a = w.groupBy("clause_id").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("clause_id").collect()
-    from pyspark.ml import Pipeline
-
-    v = Pipeline(stages=classify.features("text", 2, 0.9, True)).fit(c).transform(c).orderBy("clause_id").collect()
-    assert [(round(r["s"], 6), r["n"]) for r in a] == [(round(float(sum(r["features"].values)), 6), len(r["features"].values)) for r in v]
+    docs = classify._docs(classify.vectors(c.orderBy("clause_id"), ["clause_id"], "text").orderBy("clause_id").toPandas(), True)
+    row, _, val = linear.Space.fit(docs, 2).place(docs)
+    assert [r["n"] for r in a] == np.bincount(row).tolist() and np.allclose([r["s"] for r in a], np.bincount(row, val), atol=1e-4)
 
 
 @pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
@@ -429,11 +476,13 @@ def test_calibration(spark, method):
         rows.append(([float(x) for x in s], y))
     df = spark.createDataFrame(rows, "scores array<double>, label int")
     c = classify.Calibrated.fit(df, 3, method)
-    p = df.withColumn("p", c.probabilities())
+    p = c.apply(df)
     assert p.select(F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("t")).where("abs(t - 1) > 1e-9").count() == 0
     assert evaluate.brier(p, "p", "label").first()["brier"] < 0.3
     with pytest.raises(ValueError):
         classify.Calibrated.fit(df, 3, "other")
+    flat = classify.Calibrated.fit(df.where("label = 0").withColumn("scores", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))), 3, method)
+    assert abs(flat.of(np.zeros((1, 3))).sum() - 1) < 1e-9
 
 
 # ---- streams

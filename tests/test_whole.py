@@ -5,11 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom import catalog
 from corpusloom.functions import patterns as P
-from corpusloom.llm import groupsplit, truncation
-from corpusloom.operators import classify, retrieval
+from corpusloom.functions import tokens
+from corpusloom.operators import classify, linear, neardup, retrieval
 from corpusloom.sources import docblocks
 
 TEXTS = [
@@ -41,58 +42,16 @@ def test_spans_of_all_matches_and_rules(spark, tmp_path):
     order = ["clause_id", "text", "label", "start", "end", "source"]
     got = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).select(*order).collect()))
     wanted = sorted((i, *s) for i, t in enumerate(TEXTS) for s in spans(t))
-    assert got("ner_offsets_all") == wanted and {s[2] for s in wanted} == {"GOVERNING_LAW", "DEFINED_TERM"}
+    assert got("ner_offsets") == wanted and {s[2] for s in wanted} == {"GOVERNING_LAW", "DEFINED_TERM"}
     assert any(len(spans(t)) > 2 for t in TEXTS) and all(TEXTS[s[0]][s[3] : s[4]] == s[1] for s in wanted)
-    assert got("ner_overlap_suppress_all") == sorted((i, *s) for i, t in enumerate(TEXTS) for s in with_general(t))
-    grouped = {r["clause_id"]: r["grouped"] for r in catalog.QUERIES["ner_grouped_all"](spark, str(tmp_path)).collect()}
+    assert got("ner_overlap_suppress") == sorted((i, *s) for i, t in enumerate(TEXTS) for s in with_general(t))
+    grouped = {r["clause_id"]: r["grouped"] for r in catalog.QUERIES["ner_grouped"](spark, str(tmp_path)).collect()}
     for i, t in enumerate(TEXTS):
         found = sorted(with_general(t), key=lambda s: (s[1], s[2], s[4] == "rule", s[3]))
         labels = sorted({s[1] for s in found})
         assert grouped.get(i, "") == ";".join(f"{lab}=" + "|".join(s[0] for s in found if s[1] == lab) for lab in labels)
 
 
-def test_no_term_is_cut_from_a_large_vocabulary(spark):
-    terms = 270_000
-    text = " ".join(f"w{i}" for i in range(terms))
-    df = spark.createDataFrame([(text,), (text,), ("once only",)], "text string")
-    tokens, counts, _ = classify.features("text", 2, 0.9, False)
-    assert len(counts.fit(tokens.transform(df)).vocabulary) == terms
-
-
-def split_of(spark, rows):
-    df = spark.createDataFrame(rows, "key bigint, cluster int, label int, side string")
-    return groupsplit.GroupSplit(df).rows_split().collect()
-
-
-def test_large_clusters_leave_room_for_small_ones(spark):
-    """Clusters of 33 % and 20 %: both fit into train, and single rows complete all splits."""
-    cluster = lambda i: 0 if i < 990 else 1 if i < 1590 else None
-    share = Counter(r["split"] for r in split_of(spark, [(i, cluster(i), i % 3, None) for i in range(3000)]))
-    assert all(abs(share[n] / 3000 - f) < 0.01 for n, f in zip(groupsplit.SPLITS, groupsplit.FRACTIONS))
-
-
-def test_small_tables_are_annealed_by_label(spark):
-    """400 rows in clusters of one label each: every component is a large one."""
-    rows = [(i, i // 4, i // 4 % 5, None) for i in range(400)]
-    out = split_of(spark, rows)
-    label = {key: lab for key, _, lab, _ in rows}
-    cells = Counter((r["split"], label[r["key"]]) for r in out)
-    assert max(abs(cells[n, lab] - f * 80) for n, f in zip(groupsplit.SPLITS, groupsplit.FRACTIONS) for lab in range(5)) <= 4
-    assert len({(r["cluster"], r["split"]) for r in out}) == 100
-
-
-def test_large_components_are_never_worse_than_any_start():
-    rng = np.random.default_rng(0)
-    sizes = rng.integers(1, 40, 60).astype(float)
-    cells = np.zeros((60, 3))
-    cells[np.arange(60), rng.integers(0, 3, 60)] = sizes
-    f = np.array(groupsplit.FRACTIONS)
-    want, want_label = f * sizes.sum(), np.outer(f, cells.sum(0))
-    found = groupsplit.anneal_large(sizes, cells, [[0] * 60], want, want_label, 1)
-    size = np.bincount(found, sizes, 4)
-    assert np.abs(size / sizes.sum() - f).max() < 0.02
-
-
 def test_neighbours_at_a_tie_are_the_smallest_keys(spark):
     """40 copies of one vector, and 20 that differ from it after the sixth digit only, in falling order of ids."""
     rows = [(i, [1.0 + (i % 3 == 0) * 1e-9, 0.0]) for i in range(60, 0, -1)] + [(100, [0.0, 0.0])]
@@ -104,7 +63,7 @@ def test_neighbours_at_a_tie_are_the_smallest_keys(spark):
 def test_all_clauses_become_blocks(spark, tmp_path):
     rows = [(i, None if i == 7 else f" text {i}\n") for i in (0, 7, 999, 1000, 1007, 25999)]
     spark.createDataFrame(rows, "clause_id bigint, text string").write.parquet(f"{tmp_path}/clauses.parquet")
-    got = catalog.QUERIES["docs_parse_all_blocks"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["docs_parse_blocks"](spark, str(tmp_path)).collect()
     assert {(r["numbered"] * 1000 + int(r["doc_index"]), r["text"]) for r in got} == {(i, (t or "").strip()) for i, t in rows} and len(got) == len(rows)
     block = "=== DOC 001 (id=1) ===\nx\n"
     files = spark.createDataFrame([(1, block), (2, block)], "numbered int, value string")
@@ -113,34 +72,62 @@ def test_all_clauses_become_blocks(spark, tmp_path):
         docblocks.parse_blocks(files.union(files), numbered="numbered")
 
 
-def test_models_are_tuned_and_fitted_to_convergence(monkeypatch):
+def test_no_term_is_cut_from_a_large_vocabulary(spark):
+    terms = 270_000
+    text = " ".join(f"w{i}" for i in range(terms))
+    df = spark.createDataFrame([(1, text), (2, text), (3, "once only")], "key int, text string")
+    docs = classify._docs(classify.vectors(df, ["key"], "text").toPandas(), False)
+    assert len(linear.Space.fit(docs, 2).terms) == terms
+
+
+def test_models_are_tuned(monkeypatch):
     seen = []
     monkeypatch.setattr(catalog, "_sides", lambda spark, d: {"train": None, "dev": None})
     monkeypatch.setattr(catalog, "_metrics", lambda spark, r: r)
     monkeypatch.setattr(classify, "fit_and_score", lambda name, train, dev, tune=True: seen.append((name, tune)))
-    for name in ("ml_logreg", "ml_linear_svm", "ml_naive_bayes", "ml_cv"):
+    for name in ("ml_logreg", "ml_linear_svm", "ml_naive_bayes"):
         catalog.QUERIES[name](None, "")
-    assert seen == [("logreg", True), ("linear_svm", True), ("naive_bayes", True), ("naive_bayes", True)]
-    assert classify.MOST_STEPS == {"logreg": 2000, "linear_svm": 1000}
-
-
-def test_classifiers_take_the_bounds(spark):
-    assert classify.classifier("logreg").getMaxIter() == 2000 and classify.classifier("linear_svm").getClassifier().getMaxIter() == 1000
-
-
-def test_pipelines_strip_accents(spark):
-    df = spark.createDataFrame([("Café résumé",), ("cafe resume",), (None,)], "text string")
-    out = classify.Tokens(inputCol="text", outputCol="tokens", bigrams=True).transform(df).collect()
-    assert out[0]["tokens"] == out[1]["tokens"] == ["cafe", "resume", "cafe resume"] and out[2]["tokens"] == []
-
-
-def test_a_limit_behind_a_larger_one_is_found(spark):
-    """1,000 texts end at 300; of the 10 longer ones 8 end at 310."""
-    lengths = [50 + i % 240 for i in range(480)] + [300] * 1000 + [310] * 8 + [320, 330]
-    df = spark.createDataFrame([(i, "x" * n, "feed") for i, n in enumerate(lengths)], "doc_id bigint, text string, source string")
-    rows = {r["length"]: r for r in truncation.Truncation(df).hazards().where("unit = 'chars'").collect()}
-    assert rows[300]["significant"] and rows[310]["significant"] and not rows[320]["significant"]
-    for at, r in rows.items():
-        near = [j for j in range(max(1, at - 25), at + 26) if j != at]
-        ended, risk = sum(lengths.count(j) for j in near), sum(sum(n >= j for n in lengths) for j in near)
-        assert abs(r["expected"] - r["at_risk"] * min((ended + 0.5) / risk, 1.0)) < 1e-9
+    assert seen == [("logreg", True), ("linear_svm", True), ("naive_bayes", True)]
+    assert classify.MOST_STEPS["logreg"] == 2000 and classify.MOST_STEPS["linear_svm"] == 1000
+
+
+def test_tokens_strip_accents_and_count_pairs(spark):
+    df = spark.createDataFrame([(1, "Café résumé"), (2, "cafe resume x"), (3, None)], "key int, text string")
+    got = tokens.term_counts(df, "key", "text", pairs=True).collect()
+    assert {(r["key"], r["term"], r["tf"], r["length"]) for r in got} == {(k, t, 1, 2) for k in (1, 2) for t in ("cafe", "resume", "cafe resume")}
+    kept = tokens.term_counts(df, "key", "text", accents=False, stop=("resume",)).collect()
+    assert {(r["key"], r["term"]) for r in kept} == {(1, "café"), (1, "résumé"), (2, "cafe")}
+    lists = {r["key"]: (sorted(r["terms"]), r["length"]) for r in tokens.term_lists(df, "key", "text").collect()}
+    assert lists == {1: (["cafe", "resume"], 2), 2: (["cafe", "resume"], 2), 3: ([], 0)}
+
+
+def test_search_equals_brute_force(spark, monkeypatch):
+    """Ties go to the smaller document, documents without a score fill up, blocks of queries change nothing."""
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 2 + i % 5))) for i in range(40)] + [(40, None), (41, "the of"), (42, "alone")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    docs = {i: [w for w in (t or "").split() if w not in ("the", "of")] for i, t in rows}
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    dfs = Counter(w for ws in docs.values() for w in set(ws))
+
+    def score(q, d):
+        return round(sum(np.log(1 + (n - dfs[w] + 0.5) / (dfs[w] + 0.5)) * docs[d].count(w) / (docs[d].count(w) + 1.5 * (0.25 + 0.75 * len(docs[d]) / mean)) for w in docs[q]), 6)
+
+    for block in (4096, 5):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        got = retrieval.BM25Index.build(df.repartition(5), "id", "text").search(df, "id", "text", 6)
+        found = {}
+        for r in got.orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append((r["doc"], r["score"]))
+        for q in docs:
+            want = sorted(((d, score(q, d)) for d in docs), key=lambda x: (-x[1], x[0]))[:6]
+            assert [d for d, _ in found[q]] == [d for d, _ in want] and np.allclose([s for _, s in found[q]], [s for _, s in want], atol=2e-6), q
+
+
+def test_exact_modes_on_odd_texts(spark):
+    """Short and empty texts are single shingles; all modes give every text a cluster, null texts none."""
+    rows = [(1, "a b c"), (2, " A  b C"), (3, ""), (4, "  "), (5, None), (6, "a b"), (7, " ".join(f"w{i}" for i in range(40))), (8, " ".join(f"w{i}" for i in range(41))), (9, "x " * 50_000), (10, "x x x x x")]
+    df = spark.createDataFrame(rows, "id bigint, text string").withColumns({"t": F.lit(1), "n": F.lit(1), "s": F.lit(1)})
+    for mode in ("exact", "lsh_verified", "lsh"):
+        got = {r["id"]: r["cluster_id"] for r in neardup.clusters(df, "id", "text", mode).collect()}
+        assert 5 not in got and len(got) == 9 and got[1] == got[2] and got[3] == got[4] and got[7] == got[8] and got[9] == got[10] and len(set(got.values())) == 5
+    assert neardup.clusters(df.limit(0), "id", "text").collect() == []

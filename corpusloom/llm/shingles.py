@@ -1,74 +1,25 @@
 """Distinct word shingles of texts, hashed and ordered by corpus-wide rarity.
 
-Words are what lies between runs of Unicode white space of the lower-cased
-text.  Shingles are hashed by prefix sums over the UTF-8 bytes, so the cost is
-a few array operations a byte and no Python object a word.  The rarity order
-comes from a table of counts by hash bucket over *all* rows: any total order
+Shingles are hashed by functions.shingling.  The rarity order comes from a table of counts by hash bucket over *all* rows: any total order
 keeps prefix filtering exact, the counts only make it selective.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import RangeHash, U, bloom_has, mix
+from corpusloom.functions.hashing import U, bloom_has, mix
+from corpusloom.functions.shingling import WORDS, hashed, ordered
 from corpusloom.llm.blocks import key_filter, least_overlap
 from corpusloom.plans.arrays import merged_array
 
-WORDS = 5
 #: Short lists a pair must share, of those that are not set aside as long: this many, or one in EACH of the least overlap.
 SHARED, EACH = 3, 25
 #: Words of 64 bits of a set's sketch.
 SKETCH = 4
-_CHUNK = 1 << 19
-_SEGMENT = 1 << 20
-_BYTES = mix(np.arange(1, 257, dtype=U))
-
-
-def normal(text: str | None) -> str:
-    """Lower case, runs of white space as one blank, trimmed; null as the empty text."""
-    return " ".join(text.lower().split()) if text else ""
-
-
-def _hash_words(norms: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    buf = np.frombuffer(b" ".join(norms) + b" ", np.uint8)
-    ends = np.flatnonzero(buf == 32)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    # a normalised text has single blanks only, and one was put behind each
-    doc = np.repeat(np.arange(len(norms)), np.fromiter((b.count(b" ") + 1 for b in norms), np.int64, len(norms)))
-    real = ends > starts
-    starts, ends, doc = starts[real], ends[real], doc[real]
-    m = max(len(starts) - k + 1, 0)
-    same = doc[:m] == doc[k - 1 : k - 1 + m]
-    return doc[:m][same], RangeHash(_BYTES[buf])(starts[:m][same], ends[k - 1 : k - 1 + m][same])
-
-
-def hashed(texts: list[str | None], k: int = WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(lo, hi, text number from lo, hash) of all shingles, some texts at a time; a longer text is hashed in segments."""
-    lo, size, group = 0, 0, []
-    for i, t in enumerate(texts):
-        b = normal(t).encode()
-        if len(b) > 16 * _CHUNK:
-            if group:
-                yield lo, i, *_hash_words(group, k)
-            words = b.split(b" ")
-            parts = [_hash_words([b" ".join(words[j : j + _SEGMENT + k - 1])], k)[1] for j in range(0, len(words), _SEGMENT)]
-            h = np.concatenate(parts)
-            yield i, i + 1, np.zeros(len(h), np.int64), h
-            lo, size, group = i + 1, 0, []
-            continue
-        group.append(b)
-        size += len(b)
-        if size > _CHUNK:
-            yield lo, i + 1, *_hash_words(group, k)
-            lo, size, group = i + 1, 0, []
-    if group:
-        yield lo, len(texts), *_hash_words(group, k)
 
 
 def rarity_bits(rows: int) -> int:
@@ -115,26 +66,6 @@ def rarity(df: DataFrame, text: str = "text", k: int = WORDS) -> np.ndarray:
     return levels if len(levels) else np.zeros(1 << bits, np.uint8)
 
 
-def ordered(doc: np.ndarray, h: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (doc, hash) by doc, rank of the hash's bucket and hash; by doc and hash if rank is None."""
-    q = rank[(h & U(len(rank) - 1)).astype(np.int64)].astype(U) if rank is not None else np.zeros(len(h), U)
-    if len(doc) and doc[-1] >= 1 << 20:
-        o = np.lexsort((h, q, doc))
-        doc, h = doc[o], h[o]
-    else:
-        key = (doc.astype(U) << U(44)) | (q << U(36)) | (h >> U(28))
-        o = np.argsort(key)
-        doc2, h2, key = doc[o], h[o], key[o]
-        if ((key[1:] == key[:-1]) & (h2[1:] != h2[:-1])).any():  # the 36 bits tie: sort by all of them
-            o = np.lexsort((h, q, doc))
-            doc2, h2 = doc[o], h[o]
-        doc, h = doc2, h2
-    if len(h):
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
-        doc, h = doc[new], h[new]
-    return doc, h
-
-
 def shared_short(n):
     """c = min(max(SHARED, T / EACH), T): how many of the first shingles in common lie in both prefixes; it grows with n."""
     t = least_overlap(n)

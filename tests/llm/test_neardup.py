@@ -4,8 +4,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions.shingling import hashed, normal, ordered
 from corpusloom.llm import blocks, labels, neardup
-from corpusloom.llm.shingles import hashed, least_overlap, normal, ordered, sketches
+from corpusloom.llm.blocks import least_overlap
+from corpusloom.llm.shingles import sketches
 
 import numpy as np
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,33 @@ from corpusloom.plans.lineage import counted, materialize, release
 from corpusloom.plans.skew import lookup_join
 
 
-def contracted(edges: DataFrame, a: str, b: str, seed: int = 17, max_rounds: int = 200) -> DataFrame:
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the numbers under n that each is linked to."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _at_once(edges: DataFrame) -> DataFrame:
+    """(v, r): the representative of every end of the edges (a, b), found in one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, ids = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True))
+        half = len(pdf)
+        return pd.DataFrame({"v": ids, "r": np.asarray(ids)[_joined(codes[:half], codes[half:], len(ids))]})
+
+    return edges.groupBy(F.lit(1).alias("one")).applyInPandas(run, f"v {kind}, r {kind}")
+
+
+def contracted(edges: DataFrame, a: str, b: str, seed: int = 17, max_rounds: int = 200, tail: int = 0) -> DataFrame:
     """(id, group) for every id that an edge (a, b) between different ids links; group is the smallest id linked to it.
 
     Each round every vertex hooks to the neighbour (or itself) that comes first
@@ -18,13 +46,16 @@ def contracted(edges: DataFrame, a: str, b: str, seed: int = 17, max_rounds: int
     last to the first.  A round removes a constant share of the vertices on
     average, whatever the graph's shape: chains need O(log n) rounds.
 
+    Once at most ``tail`` edges are left, one task takes them together: that
+    bounds its memory, and the rounds' jobs are only run while they do work.
+
     Edges with a null end or equal ends link nothing; an id of such edges alone
     has no row.  Repeated and reversed edges count once.  No edges give no rows.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both, n = counted(e.union(e.select("b", "a")).distinct(), "edges")
     maps: list[DataFrame] = []
-    while n > 0:
+    while n > tail:
         if len(maps) >= max_rounds:
             raise RuntimeError("no end of contraction")
         fresh = F.lit(seed * 1_000_003 + len(maps))
@@ -43,6 +74,8 @@ def contracted(edges: DataFrame, a: str, b: str, seed: int = 17, max_rounds: int
         release(both, half)
         both = nxt
         maps.append(hook)
+    if n:
+        maps.append(materialize(_at_once(both), "tail"))
     release(both)
     if not maps:
         return e.select(F.col("a").alias("id"), F.col("a").alias("group"))

@@ -16,6 +16,8 @@ from corpusloom.plans.skew import lookup_join
 
 #: Sets of one inverted list that are merged in one task.
 LIST = 4096
+#: Links that are consolidated in one task; more go through rounds of contraction first.
+TAIL = 500_000
 
 
 def _copies(described: DataFrame, *by: str) -> DataFrame:
@@ -134,7 +136,7 @@ def _candidates(both: DataFrame, exact: bool) -> DataFrame:
 def _pairs(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
     """The candidates of two sides of the same lists, both with m."""
     x, y = _cut(x, True).alias("x"), _cut(y, False).alias("y")
-    return _candidates(x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cell") == F.col("y.cell")) & _alike("x", "y") & more), True)
+    return _candidates(x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cell") == F.col("y.cell")) & more & _alike("x", "y")), True)
 
 
 def _prepare(df: DataFrame, key: str, text: str, k: int, flags: list[Column], sketch: bool = False) -> DataFrame:
@@ -183,20 +185,20 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     star = materialize(_candidates(pair, False), "star")
     near = materialize(verified(star, sets, divide_skip), "near")
 
-    known = materialize(contracted(near, "a", "b").withColumnRenamed("group", "c"), "known")
-    tagged = materialize(posts.join(known, "id", "left").withColumn("c", F.coalesce("c", "id")), "tagged")
-    mixed = tagged.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("_m")).where("lo < hi").select("s", "_m")
-    open_ = materialize(lookup_join(tagged, mixed, "s", weight="_m"), "open")
+    known = materialize(contracted(near, "a", "b", tail=TAIL).withColumnRenamed("group", "c"), "known")
+    tagged = lambda rows: rows.join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    mixed = tagged(posts.select("s", "id")).groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("_m")).where("lo < hi").select("s", "_m")
+    open_ = materialize(tagged(lookup_join(posts, materialize(mixed, "mixed"), "s", weight="_m")), "open")
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
     rest = materialize(_pairs(open_, open_, apart).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     ends = rest.select(F.col("a").alias("id")).union(rest.select("b"))
     more = materialize(verified(rest, _picked(sets.select("id", "set"), ends, 2 * rest.count()), divide_skip), "more")
-    release(lists, ids, star, sets, posts, tagged, open_, rest)
+    release(lists, ids, star, sets, posts, open_, rest)
 
     # links between components, then the groups of all their members, then the copies
     at = lambda c, to: known.select(F.col("id").alias(c), F.col("c").alias(to))
     between = more.join(at("a", "ca"), "a", "left").join(at("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = materialize(contracted(between, "a", "b"), "joined")
+    joined = materialize(contracted(between, "a", "b", tail=TAIL), "joined")
     lone = joined.join(known.select("id"), "id", "left_anti").select(F.col("id").alias("rep"), "group")
     linked = known.join(joined.select(F.col("id").alias("c"), "group"), "c", "left").select(F.col("id").alias("rep"), F.coalesce("group", "c").alias("group")).union(lone)
     groups = copies.select("rep").union(linked.select("rep")).distinct().join(linked, "rep", "left").select("rep", F.coalesce("group", "rep").alias("group"))

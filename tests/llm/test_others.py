@@ -51,6 +51,26 @@ def test_no_matches(spark):
     assert contract.match_groups(spark.createDataFrame([], "doc_id_a string, doc_id_b string, is_match boolean")).collect() == []
 
 
+@pytest.mark.parametrize("tail", [0, 25, 10_000])
+def test_the_tail_in_one_task(spark, tail):
+    rng = random.Random(3)
+    edges = [(f"d{rng.randrange(300)}", f"d{rng.randrange(300)}") for _ in range(170)] + [(f"c{i}", f"c{i + 1}") for i in range(60)] + [(None, "x"), ("y", "y")]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {x: find(x) for x in root}
+    got = contract.contracted(spark.createDataFrame(edges, "a string, b string"), "a", "b", tail=tail).collect()
+    assert {r["id"]: r["group"] for r in got} == want and len(got) == len(want)
+
+
 # ---- canonical copies
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.plans.lineage import materialize, release
+from corpusloom.plans.skew import LOOKUP_ROWS, lookup_join
 
 
 def _print(e: DataFrame) -> tuple:
@@ -24,10 +25,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     now = _print(e)
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+        large = lookup_join(both, low, "u", rows=2 * now[0], weight="_n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "large") if now[0] >= LOOKUP_ROWS else large
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        small = lookup_join(large, least, "u", rows=now[0], weight="_n").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         nxt = materialize(small.where("u <> v").distinct(), "star")
         release(e)
         e, was, now = nxt, now, _print(nxt)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.lineage import materialize
+from corpusloom.plans.skew import lookup_join
 
 SPLITS = ("train", "dev", "calib", "test")
 
@@ -72,8 +73,8 @@ def assign_splits(df: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
         ends = ends.crossJoin(hit).withColumn(f"c{i}", F.coalesce(f"c{i}", F.lit(2**62)))
     e = F.col("cum") - F.col("size")
     split = F.when(e < F.col("c0"), "train").when(e < F.col("c1"), "dev").when(e < F.col("c2"), "calib").otherwise("test")
-    placed = run.crossJoin(F.broadcast(ends)).select(F.col("g").alias(cfg.group), split.alias("split"))
-    return df.drop("split").join(placed, cfg.group, "left").select(*[c for c in df.columns if c != "split"], "split")
+    placed = run.crossJoin(F.broadcast(ends)).select(F.col("g").alias(cfg.group), split.alias("split"), F.col("size").alias("_rows"))
+    return lookup_join(df.drop("split"), placed, cfg.group, "left", rows=total.first()[0] or 0, weight="_rows").select(*[c for c in df.columns if c != "split"], "split")
 
 
 def split_report(df: DataFrame, group: str = "dup_cluster", label: str = "label", split: str = "split") -> DataFrame:

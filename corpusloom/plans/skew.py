@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than one row in HOT_SHARE, so that there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 512
+#: A table of fewer rows is joined as it is: no key of it can fill a task.
+LOOKUP_ROWS = 100_000
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None, weight: str | None = None) -> DataFrame:
@@ -20,7 +22,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     """
     n = left.count() if rows is None else rows
     bare = right.drop(weight) if weight else right
-    if n < 100_000:
+    if n < LOOKUP_ROWS:
         return left.join(bare, key, how)
     counts = right.select(key, F.col(weight).alias("count")) if weight else left.groupBy(key).count()
     hot = [r[0] for r in counts.where((F.col("count") > n // HOT_SHARE) & F.col(key).isNotNull()).select(key).collect()]

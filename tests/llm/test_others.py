@@ -370,6 +370,38 @@ def test_broken_by_comparison(spark):
     assert [(r["cluster"], r["rows"]) for r in got] == [(5, 2)] and got[0]["moved"] >= 1
 
 
+@pytest.mark.parametrize("hot", [-1, 3, 8192])
+def test_spans_by_blocks_and_windows_equal_brute_force(spark, monkeypatch, hot):
+    """Reference blocks of one anchor each, windows of hot anchors, and both together."""
+    monkeypatch.setattr(spans, "HOT", hot)
+    monkeypatch.setattr(spans, "BLOCK", 2)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdé🙂 ") for _ in range(n))
+    shared = [text(rng.randint(30, 90)) for _ in range(6)]
+    rows = []
+    for i in range(30):
+        t = "".join(rng.choice(shared) if rng.random() < 0.4 else text(rng.randint(5, 60)) for _ in range(5))
+        if rng.random() < 0.5 and len(t) > 40:  # an edit inside a passage
+            k = rng.randrange(len(t))
+            t = t[:k] + "#" + t[k + 1 :]
+        rows.append((i, t))
+    rows += [(90, None), (91, ""), (92, rows[0][1]), (93, "x" * 200), (94, "x" * 150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"doc": F.lit(1), "first": F.lit(1), "n": F.lit(1)})
+    got = sorted(map(tuple, spans.shared_spans(df, length=20, gram=10).collect()))
+    assert got == sorted(brute_spans(rows, 20)) and got
+
+
+def test_names_are_ranks_of_stretches():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 3, 300).astype(np.uint32)
+    for length in (1, 2, 3, 5, 8, 20):
+        names = spans.names(codes, length)
+        whole = [tuple(codes[i : i + length].tolist()) for i in range(300 - length + 1)]
+        order = {w: r for r, w in enumerate(sorted(set(whole)))}
+        first = names[: len(whole)]
+        assert len(set(zip(first.tolist(), whole))) == len(set(whole)) and (np.argsort(first, kind="stable") == np.argsort([order[w] for w in whole], kind="stable")).all()
+
+
 # ---- truncation
 
 WHOLE = [None, "", "  ", "It ends here.", "Annex 4 - Torwick LLC", "Ends.\n\n* * *", "Ends.\n\n- 12 -", "Ends.\n\nPage 3 of 9", "Ends.\n\nBy: ____\nIts: Secretary", "Sum.\n\nItem 1  fee  $3.50\nTotal  $3.50",

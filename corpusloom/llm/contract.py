@@ -2,41 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.components import at_once
 from corpusloom.plans.lineage import counted, materialize, release
 from corpusloom.plans.skew import lookup_join
 
 
-def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest of the numbers under n that each is linked to."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        while (low[low] != low).any():
-            low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
-def _at_once(edges: DataFrame) -> DataFrame:
-    """(v, r): the representative of every end of the edges (a, b), found in one task."""
-    kind = edges.schema["a"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, ids = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True))
-        half = len(pdf)
-        return pd.DataFrame({"v": ids, "r": np.asarray(ids)[_joined(codes[:half], codes[half:], len(ids))]})
-
-    return edges.groupBy(F.lit(1).alias("one")).applyInPandas(run, f"v {kind}, r {kind}")
-
-
 def contracted(edges: DataFrame, a: str, b: str, seed: int = 17, max_rounds: int = 200, tail: int = 0) -> DataFrame:
     """(id, group) for every id that an edge (a, b) between different ids links; group is the smallest id linked to it.
 
@@ -75,7 +48,7 @@ def contracted(edges: DataFrame, a: str, b: str, seed: int = 17, max_rounds: int
         both = nxt
         maps.append(hook)
     if n:
-        maps.append(materialize(_at_once(both), "tail"))
+        maps.append(materialize(at_once(both).toDF("v", "r"), "tail"))
     release(both)
     if not maps:
         return e.select(F.col("a").alias("id"), F.col("a").alias("group"))

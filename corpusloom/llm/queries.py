@@ -76,6 +76,12 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).report()
 
 
+def p4_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and splits of every cluster under the assignment: one split each."""
+    rows = _split(spark, d).rows_split().where("cluster is not null")
+    return rows.groupBy(F.col("cluster").alias("dup_cluster")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("split").alias("splits"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_t(spark, d, "documents"))
 
@@ -115,6 +121,12 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).documents()
 
 
+def p9_caps(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of every target feed, and how many of them the mix holds more often than it may: none."""
+    drawn = _mix(spark, d).counts()
+    return drawn.groupBy(F.col("feed").alias("source")).agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("copies") > F.col("cap")).alias("over"))
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report()
 
@@ -136,7 +148,7 @@ def p10_hazards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_sample, p1_report, p1_margins, p2_found, p2_report, p3_found, p4_found, p4_split, p4_report, p5_found, p5_shares, p6_found, p6_records, p7_found, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_report, p10_hazards)
+    made = (p1_found, p1_sample, p1_report, p1_margins, p2_found, p2_report, p3_found, p4_found, p4_split, p4_report, p4_whole, p5_found, p5_shares, p6_found, p6_records, p7_found, p8_ids, p9_found, p9_mix, p9_caps, p9_shares, p10_found, p10_report, p10_hazards)
     return {f.__name__: f for f in made}
 
 

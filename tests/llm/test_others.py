@@ -342,6 +342,24 @@ def test_anneal_improves():
     assert abs(groupsplit.deviation(size, want) + groupsplit.deviation(cell, want_label) - cost) < 1e-6 * max(1, cost)
 
 
+def test_margins_of_a_sample(spark):
+    """Drawn rows are counted by group; shares of the groups sum to one in each split."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(("train", "dev")), rng.choice("abc"), rng.choice(("x", "x", "y", None))) for i in range(2000)] + [(9000, None, "a", "x"), (9001, "dev", None, "x")]
+    df = spark.createDataFrame(rows, "id bigint, split string, category string, `group` string")
+    goal = spark.createDataFrame([(s, c, p, 5) for s in ("train", "dev") for c, p in (("a", 600), ("b", 300), ("c", 100))] + [("dev", "z", 0, 4)], "split string, label_name string, target_permille int, min_rows int")
+    t = sampling.TargetSample(df, goal, "id")
+    drawn = t.drawn().groupBy("split", "category").count().collect()
+    report = {(r["split"], r["label_name"]): r for r in t.report().collect()}
+    assert {(r["split"], r["category"]): r["count"] for r in drawn} == {k: r["drawn"] for k, r in report.items() if r["drawn"]}
+    assert report["dev", "z"]["gap"] == 4 and all(r["gap"] == 0 for k, r in report.items() if k[1] != "z")
+    m = t.margins().collect()
+    assert sum(r["drawn"] for r in m) == sum(r["drawn"] for r in report.values()) and {r["group"] for r in m} == {"x", "y", ""}
+    for s in ("train", "dev"):
+        assert abs(sum(r["drawn_permille"] for r in m if r["split"] == s) - 1000) < 0.01 and max(abs(r["residual_permille"]) for r in m if r["split"] == s) < 60
+    assert sampling.TargetSample(df.limit(0), goal, "id").margins().collect() == []
+
+
 def test_rare_labels_over_many_blocks(spark, monkeypatch):
     """A label with one or two components a block keeps the shares over all blocks, as do components of many rows."""
     monkeypatch.setattr(groupsplit, "BLOCK", 100)

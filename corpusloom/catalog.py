@@ -13,7 +13,7 @@ from corpusloom.operators import classify, entities, evaluate, neardup, profile,
 from corpusloom.plans import report
 from corpusloom.plans.lineage import materialize, scratch
 from corpusloom.sources import docblocks, results, tables
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +75,7 @@ def _clauses(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     aliases = F.broadcast(table(spark, d, "split_aliases").select("alias", F.col("split").alias("side")))
     key = F.lower(F.regexp_replace("split", r"(?U)^\s+|\s+$", ""))
     c = table(spark, d, "clauses", *dict.fromkeys([*cols, "split"]))
+    c = spread(c) if "text" in cols else c
     return c.join(aliases, key == F.col("alias"), "left").drop("alias")
 
 
@@ -142,28 +143,28 @@ def chunks(spark, d):
 
 @query(f"WITH {_SHINGLES} SELECT id AS clause_id, count(*) AS shingles FROM s GROUP BY id")
 def shingle_counts(spark, d):
-    return neardup.shingled(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text").groupBy(F.col("id").alias("clause_id")).agg(F.count(F.lit(1)).alias("shingles"))
+    return neardup.shingled(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text").groupBy(F.col("id").alias("clause_id")).agg(F.count(F.lit(1)).alias("shingles"))
 
 
 @query(f"WITH {_SHINGLES}, {_MINHASH} SELECT id AS clause_id, md5(string_agg(m::VARCHAR, ',' ORDER BY i)) AS signature FROM m GROUP BY id")
 def minhash_signatures(spark, d):
     n = _BANDS * _ROWS
-    sigs = neardup.signatures(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", n)
+    sigs = neardup.signatures(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", n)
     return sigs.select(F.col("id").alias("clause_id"), F.md5(F.array_join(F.col("m").cast("array<string>"), ",")).alias("signature"))
 
 
 @query(f"WITH {_SHINGLES}, {_MINHASH} SELECT a, b FROM lsh")
 def lsh_candidate_pairs(spark, d):
-    return neardup.band_edges(neardup.signatures(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", _BANDS * _ROWS), _BANDS, _ROWS)
+    return neardup.band_edges(neardup.signatures(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", _BANDS * _ROWS), _BANDS, _ROWS)
 
 
 @query(f"WITH {_SHINGLES}, {_PAIRS} SELECT a, b, likeness FROM exact")
 def neardup_exact_pairs(spark, d):
-    return neardup.exact_pairs(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text")
+    return neardup.exact_pairs(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text")
 
 
 def _clusters(spark, d, mode):
-    return neardup.clusters(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", mode)
+    return neardup.clusters(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", mode)
 
 
 @query(f"{_EXACT_SQL} SELECT clause_id, cluster_id FROM ce")
@@ -352,30 +353,30 @@ def _captured_sql(pattern: str, source: str = "clauses", key: str = "clause_id")
 
 @query(_captured_sql(_GL))
 def ner_governing_law(spark, d):
-    return entities.captured(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", P.GOVERNING_LAW)
+    return entities.captured(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", P.GOVERNING_LAW)
 
 
 @query(_captured_sql(_DT))
 def ner_defined_term(spark, d):
-    return entities.captured(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", P.DEFINED_TERM)
+    return entities.captured(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", P.DEFINED_TERM)
 
 
 @query(f"SELECT entity, count(*) AS mentions FROM ({_captured_sql(_DT)}) GROUP BY entity ORDER BY mentions DESC, entity LIMIT 15")
 def ner_top_terms(spark, d):
-    return entities.capture_frequency(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", P.DEFINED_TERM)
+    return entities.capture_frequency(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text", P.DEFINED_TERM)
 
 
 @query(f"""WITH t AS (SELECT unnest(regexp_extract_all(text, '{_SDT}', 1)) AS t FROM documents), k AS (SELECT count(*) AS term_mentions, count(DISTINCT t) AS unique_terms FROM t),
  c AS (SELECT count(*) AS docs, coalesce(sum(regexp_matches(text, '{_SDT}')::INT), 0)::BIGINT AS defined_term_docs, coalesce(sum(regexp_matches(text, '{_SGL}')::INT), 0)::BIGINT AS governing_law_docs,
  coalesce(sum(regexp_matches(text, '{P.MONEY}')::INT), 0)::BIGINT AS money_docs, coalesce(sum(regexp_matches(text, '{P.SLASH_DATE}')::INT), 0)::BIGINT AS slash_date_docs FROM documents) SELECT * FROM c, k""")
 def ner_regex_survey(spark, d):
-    return entities.survey(table(spark, d, "documents", "text"), "text")
+    return entities.survey(texts(spark, d, "documents", "text"), "text")
 
 
 @query(f"""SELECT clause_id, (i - 1)::INT AS pos, b[i] AS before, p[i] AS phrase FROM (SELECT clause_id, b, p, unnest(range(1, len(p) + 1)) AS i FROM
  (SELECT clause_id, regexp_extract_all(text, '{_QC}', 1) AS b, regexp_extract_all(text, '{_QC}', 2) AS p FROM clauses))""")
 def quote_context(spark, d):
-    return entities.quote_contexts(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text")
+    return entities.quote_contexts(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text")
 
 
 # the pieces between matches give SQL the offsets that the engine takes from the matcher
@@ -394,7 +395,7 @@ _KEPT_SQL = """kept AS (SELECT * FROM general g WHERE NOT EXISTS (SELECT 1 FROM
 
 def _rule_spans(spark, d):
     """Spans of both rules in all clauses, however many match."""
-    return materialize(entities.rule_entities(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text"), "spans")
+    return materialize(entities.rule_entities(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text"), "spans")
 
 
 def _general_spans(rules):
@@ -500,12 +501,12 @@ _JUDGED = """queries AS (SELECT doc_id AS query_id, agreement_id, source FROM do
 
 
 def _index(spark, d):
-    return retrieval.BM25Index.build(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return retrieval.BM25Index.build(texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def _ranking(spark, d):
     """Every document whose id is divisible by 100 as a query against all documents."""
-    return _index(spark, d).search(table(spark, d, "documents", "doc_id", "text").where("doc_id % 100 = 0"), "doc_id", "text")
+    return _index(spark, d).search(texts(spark, d, "documents", "doc_id", "text").where("doc_id % 100 = 0"), "doc_id", "text")
 
 
 def _judged(spark, d, ranked):
@@ -901,12 +902,12 @@ def sink_model(spark, d):
 @query()
 def phase_profile(spark, d):
     """Seconds, documents a second and share of the time of the two phases of clustering, and what they found."""
-    return profile.phases(table(spark, d, "clauses", "clause_id", "text"), "clause_id", "text")
+    return profile.phases(texts(spark, d, "clauses", "clause_id", "text"), "clause_id", "text")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Cluster, split whole clusters, report."""
-    c = table(spark, d, "clauses", "clause_id", "text", "label")
+    c = texts(spark, d, "clauses", "clause_id", "text", "label")
     rows = c.join(neardup.clusters(c, "clause_id", "text"), "clause_id", "left").withColumnRenamed("cluster_id", "dup_cluster")
     return splits.split_report(splits.assign_splits(rows))
 

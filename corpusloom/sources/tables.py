@@ -16,6 +16,20 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a table of too few files to keep the session's cores busy, dealt out evenly; any other scan as it is.
+
+    Only a table of less than a few megabytes a core is ever shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """table(), spread for work on its texts."""
+    return spread(table(spark, folder, name, *columns))
+
+
 def corpus(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
     """A labelled corpus with the content id of each text."""
     return spark.read.parquet(path).withColumn("content_id", content_id(F.col(text)))

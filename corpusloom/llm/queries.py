@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import canonical, contract, groupsplit, labels, mixing, neardup, sampling, spans, tokens, truncation
 from corpusloom.llm.sql import SQL
+from corpusloom.sources.tables import spread
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(_t(spark, d, name))
+
+
 def _clauses(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return labels.with_split(_t(spark, d, "clauses").select(*columns, "split"), _t(spark, d, "split_aliases"))
+    rows = _t(spark, d, "clauses").select(*columns, "split")
+    return labels.with_split(rows, _t(spark, d, "split_aliases"))
 
 
 def _sample(spark: SparkSession, d: str) -> sampling.TargetSample:
@@ -106,11 +112,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encoded(_t(spark, d, "documents"))
+    return tokens.encoded(_texts(spark, d, "documents"))
 
 
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
-    return mixing.Mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+    return mixing.Mix(_texts(spark, d, "documents"), _t(spark, d, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +138,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cuts(spark: SparkSession, d: str) -> truncation.Truncation:
-    return truncation.Truncation(_t(spark, d, "documents"))
+    return truncation.Truncation(_texts(spark, d, "documents"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -51,7 +51,8 @@ _P10 = f"""WITH raw AS (SELECT doc_id, {_FEED} AS feed, text, coalesce(length(te
  expd AS (SELECT feed, unit, length, ended, at_risk, at_risk::DOUBLE * CASE WHEN exposed > 0 THEN least((near - ended + 0.5::DOUBLE) / exposed, 1) ELSE 1 END AS expected FROM expo),
  hz AS (SELECT *, {_TAIL('ended::DOUBLE', 'expected')} AS p FROM expd), sig AS (SELECT * FROM hz WHERE p <= {_BH('hz')}),
  off AS (SELECT feed, count(*) AS texts, count(*) FILTER (state = 2) AS opened, count(*) * 0.002::DOUBLE AS expected FROM one o WHERE NOT EXISTS (SELECT 1 FROM sig WHERE sig.feed = o.feed AND ((unit = 'chars' AND length = chars) OR (unit = 'bytes' AND length = bytes))) GROUP BY 1),
- tr AS (SELECT *, {_TAIL('opened::DOUBLE', 'expected')} AS p FROM off), bad AS (SELECT feed FROM tr WHERE p <= {_BH('tr')}),
+ tr AS (SELECT *, {_TAIL('opened::DOUBLE', 'expected')} AS p FROM off), own AS (SELECT *, p <= {_BH('tr')} AS sure FROM tr), rest AS (SELECT sum(opened)::DOUBLE AS k, sum(expected) AS e FROM own WHERE NOT sure),
+ bad AS (SELECT feed FROM own, rest WHERE sure OR coalesce({_TAIL('k', 'e')} <= 0.01::DOUBLE, false)),
  flag AS (SELECT *, EXISTS (SELECT 1 FROM sig WHERE sig.feed = st.f AND ((unit = 'chars' AND length = chars) OR (unit = 'bytes' AND length = bytes))) AS at_limit FROM st),
  cut AS (SELECT *, CASE WHEN at_limit THEN state > 0 ELSE state = 2 AND f IN (SELECT feed FROM bad) END AS cut FROM flag)"""
 

@@ -66,7 +66,7 @@ class Truncation:
     A transfer that breaks cuts anywhere.  So the hazard of an incomplete ending
     at other lengths is tested for each feed, by the same bound and rule,
     against the share ``noise`` of texts that look incomplete without a cut;
-    incomplete endings of significant feeds are cut as well.  A whole ending is
+    incomplete endings of significant feeds are cut as well (see transfers).  A whole ending is
     never a case, however many texts share its length, and no ending of a feed
     without significant hazards is.
 
@@ -135,10 +135,17 @@ class Truncation:
         return rows.join(c, ["feed", "chars"], "left").join(b, ["feed", "bytes"], "left").withColumn("at_limit", F.coalesce("at_c", "at_b", F.lit(False))).drop("at_c", "at_b")
 
     def transfers(self) -> DataFrame:
-        """(feed, texts, open, expected, p, significant): incomplete endings of each feed at no significant length."""
+        """(feed, texts, open, expected, p, significant): incomplete endings of each feed at no significant length.
+
+        Feeds that show nothing by themselves, as small ones cannot, are tested
+        once more as one: significant together, all of them count.
+        """
         off = self._at_limits(self.texts).where("not at_limit").groupBy("feed").agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("state") == OPEN).alias("open"))
         h = off.withColumn("expected", F.col("texts") * F.lit(self.noise)).withColumn("p", _tail(F.col("open"), F.col("expected")))
-        return self._discovered(h)
+        h = materialize(self._discovered(materialize(h, "feeds")), "feeds")
+        rest = h.where("not significant").agg(F.sum("open").alias("k"), F.sum("expected").alias("e"))
+        together = rest.select((_tail(F.col("k"), F.col("e")) <= self.fdr).alias("_all"))
+        return h.crossJoin(F.broadcast(together)).withColumn("significant", F.col("significant") | F.coalesce("_all", F.lit(False))).drop("_all")
 
     def flagged(self) -> DataFrame:
         """(key, feed, chars, state, at_limit, broken, cut) of every row; broken: the feed's transfers break."""

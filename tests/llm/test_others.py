@@ -437,6 +437,15 @@ def test_endings(spark):
     assert not wrong
 
 
+def test_small_feeds_are_tested_together(spark):
+    """Twelve feeds of ten texts with one incomplete ending each: none shows it alone, all together do."""
+    rows = [(10 * f + i, f"{f} {i} " + "w " * (3 + 7 * i + f) + ("cut" if i == 0 else "whole."), f"feed {f}") for f in range(12) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["doc_id"] for r in truncation.Truncation(df).flagged().where("cut").collect()} == {10 * f for f in range(12)}
+    one = df.withColumn("text", F.when(F.col("doc_id") > 0, F.concat("text", F.lit(" end."))).otherwise(F.col("text")))
+    assert truncation.Truncation(one).flagged().where("cut").count() == 0  # one of 120 may be chance
+
+
 def test_truncation_table(spark):
     rng = random.Random(9)
     rows = [(i, f"{i} " + "a " * rng.randint(20, 400) + "b.", "feed") for i in range(600)]

@@ -44,7 +44,7 @@ def test_large_components_are_never_worse_than_any_start():
 def test_a_limit_behind_a_larger_one_is_found(spark):
     """1,000 texts end at 300; of the 10 longer ones 8 end at 310."""
     lengths = [50 + i % 240 for i in range(480)] + [300] * 1000 + [310] * 8 + [320, 330]
-    df = spark.createDataFrame([(i, "x" * n, "feed") for i, n in enumerate(lengths)], "doc_id bigint, text string, source string")
+    df = spark.createDataFrame([(i, f"{i:04d}" + "x" * (n - 4), "feed") for i, n in enumerate(lengths)], "doc_id bigint, text string, source string")
     rows = {r["length"]: r for r in truncation.Truncation(df).hazards().where("unit = 'chars'").collect()}
     assert rows[300]["significant"] and rows[310]["significant"] and not rows[320]["significant"]
     for at, r in rows.items():

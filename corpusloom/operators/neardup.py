@@ -156,11 +156,15 @@ def ordered_sets(rows: DataFrame, k: int = 5) -> DataFrame:
     rows = materialize(rows.select("id", "t"), "texts")
 
     def count(batches):
-        total = np.zeros(cells, np.uint32)
+        total, held, n = np.zeros(cells, np.uint32), [], 0
         for b in batches:
-            for _, _, doc, h in hashed(b.column(1).to_pylist(), k, True, True):
-                total += np.bincount((h & U(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-        return total
+            for _, _, _, h in hashed(b.column(1).to_pylist(), k, True, True):
+                held.append((h & U(cells - 1)).astype(np.int32))
+                n += len(h)
+                if n > cells:
+                    total += np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32)
+                    held, n = [], 0
+        return total + np.bincount(np.concatenate(held), minlength=cells).astype(np.uint32) if held else total
 
     def level(total):
         return np.round(np.log2(total.astype(np.float64) + 1) * 7.5).astype(np.uint8)

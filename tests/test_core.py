@@ -89,6 +89,19 @@ def test_shared_folder_is_read_from_the_session(spark):
     assert not os.path.exists(path)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookups_of_hot_keys_equal_plain_joins(spark, monkeypatch, how):
+    from corpusloom.plans import skew
+
+    monkeypatch.setattr(skew, "LOOKUP_ROWS", 1)
+    left = lineage.materialize(spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 400).alias("k"), F.col("id").alias("x")))
+    right = left.where("k is not null and k <> 11").groupBy("k").agg(F.max("x").alias("y"), F.count(F.lit(1)).alias("w"))
+    want = sorted(map(repr, left.join(right.drop("w"), "k", how).select("k", "x", "y").collect()))
+    for got in (skew.lookup_join(left, right, "k", how, weight="w"), skew.lookup_join(left, right.drop("w"), "k", how)):
+        assert sorted(map(repr, got.select("k", "x", "y").collect())) == want
+    assert components(left.where("k is not null").select(F.col("k").alias("a"), F.col("x").alias("b")), tail=0).count() == components(left.where("k is not null").select(F.col("k").alias("a"), F.col("x").alias("b"))).count()
+
+
 # ---- near-duplicates
 
 

@@ -95,6 +95,10 @@ class TargetSample:
 
     def drawn(self) -> DataFrame:
         """(key, split, category, reason) of the drawn rows; reason is share, or minimum for a row that only the minimum asks for."""
+        reason = F.when(F.col("rank") <= F.col("share"), "share").otherwise("minimum").alias("reason")
+        return self._chosen().select(F.col("key").alias(self.key), "split", "category", reason)
+
+    def _chosen(self) -> DataFrame:
         u = (F.xxhash64(F.lit(self.seed), F.col("key").cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) + F.lit(0.5)) / F.lit(float(1 << 53))
         needs = self.needs.where("need > 0 and available > 0")
         # keys in units of the category's mean rate spread over the buckets whatever the rates are
@@ -108,8 +112,7 @@ class TargetSample:
         cut = materialize(counts.withColumn("upto", upto).where(F.col("upto") - F.col("here") < F.col("need")).select("split", "category", "bucket", (F.col("upto") - F.col("here")).alias("before")), "cut")
         near = keyed.join(cut, ["split", "category", "bucket"])
         rank = F.col("before") + F.row_number().over(Window.partitionBy("split", "category", "bucket").orderBy("e", "key"))
-        chosen = near.withColumn("rank", rank).where("rank <= need")
-        return chosen.select(F.col("key").alias(self.key), "split", "category", F.when(F.col("rank") <= F.col("share"), "share").otherwise("minimum").alias("reason"))
+        return near.withColumn("rank", rank).where("rank <= need")
 
     def report(self) -> DataFrame:
         """(split, label_name, target_permille, min_rows, need, available, drawn, gap) of every target.
@@ -129,8 +132,7 @@ class TargetSample:
         A residual remains where the categories' targets and the groups' shares
         contradict each other; a null group is written as the empty one.
         """
-        drawn = self.drawn().select(F.col(self.key).alias("key"), "split", "category").join(self.rows, ["key", "split", "category"])
-        got = drawn.groupBy("split", "group").agg(F.count(F.lit(1)).alias("drawn"))
+        got = self._chosen().groupBy("split", "group").agg(F.count(F.lit(1)).alias("drawn"))
         by = self.rows.groupBy("split", "group").agg(F.count(F.lit(1)).alias("rows")).join(got, ["split", "group"], "left").na.fill(0, ["drawn"])
         share = lambda c: F.round(F.try_divide(F.col(c) * 1000.0, F.sum(c).over(Window.partitionBy("split"))), 3)
         out = by.withColumns({"share_permille": share("rows"), "drawn_permille": share("drawn")})

@@ -88,6 +88,19 @@ def test_a_third_are_copies_of_one(spark):
     assert {r["copies"]: r["count"] for r in got} == {1000: 1000, 1: 2000}
 
 
+def test_hot_groups_are_looked_up(spark, monkeypatch):
+    """A third of all records are copies of one, and a third of all pairs hang on one id: the hot path gives the same."""
+    from corpusloom.plans import skew
+
+    monkeypatch.setattr(skew, "LOOKUP_ROWS", 1)
+    df = spark.range(3000).select(F.col("id").alias("record_id"), F.when(F.col("id") % 3 == 0, "Same; text").otherwise(F.concat(F.lit("t"), F.col("id") % 1500)).alias("text"))
+    got = {(r["copies"]): r["count"] for r in canonical.collapsed(df).groupBy("copies").count().collect()}
+    assert got == {1000: 1000, 2: 2000}
+    pairs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hub")).otherwise(F.concat(F.lit("a"), F.col("id"))).alias("doc_id_a"), F.concat(F.lit("b"), F.col("id")).alias("doc_id_b"), F.lit(True).alias("is_match"))
+    sizes = contract.match_groups(pairs).groupBy("dup_cluster").count().groupBy("count").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["count"]: r["n"] for r in sizes} == {1001: 1, 2: 2000}
+
+
 def test_filters_by_shards(spark):
     """With a small bound on filters the copies are the same, and the share of single rows that is shuffled does not grow with the rows."""
     for n in (3_000, 30_000):

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import U, bloom_has, mix
-from corpusloom.llm.blocks import DEN, NUM, divide_skip, key_filter, merge_pairs, repeat_filter, repeats, shards_of, verified
+from corpusloom.llm.blocks import DEN, NUM, divide_skip, key_filter, least_overlap, merge_pairs, repeat_filter, repeats, shards_of, verified
 from corpusloom.llm.contract import contracted
-from corpusloom.llm.shingles import EACH, SHARED, SKETCH, WORDS, prefixes, rarity, sets_of
+from corpusloom.llm.shingles import EACH, SHARED, SKETCH, WORDS, prefixes, rarity, sets_of, shared_short
 from corpusloom.plans.lineage import materialize, release
 from corpusloom.plans.skew import lookup_join
 
@@ -18,6 +18,7 @@ from corpusloom.plans.skew import lookup_join
 LIST = 4096
 #: Links that are consolidated in one task; more go through rounds of contraction first.
 TAIL = 500_000
+_KEYS = [f"k{i}" for i in range(SKETCH)]
 
 
 def _copies(described: DataFrame, *by: str) -> DataFrame:
@@ -46,7 +47,7 @@ def _filtered(rows: DataFrame, wanted: np.ndarray, inside: bool) -> DataFrame:
 
 def _sets(described: DataFrame, copies: DataFrame) -> DataFrame:
     """One row a distinct set.  What a filter of the copies surely lacks stays where it is; only the rest is joined."""
-    rows = described.select("id", "n", "prefix", *[c for c in described.columns if c == "side"])
+    rows = described.select("id", "n", "prefix", *_KEYS, *[c for c in described.columns if c == "side"])
     wanted = key_filter(copies.select("id"), copies.count())
     if wanted is None:
         return rows.join(copies.select("id"), "id", "left_anti")
@@ -54,7 +55,10 @@ def _sets(described: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def _postings(sets: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """(s, id, n, pos) of the prefix shingles, of those that may be in a packed Bloom filter if one is given."""
+    """(s, id, n, pos, k0..) of the prefix shingles, of those that may be in a packed Bloom filter if one is given.
+
+    A set of which fewer are left than its shortest partner must share has none.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -62,12 +66,19 @@ def _postings(sets: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
             lists = b.column(2)
             s = lists.flatten().to_numpy().view(U)
             lens = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), lens)
             pos = np.arange(len(s)) - np.repeat(np.cumsum(lens) - lens, lens)
-            keep = np.flatnonzero(bloom_has(shared.value, mix(s))) if shared.value is not None else np.arange(len(s))
-            row = pa.array(np.repeat(np.arange(b.num_rows), lens)[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(pos[keep].astype(np.int32))], names=["s", "id", "n", "pos"])
+            if shared.value is not None:
+                ok = bloom_has(shared.value, mix(s))
+                few = np.bincount(row[ok], minlength=b.num_rows) < shared_short(least_overlap(b.column(1).to_numpy().astype(np.int64)))
+                keep = np.flatnonzero(ok & ~few[row])
+                s, row, pos = s[keep], row[keep], pos[keep]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(pos.astype(np.int32)), *(b.column(i).take(at) for i in range(3, 3 + SKETCH))], names=["s", "id", "n", "pos", *_KEYS]
+            )
 
-    return sets.select("id", "n", "prefix").mapInArrow(run, "s bigint, id bigint, n int, pos int")
+    return sets.select("id", "n", "prefix", *_KEYS).mapInArrow(run, "s bigint, id bigint, n int, pos int" + "".join(f", {k} bigint" for k in _KEYS))
 
 
 def _repeated(sets: DataFrame, prefixes_: DataFrame, size: int) -> DataFrame:
@@ -139,13 +150,10 @@ def _pairs(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
     return _candidates(x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.cell") == F.col("y.cell")) & more & _alike("x", "y")), True)
 
 
-def _prepare(df: DataFrame, key: str, text: str, k: int, flags: list[Column], sketch: bool = False) -> DataFrame:
+def _prepare(df: DataFrame, key: str, text: str, k: int, flags: list[Column]) -> DataFrame:
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), *flags, F.col(text).alias("text"))
     rank = rarity(rows, "text", k)
-    return materialize(prefixes(rows, rank, "id", "text", k, tuple(c for c in rows.columns if c not in ("id", "text")), sketch), "sets")
-
-
-_KEYS = [f"k{i}" for i in range(SKETCH)]
+    return materialize(prefixes(rows, rank, "id", "text", k, tuple(c for c in rows.columns if c not in ("id", "text"))), "sets")
 
 
 def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: int = WORDS) -> DataFrame:
@@ -175,11 +183,9 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     size = described.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     lists = _lists(materialize(_repeated(distinct, described.select("prefix"), size), "repeated"))
     release(described)
-    # a partner may be shorter and so need fewer lists in common
-    ids = lists.groupBy("id").agg(F.count(F.lit(1)).alias("in"), F.max("n").alias("n")).where(F.col("in") >= _least(F.floor((NUM * F.col("n") + DEN - 1) / DEN))).select("id")
-    ids = materialize(ids, "ids")
+    ids = materialize(lists.select("id").distinct(), "ids")
     sets = materialize(sets_of(df, key, text, k, ids, ids.count()), "some")
-    posts = materialize(lists.join(sets.select("id", *_KEYS), "id").select("s", "id", "n", "pos", "m", *_KEYS), "posts")
+    posts = lists
     heads = posts.groupBy("s").agg(F.min(F.struct("id", "n", "pos", *_KEYS)).alias("f"), F.count(F.lit(1)).alias("_m")).where("_m > 1").select("s", "f", "_m")
     pair = lookup_join(posts, heads, "s", weight="_m").select("s", F.struct("s", "id", "n", "pos", "m", *_KEYS).alias("y"), F.struct("s", "f.*").alias("x")).where((F.col("x.id") < F.col("y.id")) & _alike("x", "y"))
     star = materialize(_candidates(pair, False), "star")
@@ -192,8 +198,8 @@ def near_groups(df: DataFrame, key: str = "clause_id", text: str = "text", k: in
     apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
     rest = materialize(_pairs(open_, open_, apart).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     ends = rest.select(F.col("a").alias("id")).union(rest.select("b"))
-    more = materialize(verified(rest, _picked(sets.select("id", "set"), ends, 2 * rest.count()), divide_skip), "more")
-    release(lists, ids, star, sets, posts, open_, rest)
+    more = materialize(verified(rest, _picked(sets, ends, 2 * rest.count()), divide_skip), "more")
+    release(ids, star, sets, posts, open_, rest)
 
     # links between components, then the groups of all their members, then the copies
     at = lambda c, to: known.select(F.col("id").alias(c), F.col("c").alias(to))
@@ -220,7 +226,7 @@ def cross_classes(df: DataFrame, train: Column, other: Column, key: str = "claus
     """
     side = F.when(train, 1).when(other, 2)
     rows = df.where(train | other)
-    described = _prepare(rows, key, text, k, [side.alias("side")], sketch=True)
+    described = _prepare(rows, key, text, k, [side.alias("side")])
     copies = _copies(described, "side")
     distinct = _sets(described, copies)
     wanted = described.where("side = 2").select("prefix")
@@ -232,13 +238,10 @@ def cross_classes(df: DataFrame, train: Column, other: Column, key: str = "claus
     sizes = materialize(sizes.where("hi = 1 and lo = 0").select("s", "m", F.col("m").alias("_m")), "sizes")
     met = lambda posts: lookup_join(posts, sizes, "s", weight="_m")
     both = materialize(met(index).withColumn("e", F.lit(True)).unionByName(met(probe).withColumn("e", F.lit(False))), "both")
-    ids = materialize(both.select("id").distinct(), "ids")
-    posts = both.join(_picked(described.select("id", *_KEYS), ids, ids.count()), "id")
-    posts = materialize(posts, "posts")
-    pairs = materialize(_pairs(posts.where("e"), posts.where("not e"), F.lit(True)), "pairs")
-    release(index, probe, both, posts, described)
+    pairs = materialize(_pairs(both.where("e"), both.where("not e"), F.lit(True)), "pairs")
+    release(index, probe, both, described)
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    near = materialize(verified(pairs, sets_of(rows, key, text, k, ids, ids.count()).select("id", "set"), merge_pairs), "near")
+    near = materialize(verified(pairs, sets_of(rows, key, text, k, ids, ids.count()), merge_pairs), "near")
     release(pairs)
     ends = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
     return near, materialize(ends.select("rep", F.col("rep").alias("id")).union(copies.join(ends, "rep").select("rep", "id")), "members")

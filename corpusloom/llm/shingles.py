@@ -82,8 +82,8 @@ def sketches(first: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_xor.reduceat(np.where(word == U(w), bit, U(0)), first).view(np.int64) for w in range(SKETCH)]
 
 
-def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: int = WORDS, extra: tuple[str, ...] = (), sketch: bool = False) -> DataFrame:
-    """(key, *extra, s1, s2, n, prefix): set signature, set size and the rarest n - T + c shingles of each text that has k words; with k0.. if sketch.
+def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: int = WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *extra, s1, s2, n, prefix, k0..): set signature, set size, the rarest n - T + c shingles and the sketch of each text that has k words.
 
     Sets of likeness NUM / DEN have T shingles or more in common; behind the
     c-th of these in the common order lie T - c others, so that the first c are
@@ -91,7 +91,7 @@ def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: i
     """
     shared = df.sparkSession.sparkContext.broadcast(rank)
     out = df.select(key, *extra, text)
-    words = [f"k{i}" for i in range(SKETCH)] if sketch else []
+    words = [f"k{i}" for i in range(SKETCH)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]) + ", s1 bigint, s2 bigint, n int, prefix array<bigint>" + "".join(f", {w} bigint" for w in words)
 
     def run(batches):
@@ -112,7 +112,7 @@ def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: i
                 yield pa.RecordBatch.from_arrays(
                     [ids.column(i) for i in range(batch.num_columns - 1)]
                     + [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n.astype(np.int32)), lists]
-                    + ([pa.array(x) for x in sketches(first, h)] if sketch else []),
+                    + [pa.array(x) for x in sketches(first, h)],
                     names=[*batch.schema.names[:-1], "s1", "s2", "n", "prefix", *words],
                 )
 
@@ -120,7 +120,7 @@ def prefixes(df: DataFrame, rank: np.ndarray, key: str, text: str = "text", k: i
 
 
 def sets_of(df: DataFrame, key: str, text: str, k: int, ids: DataFrame, count: int) -> DataFrame:
-    """(id, set, k0..): the sorted distinct hashes and the sketch of each row whose key is one of the ``count`` rows of ids (id).
+    """(id, set): the sorted distinct hashes of each row whose key is one of the ``count`` rows of ids (id).
 
     A Bloom filter of the ids spares hashing the other texts; where there are
     too many for one, the texts are joined by id first.
@@ -129,7 +129,6 @@ def sets_of(df: DataFrame, key: str, text: str, k: int, ids: DataFrame, count: i
     rows = df.where(df[key].isNotNull()).select(df[key].cast("bigint").alias("id"), F.col(text).alias("text"))
     rows = rows.join(ids, "id", "left_semi") if wanted is None else rows
     shared = df.sparkSession.sparkContext.broadcast(wanted)
-    words = [f"k{i}" for i in range(SKETCH)]
 
     def run(batches):
         for batch in batches:
@@ -143,9 +142,9 @@ def sets_of(df: DataFrame, key: str, text: str, k: int, ids: DataFrame, count: i
                 first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(h.view(np.int64)))
                 own = some.column(0).slice(lo, hi - lo).take(pa.array(doc[first]))
-                yield pa.RecordBatch.from_arrays([own, lists, *(pa.array(x) for x in sketches(first, h))], names=["id", "set", *words])
+                yield pa.RecordBatch.from_arrays([own, lists], names=["id", "set"])
 
-    out = rows.mapInArrow(run, "id bigint, `set` array<bigint>" + "".join(f", {w} bigint" for w in words))
+    out = rows.mapInArrow(run, "id bigint, `set` array<bigint>")
     return out if wanted is None else out.join(ids, "id", "left_semi")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
 from corpusloom.functions import text as T
-from corpusloom.operators import classify, entities, evaluate, neardup, profile, retrieval, sampling, splits, stats
+from corpusloom.operators import classify, entities, evaluate, machines, neardup, profile, retrieval, sampling, splits, stats
 from corpusloom.plans import report
 from corpusloom.plans.lineage import materialize, scratch
 from corpusloom.sources import docblocks, results, tables
@@ -734,11 +734,12 @@ def ml_label_merge(spark, d):
     s = _sides(spark, d)
     pairs = sampling.random_merges(table(spark, d, "label_names"), "label_name", len(MERGES))
     control = {r["from_label"]: r["to_label"] for r in pairs.collect()}
+    variants = {"as is": {}, "merged": MERGES, "random control": control}
+    r = machines.merged_machines(s["train"], s["dev"], variants)
     rows = []
-    for variant, merges in (("as is", {}), ("merged", MERGES), ("random control", control)):
-        train, dev = (sampling.merge_labels(s[x], merges, "label_name").drop("label_name").withColumnRenamed("merged", "label_name") for x in ("train", "dev"))
-        r = classify.fit_and_score("linear_svm", train, dev, tune=False)
-        rows.append((variant, len(merges), len(r.model.labels), round(r.metrics["macro_f1"], 6), round(r.metrics["micro_f1"], 6)))
+    for variant, merges in variants.items():
+        f1 = evaluate.f1_summary(r.predictions.where(F.col("variant") == variant)).first()
+        rows.append((variant, len(merges), r.classes[variant], round(f1["macro_f1"], 6), round(f1["micro_f1"], 6)))
     return spark.createDataFrame(rows, "variant string, merges int, classes int, macro_f1 double, micro_f1 double")
 
 

@@ -22,9 +22,11 @@ from corpusloom.functions.tokens import counted, pair_rows, token_rows
 from corpusloom.plans.lineage import materialize, release
 
 #: A fit ends where this part of the objective, at most, can still be gained.
-LEAST = 1e-5
+LEAST = 1e-4
 #: A fit starts from its positives and one of so many rows; where it ends is decided on all rows.
-START = 8
+START = 16
+#: Systems are solved to this part of their squared residual, and a start to this part of its objective.
+FORCE = 3e-2
 #: Bytes of blocks, and of one machine's rows, that a task keeps in memory; what is beyond is read again or lies in a local file.
 KEPT = 128 << 20
 
@@ -77,10 +79,10 @@ def _space(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Rows:
-    """Encoded rows: label, 1 / length, offsets, columns and 1 + ln tf.  The idf is left to the weights."""
+    """Encoded rows: label, 1 / length, offsets, columns and 1 + ln tf.  The idf is left to the weights; both factors may lie in val, without a scale."""
 
     y: np.ndarray
-    scale: np.ndarray
+    scale: np.ndarray | None
     ptr: np.ndarray
     cols: np.ndarray
     val: np.ndarray
@@ -93,15 +95,21 @@ class Rows:
     def times(self, v: np.ndarray) -> np.ndarray:
         out, some = np.zeros(len(self.y)), np.diff(self.ptr) > 0
         if some.any():
-            out[some] = np.add.reduceat(v[self.cols] * self.val, self.ptr[:-1][some])
-        return out * self.scale
-
-    def back(self, r: np.ndarray, d: int, power: int = 1) -> np.ndarray:
-        each = np.repeat(r * self.scale**power, np.diff(self.ptr))
-        return np.bincount(self.cols, each * (self.val if power == 1 else self.val * self.val), d)
+            x = v.astype(np.float32)[self.cols]
+            x *= self.val
+            out[some] = np.add.reduceat(x, self.ptr[:-1][some])
+        return out if self.scale is None else out * self.scale
+
+    def back(self, r: np.ndarray, d: int, square: bool = False) -> np.ndarray:
+        """Sums by column; of a table without a scale."""
+        each = np.repeat(r.astype(np.float32), np.diff(self.ptr))
+        each *= self.val
+        if square:
+            each *= self.val
+        return np.bincount(self.cols, each, d)
 
     def size(self) -> int:
-        return sum(a.nbytes for a in (self.y, self.scale, self.ptr, self.cols, self.val))
+        return sum(a.nbytes for a in (self.y, self.scale, self.ptr, self.cols, self.val) if a is not None)
 
 
 def encoded(df: DataFrame, text: str, words: DataFrame, n: int, bigrams: bool) -> DataFrame:
@@ -159,28 +167,36 @@ class _Held:
 
     def all(self) -> list[Rows]:
         if self.loose:
-            x = self.loose
+            x, join = self.loose, lambda c: np.concatenate([getattr(r, c) for r in self.loose])
             ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r.ptr) for r in x]))])
-            self.pieces.insert(0, x[0] if len(x) == 1 else Rows(*(np.concatenate([getattr(r, c) for r in x]) for c in ("y", "scale")), ptr, *(np.concatenate([getattr(r, c) for r in x]) for c in ("cols", "val"))))
+            self.pieces.insert(0, x[0] if len(x) == 1 else Rows(join("y"), None if x[0].scale is None else join("scale"), ptr, join("cols"), join("val")))
             self.loose = []
         return self.pieces
 
+    def parts(self, v: np.ndarray) -> Iterator[tuple[Rows, np.ndarray]]:
+        """Each piece with the values of its rows."""
+        i = 0
+        for p in self.all():
+            yield p, v[i : i + len(p.y)]
+            i += len(p.y)
+
     def times(self, v: np.ndarray) -> np.ndarray:
         return np.concatenate([r.times(v) for r in self.all()] or [np.zeros(0)])
 
-    def back(self, r: np.ndarray, d: int, power: int = 1) -> np.ndarray:
-        out, i = np.zeros(d), 0
-        for p in self.all():
-            out += p.back(r[i : i + len(p.y)], d, power)
-            i += len(p.y)
-        return out
+    def back(self, r: np.ndarray, d: int, square: bool = False) -> np.ndarray:
+        return sum((p.back(x, d, square) for p, x in self.parts(r)), np.zeros(d))
 
-    def only(self, mask: np.ndarray) -> _Held:
-        out, i = _Held(), 0
-        for p in self.all():
-            out.add(p.of(mask[i : i + len(p.y)]))
-            i += len(p.y)
-        return out
+    def only(self, mask: np.ndarray, idf: np.ndarray) -> tuple[_Held, np.ndarray]:
+        """Some rows with whole values over the columns that they have, and these columns."""
+        seen = np.zeros(len(idf), bool)
+        for p, m in self.parts(mask):
+            seen[p.cols[np.repeat(m, np.diff(p.ptr))]] = True
+        place, out = np.cumsum(seen) - 1, _Held()
+        for p, m in self.parts(mask):
+            r = p.of(m)
+            val = idf.astype(np.float32)[r.cols] * r.val * np.repeat(r.scale.astype(np.float32), np.diff(r.ptr))
+            out.add(Rows(r.y, None, r.ptr, place[r.cols], val))
+        return out, np.flatnonzero(seen)
 
 
 def solve(x: _Held, sign: np.ndarray, weight: np.ndarray, idf: np.ndarray, w: np.ndarray, least: float, most: int = 50) -> np.ndarray:
@@ -188,37 +204,43 @@ def solve(x: _Held, sign: np.ndarray, weight: np.ndarray, idf: np.ndarray, w: np
 
     Newton's method: the Hessian is that of the rows inside the margin, systems
     are solved by conjugate gradients, and steps go to the minimum along them.
+    Columns that these rows lack meet only the penalty.  The step that can gain
+    no more than ``least`` of the objective is the last.
     """
     d = len(idf)
-    score = lambda p, rows: rows.times(p[:d] * idf) + p[d]
-    back = lambda r, rows: np.append(rows.back(r, d) * idf, r.sum())
-    s = score(w, x)
+    score = lambda p: x.times(p[:d] * idf) + p[d]
+    s = score(w)
     for _ in range(most):
         gap = 1 - sign * s
         inside = gap > 0
-        near, h = x.only(inside), 2 * weight[inside]
-        g = back(-h * gap[inside] * sign[inside], near)
-        g[:d] += w[:d]
+        (near, cols), h = x.only(inside, idf), 2 * weight[inside]
+        k = len(cols)
+        back = lambda r: np.append(near.back(r, k), r.sum())  # noqa: B023, E731
+        g = back(-h * gap[inside] * sign[inside])
+        g[:k] += w[cols]
         value = float((weight[inside] * gap[inside] ** 2).sum() + w[:d] @ w[:d] / 2)
-        scale = np.append(1 + near.back(h, d, 2) * idf * idf, max(h.sum(), 1e-9))
-        p, r = np.zeros(d + 1), -g
+        scale = np.append(1 + near.back(h, k, True), max(h.sum(), 1e-9))
+        step, r = np.zeros(k + 1), -g
         z = r / scale
         q, rz, first = z.copy(), float(r @ z), float(r @ z)
         for _ in range(60):
-            if rz <= 1e-2 * first or rz == 0:
+            if rz <= FORCE * first or rz == 0:
                 break
-            hq = back(h * score(q, near), near)
-            hq[:d] += q[:d]
+            hq = back(h * (near.times(q[:k]) + q[k]))
+            hq[:k] += q[:k]
             a = rz / max(float(q @ hq), 1e-300)
-            p += a * q
+            step += a * q
             r -= a * hq
             z = r / scale
             rz, old = float(r @ z), rz
-            q = z + rz / old * q
-        gain = -float(g @ p) / 2
-        if gain <= least * value:
+            q *= rz / old
+            q += z
+        p = -w
+        p[cols], p[d] = step[:k], step[k]
+        gain = (float(w[:d] @ w[:d]) - float(w[cols] @ w[cols]) - float(g @ step)) / 2
+        if gain <= 0:
             return w
-        along, pp, wp, t = score(p, x), float(p[:d] @ p[:d]), float(w[:d] @ p[:d]), 1.0
+        along, pp, wp, t = score(p), float(p[:d] @ p[:d]), float(w[:d] @ p[:d]), 1.0
         lo, hi = 0.0, np.inf
         for _ in range(30):  # the slope along the step rises, so its zero is unique
             gap = 1 - sign * (s + t * along)
@@ -232,6 +254,8 @@ def solve(x: _Held, sign: np.ndarray, weight: np.ndarray, idf: np.ndarray, w: np
                 t = (lo + hi) / 2 if np.isfinite(hi) else 2 * lo
         w = w + t * p
         s = s + t * along
+        if gain <= least * value:
+            return w
     return w
 
 
@@ -244,33 +268,41 @@ def fitted(blocks: Callable[[], Iterator[Rows]], idf: np.ndarray, sets: list[tup
     turn = 0
     while open_:
         left, total = dict.fromkeys(open_, 0.0), dict.fromkeys(open_, 0.0)
+        room = dict.fromkeys(range(len(sets)), 0)
         for b, rows in enumerate(blocks()):
             for i in {i for i, _ in open_}:
                 pos = np.isin(rows.y, list(sets[i][0]))
-                if not turn:
-                    masks[i][b] = pos | (np.arange(len(pos)) % START == 0)
-                    continue
-                held = masks[i][b] if turn > 1 else np.zeros(len(pos), bool)
-                more = held.copy()
-                for j in (j for a, j in open_ if a == i):
-                    v = w[i][j]
-                    gap = 1 - np.where(pos, 1, -1) * (rows.times(v[:d] * idf) + v[d])
-                    loss = c * np.where(pos, sets[i][1][j], 1.0) * np.maximum(gap, 0) ** 2
-                    left[i, j] += float(loss[~held].sum())
-                    total[i, j] += float(loss.sum())
-                    more |= gap > 0
-                masks[i][b] = more
+                if turn:
+                    held = masks[i][b] if turn > 1 else np.zeros(len(pos), bool)
+                    mask = held.copy()
+                    for j in (j for a, j in open_ if a == i):
+                        v = w[i][j]
+                        gap = 1 - np.where(pos, 1, -1) * (rows.times(v[:d] * idf) + v[d])
+                        loss = c * np.where(pos, sets[i][1][j], 1.0) * np.maximum(gap, 0) ** 2
+                        left[i, j] += float(loss[~held].sum())
+                        total[i, j] += float(loss.sum())
+                        mask |= gap > 0
+                else:
+                    mask = pos | (np.arange(len(pos)) % START == 0)
+                masks[i][b] = mask
+                room[i] += int(np.diff(rows.ptr)[mask].sum()) * 8
         if turn > 1:
             open_ = {(i, j) for i, j in open_ if left[i, j] > LEAST * (total[i, j] + w[i][j][:d] @ w[i][j][:d] / 2)}
-        for i in sorted({i for i, _ in open_}):
-            x = _Held()
+        wait = sorted({i for i, _ in open_})
+        while wait:  # as many sets in a reading as fit together
+            now = [i for n, i in enumerate(wait) if not n or sum(room[k] for k in wait[: n + 1]) <= KEPT]
+            wait = wait[len(now) :]
+            near = {i: _Held() for i in now}
             for b, rows in enumerate(blocks()):
-                x.add(rows.of(masks[i][b]))
-            pos = np.concatenate([np.isin(r.y, list(sets[i][0])) for r in x.all()])
-            for j in sorted(j for a, j in open_ if a == i):
-                weight = c * np.where(pos, sets[i][1][j], 1.0 if turn else float(START))
-                start = w[i][j - 1] if turn < 2 and j else w[i][j]
-                w[i][j] = solve(x, np.where(pos, 1, -1), weight, idf, start, LEAST if turn else 1e-2)
+                for i in now:
+                    near[i].add(rows.of(masks[i][b]))
+            for i in now:
+                x = near.pop(i)
+                pos = np.concatenate([np.isin(r.y, list(sets[i][0])) for r in x.all()])
+                for j in sorted(j for a, j in open_ if a == i):
+                    weight = c * np.where(pos, sets[i][1][j], 1.0 if turn else float(START))
+                    start = w[i][j - 1] if turn < 2 and j else w[i][j]
+                    w[i][j] = solve(x, np.where(pos, 1, -1), weight, idf, start, LEAST if turn else FORCE)
         turn += 1
     return w
 

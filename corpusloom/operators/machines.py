@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,9 @@ START = 16
 #: Systems are solved to this part of their squared residual, and a start to this part of its objective.
 FORCE = 3e-2
 #: Bytes of blocks, and of one machine's rows, that a task keeps in memory; what is beyond is read again or lies in a local file.
-KEPT = 128 << 20
+KEPT = 96 << 20
+#: Rows whose terms are counted, and kept, together.
+BLOCK = 2048
 
 
 def _terms(texts: pa.Array, bigrams: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,11 +43,15 @@ def _terms(texts: pa.Array, bigrams: bool) -> tuple[np.ndarray, np.ndarray, np.n
     return rows[o], np.concatenate(hashes)[o], np.concatenate([p[2] for p in parts])[o]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK))
+
+
 def vocabulary(df: DataFrame, text: str, n: int, min_df: int, bigrams: bool, max_share: float = 0.9) -> DataFrame:
     """(term, df): hashed terms in at least min_df and at most max_share of the n texts, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             terms, df = np.unique(_terms(b.column(0), bigrams)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df.astype(np.int64))], names=["term", "df"])
 
@@ -95,7 +101,7 @@ class Rows:
     def times(self, v: np.ndarray) -> np.ndarray:
         out, some = np.zeros(len(self.y)), np.diff(self.ptr) > 0
         if some.any():
-            x = v.astype(np.float32)[self.cols]
+            x = v.astype(np.float32, copy=False)[self.cols]
             x *= self.val
             out[some] = np.add.reduceat(x, self.ptr[:-1][some])
         return out if self.scale is None else out * self.scale
@@ -113,7 +119,7 @@ class Rows:
 
 
 def encoded(df: DataFrame, text: str, words: DataFrame, n: int, bigrams: bool) -> DataFrame:
-    """df's other columns (lists) and Rows, one row an Arrow batch, written to the shared folder; y is one of df's columns."""
+    """df's other columns (lists) and Rows, one row a block, written to the shared folder; y is one of df's columns."""
     own = [c for c in df.columns if c != text]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     path = words._corpusloom_path
@@ -121,9 +127,7 @@ def encoded(df: DataFrame, text: str, words: DataFrame, n: int, bigrams: bool) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, df_ = _space(path)
         idf = np.log((1.0 + n) / (1.0 + df_)) + 1.0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             row, term, tf = _terms(b.column(b.num_columns - 1), bigrams)
             at = np.minimum(np.searchsorted(terms, term), max(len(terms) - 1, 0))
             ok = terms[at] == term if len(terms) else np.zeros(len(term), bool)
@@ -146,7 +150,7 @@ def _blocks(files: list[tuple]) -> Iterator[tuple[Rows, pa.RecordBatch]]:
 
 
 class _Held:
-    """Rows in one piece; those beyond KEPT bytes lie in local files."""
+    """Pieces of rows; those beyond KEPT bytes lie in local files."""
 
     def __init__(self):
         self.pieces: list[Rows] = []
@@ -166,12 +170,15 @@ class _Held:
         self.pieces.append(Rows(r.y, r.scale, r.ptr, *kept))
 
     def all(self) -> list[Rows]:
-        if self.loose:
-            x, join = self.loose, lambda c: np.concatenate([getattr(r, c) for r in self.loose])
+        return self.loose + self.pieces
+
+    def joined(self) -> _Held:
+        """The rows in memory in one piece."""
+        if len(x := self.loose) > 1:
+            join = lambda c: np.concatenate([getattr(r, c) for r in x])
             ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r.ptr) for r in x]))])
-            self.pieces.insert(0, x[0] if len(x) == 1 else Rows(join("y"), None if x[0].scale is None else join("scale"), ptr, join("cols"), join("val")))
-            self.loose = []
-        return self.pieces
+            self.loose = [Rows(join("y"), None if x[0].scale is None else join("scale"), ptr, join("cols"), join("val"))]
+        return self
 
     def parts(self, v: np.ndarray) -> Iterator[tuple[Rows, np.ndarray]]:
         """Each piece with the values of its rows."""
@@ -181,6 +188,7 @@ class _Held:
             i += len(p.y)
 
     def times(self, v: np.ndarray) -> np.ndarray:
+        v = v.astype(np.float32)
         return np.concatenate([r.times(v) for r in self.all()] or [np.zeros(0)])
 
     def back(self, r: np.ndarray, d: int, square: bool = False) -> np.ndarray:
@@ -196,7 +204,7 @@ class _Held:
             r = p.of(m)
             val = idf.astype(np.float32)[r.cols] * r.val * np.repeat(r.scale.astype(np.float32), np.diff(r.ptr))
             out.add(Rows(r.y, None, r.ptr, place[r.cols], val))
-        return out, np.flatnonzero(seen)
+        return out.joined(), np.flatnonzero(seen)
 
 
 def solve(x: _Held, sign: np.ndarray, weight: np.ndarray, idf: np.ndarray, w: np.ndarray, least: float, most: int = 50) -> np.ndarray:
@@ -269,15 +277,16 @@ def fitted(blocks: Callable[[], Iterator[Rows]], idf: np.ndarray, sets: list[tup
     while open_:
         left, total = dict.fromkeys(open_, 0.0), dict.fromkeys(open_, 0.0)
         room = dict.fromkeys(range(len(sets)), 0)
+        scaled = {(i, j): (w[i][j][:d] * idf).astype(np.float32) for i, j in open_} if turn else {}
         for b, rows in enumerate(blocks()):
+            wide = replace(rows, cols=rows.cols.astype(np.intp)) if turn else rows  # once for all machines
             for i in {i for i, _ in open_}:
                 pos = np.isin(rows.y, list(sets[i][0]))
                 if turn:
                     held = masks[i][b] if turn > 1 else np.zeros(len(pos), bool)
                     mask = held.copy()
                     for j in (j for a, j in open_ if a == i):
-                        v = w[i][j]
-                        gap = 1 - np.where(pos, 1, -1) * (rows.times(v[:d] * idf) + v[d])
+                        gap = 1 - np.where(pos, 1, -1) * (wide.times(scaled[i, j]) + w[i][j][d])
                         loss = c * np.where(pos, sets[i][1][j], 1.0) * np.maximum(gap, 0) ** 2
                         left[i, j] += float(loss[~held].sum())
                         total[i, j] += float(loss.sum())
@@ -371,11 +380,12 @@ def merged_machines(train: DataFrame, dev: DataFrame, variants: dict[str, dict[s
             idf = np.log((1.0 + n) / (1.0 + _space(paths[0])[1])) + 1.0
             d, sets = len(idf), [(s, sorted(uses[s])) for s in groups[g]]
             w = fitted(_kept(paths[1]), idf, sets, value)
+            scaled = [[(one[:d] * idf).astype(np.float32) for one in ws] for ws in w]
             for x, b in _blocks(_files(paths[2])):
                 best = {}
-                for (s, weights), ws in zip(sets, w):
-                    for weight, one in zip(weights, ws):
-                        score = x.times(one[:d] * idf) + one[d]
+                for (s, weights), ws, vs in zip(sets, w, scaled):
+                    for weight, one, v32 in zip(weights, ws, vs):
+                        score = x.times(v32) + one[d]
                         for v, at in uses[s][weight]:
                             old = best.setdefault(v, (np.full(len(score), -np.inf), np.zeros(len(score), np.int32)))
                             better = (score > old[0]) | ((score == old[0]) & (at < old[1]))
